@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.keys import section_id
 from lexweave.llm.components import connected_components
 from lexweave.llm.distinctive import LONG_LATIN, distinctive_terms
+from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
 from lexweave.llm.mixing import mix, normal_source, shares
 from lexweave.llm.repetition import DecisionList, fit_repetition, repetitive_texts, with_statistics
 from lexweave.llm.tokenizer import with_token_counts, with_token_ids
@@ -74,6 +75,30 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("tbl", "row_id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
+# 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def _strings(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, row_id, place, text): every string that may be garbled; place counts the elements of an array from 0."""
+    plain = _texts(spark, d, ("gists", "gist_id", "gist_text"), ("summary_eval_3000", "eval_id", "summary_text"))
+    plain = plain.select("tbl", "row_id", F.lit(0).alias("place"), "text")
+    refs = table(spark, d, "xml_refs").select(F.lit("xml_refs").alias("tbl"), F.col("xref_id").cast("bigint").alias("row_id"), F.posexplode("explicit_refs").alias("place", "text"))
+    return plain.unionByName(refs)
+
+
+def _clean(spark: SparkSession, d: str) -> list[str]:
+    return clean_sequences(table(spark, d, "sections"), "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_rows(_strings(spark, d), "text", _clean(spark, d)).select("tbl", "row_id").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled string with what it was; complete says whether all of it could be restored."""
+    return repaired_rows(_strings(spark, d), "text", _clean(spark, d)).drop("text")
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -108,6 +133,8 @@ QUERIES = {
     "p2_counts": p2_counts,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
