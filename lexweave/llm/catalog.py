@@ -11,6 +11,7 @@ from lexweave.llm.distinctive import LONG_LATIN, distinctive_terms
 from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
 from lexweave.llm.mixing import mix, normal_source, shares
 from lexweave.llm.repetition import DecisionList, fit_repetition, repetitive_texts, with_statistics
+from lexweave.llm.sentences import known_headings, sentence_offsets, sentence_rows
 from lexweave.llm.tokenizer import with_token_counts, with_token_ids
 from lexweave.plans import oracle_parts as o
 from lexweave.session import cut, table
@@ -59,6 +60,25 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return found.join(claimed, "doc_id", "left").withColumn("agrees", F.col("groups").eqNullSafe(F.col("claimed").cast("bigint")))
 
 
+# 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def _readable_gists(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[str, ...]]:
+    gists = table(spark, d, "gists").select("gist_id", "gist_text").filter("gist_text <> ''")
+    return garbled_rows(gists, "gist_text", _clean(spark, d), garbled=False), known_headings(table(spark, d, "sections"), "heading")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    gists, headings = _readable_gists(spark, d)
+    return sentence_offsets(gists, "gist_id", "gist_text", headings)
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences themselves, numbered within each gist."""
+    gists, headings = _readable_gists(spark, d)
+    return sentence_rows(gists, "gist_text", headings).select("gist_id", "sent_idx", "sent_text")
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 P4_TEXTS = (("sections", "sec_key", "text"), ("gists", "gist_id", "gist_text"))
@@ -131,6 +151,8 @@ QUERIES = {
     "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p5_found": p5_found,

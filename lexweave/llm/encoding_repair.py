@@ -201,17 +201,18 @@ def _detector(sequences: tuple[str, ...]) -> GarbleDetector:
     return GarbleDetector(sequences)
 
 
-def garbled_rows(df: DataFrame, text: str, sequences: list[str]) -> DataFrame:
-    """The rows of df whose text is garbled, in whole or in part; null and empty texts never are.
+def garbled_rows(df: DataFrame, text: str, sequences: list[str], garbled: bool = True) -> DataFrame:
+    """The rows of df whose text is garbled, in whole or in part, or those whose text is not.
 
-    sequences: see clean_sequences; they travel with the task (MAX_SEQUENCES short strings at most).
+    Null and empty texts never are garbled. sequences: see clean_sequences; they travel with the task (MAX_SEQUENCES
+    short strings at most).
     """
     known, at = tuple(sequences), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(known)
         for batch in batches:
-            yield batch.filter(pa.array([detector.is_garbled(t.as_py()) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([detector.is_garbled(t.as_py()) == garbled for t in batch.column(at)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
