@@ -9,6 +9,7 @@ from lexweave.functions.keys import section_id
 from lexweave.llm.components import connected_components
 from lexweave.llm.distinctive import LONG_LATIN, distinctive_terms
 from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
+from lexweave.llm.language import fit_profiles, with_languages, wrong_labels
 from lexweave.llm.mixing import mix, normal_source, shares
 from lexweave.llm.repetition import DecisionList, fit_repetition, repetitive_texts, with_statistics
 from lexweave.llm.sentences import known_headings, sentence_offsets, sentence_rows
@@ -146,6 +147,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mixed, rows)
 
 
+# 10 --------------------------------------------------------------------------------------------------------------
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return with_languages(docs, "text", fit_profiles(docs, "text", "lang"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(_segments(spark, d), ["doc_id"], "lang")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and a confidence."""
+    found = _segments(spark, d).select("doc_id", F.explode("segments").alias("s"))
+    return found.select("doc_id", "s.seg_start", "s.seg_end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
@@ -160,6 +179,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 
 _TERMS = "SELECT tbl, row_id, lower(term) AS term, count(*) AS tf FROM (SELECT tbl, row_id, unnest(regexp_extract_all(text, '{p}')) AS term FROM ({t})) GROUP BY ALL"
