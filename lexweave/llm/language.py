@@ -42,19 +42,18 @@ REMEMBERED = 100_000
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _BRACKETS = regex.compile(r"\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）|<[^<>\n]{1,40}>")
-_HEADING = regex.compile(r"(?m)^[ \t]*§+\s*\d[^\n]{0,80}$")
+_HEADING = regex.compile(r"(?m)^[^\p{L}\n§(]{0,12}§+[^\S\n]*\d[^\n]{0,80}$")
 _ENDS = regex.compile(r"[.!?…。！？।؟;;»”“」』\"']\s*$")
 
 
 def label_language(c: Column) -> Column:
     """The two-letter code that a label means, in any case, code or spelling and with any region; null if it names none."""
     s = F.lower(F.trim(F.regexp_replace(c, r"[\s\x{00A0}]+", " ")))
-    primary = F.regexp_extract(s, r"^([^-_ ]+)[-_]", 1)
-    s = F.when(primary != "", primary).otherwise(s)
-    out = F.when(s.isNull() | (s == "") | s.isin(NO_LANGUAGE) | ~s.rlike(r"\p{L}"), F.lit(None).cast("string"))
-    for code, names in NAMES.items():
-        out = out.when(s.isin([code, *names.split()]), code)
-    return out.otherwise(s)
+    s = F.regexp_replace(s, r"^([^-_ ]+)[-_].*$", "$1")
+    named = {name: code for code, names in NAMES.items() for name in (code, *names.split())} | dict.fromkeys(NO_LANGUAGE, "")
+    known = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    out = F.transform(F.array(s), lambda x: F.when(x.rlike(r"\p{L}"), F.coalesce(F.try_element_at(known, x), x)))
+    return F.nullif(F.element_at(out, 1), F.lit(""))
 
 
 def _word_ngrams(word: str) -> list[str]:
@@ -172,17 +171,24 @@ def fit_profiles(docs: DataFrame, text: str, label: str, max_texts: int = MAX_TE
     rows = rows.filter(F.col("lang").isin(list(NAMES)) & (F.length("text") <= max_length) & F.col("text").rlike(r"\p{L}"))
     order = W.Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     sample = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_texts).select("lang", "text").collect()
-    return fit_from_sentences([(r["lang"], said) for r in sample for _, _, said in whole_sentences(r["text"])])
+    return fit_from_texts([(r["lang"], [said for _, _, said in whole_sentences(r["text"])]) for r in sample])
 
 
-def fit_from_sentences(labelled: list[tuple[str, str]]) -> LanguageProfiles:
+def fit_from_texts(labelled: list[tuple[str, list[str]]], passes: int = 3) -> LanguageProfiles:
+    """Profiles from (label, sentences) of texts. After the first pass a text counts only if most of its sentences are
+    nearest to its label, and of it only those that are: wrong labels and foreign stretches drop out."""
     profiles = LanguageProfiles({})
-    for _ in range(2):
+    for _ in range(passes):
         counts: dict[str, Counter] = {}
-        for lang, said in labelled:
-            if not profiles.languages or profiles.languages[int(profiles.distances(said).argmin())] == lang:
-                own = counts.setdefault(lang, Counter())
-                for w in _words(said):
+        for lang, sentences in labelled:
+            if profiles.languages:
+                agree = [s for s in sentences if profiles.languages[int(profiles.distances(s).argmin())] == lang]
+                if 2 * len(agree) <= len(sentences):
+                    continue
+                sentences = agree
+            own = counts.setdefault(lang, Counter())
+            for s in sentences:
+                for w in _words(s):
                     own.update(_word_ngrams(w))
         profiles = LanguageProfiles.fit(counts)
     return profiles
