@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import data_quality
+from lexweave.plans import citation_graph, data_quality
+from lexweave.plans.citation_graph import most_cited
 
-QUERIES = dict(data_quality.QUERIES)
-ORACLE = dict(data_quality.ORACLE)
+__all__ = ["ORACLE", "QUERIES", "most_cited"]
+QUERIES = data_quality.QUERIES | citation_graph.QUERIES
+ORACLE = data_quality.ORACLE | citation_graph.ORACLE
