@@ -18,7 +18,7 @@ HEAVY_SHARE = 2_000
 #: Most presence intervals of heavy keys that are broadcast; beyond it those keys take the shuffled way, salted.
 BROADCAST_INTERVALS = 200_000
 SALTS = 32
-_FOREVER = F.lit("9999-12-31 00:00:00").cast("timestamp")
+FOREVER = "9999-12-31 00:00:00"
 
 
 def presence_intervals(df: DataFrame, key: Column, start: str, end: str) -> DataFrame:
@@ -27,7 +27,7 @@ def presence_intervals(df: DataFrame, key: Column, start: str, end: str) -> Data
     Rows without a start never were present.
     """
     return (
-        df.select(key.alias("target"), F.col(start).alias("from_ts"), F.coalesce(F.col(end), _FOREVER).alias("until_ts"))
+        df.select(key.alias("target"), F.col(start).alias("from_ts"), F.coalesce(F.col(end), F.lit(FOREVER).cast("timestamp")).alias("until_ts"))
         .filter("target IS NOT NULL AND from_ts IS NOT NULL AND until_ts > from_ts")
         .groupBy("target", "from_ts")
         .agg(F.max("until_ts").alias("until_ts"))

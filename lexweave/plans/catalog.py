@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import citation_graph, data_quality
+from lexweave.plans import citation_graph, data_quality, structuring
 from lexweave.plans.citation_graph import most_cited
 
 __all__ = ["ORACLE", "QUERIES", "most_cited"]
-QUERIES = data_quality.QUERIES | citation_graph.QUERIES
-ORACLE = data_quality.ORACLE | citation_graph.ORACLE
+QUERIES = data_quality.QUERIES | citation_graph.QUERIES | structuring.QUERIES
+ORACLE = data_quality.ORACLE | citation_graph.ORACLE | structuring.ORACLE
