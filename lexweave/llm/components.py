@@ -16,12 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.graph import star_contraction
 from lexweave.session import cut
 
 #: Partitions of one scope at level 0 and how many are merged at each later level.
@@ -73,25 +72,6 @@ def _merge(edges: DataFrame, parts: int, tasks: int) -> DataFrame:
     return edges.repartition(tasks, "scope", salt).mapInArrow(spanning_forest, "scope string, a string, b string")
 
 
-def _stars(forest: DataFrame) -> DataFrame:
-    """Components of scopes too large for one task: alternating large-star and small-star until nothing changes."""
-    edges = cut(forest.filter("a <> b"))
-    last = None
-    while True:
-        both = edges.unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("scope", "a").agg(F.min("b").alias("m")).select("scope", "a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, ["scope", "a"]).select("scope", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.filter("a > b")
-        low = down.groupBy("scope", "a").agg(F.min("b").alias("m"))
-        linked = down.join(low, ["scope", "a"])
-        small = linked.filter("b <> m").select("scope", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("scope", "a", F.col("m").alias("b")))
-        edges = cut(small.filter("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("scope", "a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            return edges
-        last = state
-
-
 def connected_components(edges: DataFrame, scope: str | None, a: str, b: str, levels: tuple[int, ...] = LEVELS, max_task_records: int = MAX_TASK_RECORDS) -> DataFrame:
     """(scope, record, group_id): every record of an edge, with the smallest record linked to it directly or not.
 
@@ -114,7 +94,7 @@ def connected_components(edges: DataFrame, scope: str | None, a: str, b: str, le
         return merged.select("scope", F.col("a").alias("record"), F.col("b").alias("group_id"))
     merged = _merge(forest.join(large, "scope", "left_anti"), 1, tasks)
     giant = forest.join(large, "scope", "left_semi")
-    stars = _stars(giant)
+    stars = star_contraction(giant)
     records = giant.select("scope", F.explode(F.array("a", "b")).alias("a")).distinct()
     giant_groups = records.join(stars, ["scope", "a"], "left").select("scope", "a", F.coalesce("b", "a").alias("b"))
     return merged.unionByName(giant_groups).select("scope", F.col("a").alias("record"), F.col("b").alias("group_id"))
