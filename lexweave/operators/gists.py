@@ -75,7 +75,7 @@ def build_gists(sections: DataFrame, anchors: DataFrame, window: int = 1, k: int
         g = g.sort_values("pos", kind="stable")
         rows = [(r.sec_id, i, s) for r in g.itertuples() for i, s in enumerate(r.s)]
         if not rows:
-            return pd.DataFrame({c: [] for c in ("doc_id", "anchor_sec_id", "gist_text", "token_estimate", "source_spans")})
+            return pd.DataFrame({c: [] for c in ("doc_id", "anchor_sec_id", "gist_text", "token_estimate", "source_spans")}, dtype=object)
         anchor = g["anchor"].iloc[0]
         own = next((h or "" for p, a, h in zip(g["pos"], g["apos"], g["heading"]) if p == a), "")
         v, q = _vectors([s for _, _, s in rows], " ".join([anchor, own, *(h or "" for h in g["heading"])]))

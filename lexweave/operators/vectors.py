@@ -61,7 +61,7 @@ def global_knn(vectors: DataFrame, queries: DataFrame, window: int = 1, k: int =
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["_q"] == 1], g[g["_q"] == 0]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in ("doc_id", "src", "dst", "idx", "score")})
+            return pd.DataFrame({c: [] for c in ("doc_id", "src", "dst", "idx", "score")}, dtype=object)
         x, y = (np.stack(p["vec"].to_numpy()).astype(np.float64) for p in (a, b))
         bi, out = b["idx"].to_numpy(), []
         order = np.argsort(bi, kind="stable")

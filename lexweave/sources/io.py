@@ -9,16 +9,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexweave.functions import text as t
 from lexweave.operators.structure import parse_xml
 
-SECTIONS = T.StructType.fromDDL("doc_id string, sec_id string, label string, heading string, text string, hierarchy_path array<string>, tokens int")
-REFS = T.StructType.fromDDL("doc_id string, sec_id string, heading string, explicit_refs array<string>, explicit_ref_spans array<struct<ref_text: string, raw_id: string, start: int, end: int, kind: string>>")
-FLAT_REFS = T.StructType.fromDDL("src_sec_id string, match_text string, match_kind string, span_start int, span_end int, norm_token string")
-GISTS = T.StructType.fromDDL("anchor_sec_id string, window_size int, k_sentences int, lambda double, gist_text string, token_estimate int, source_spans array<struct<sec_id: string, sent_idx: int, sent_text: string>>")
-EVAL = T.StructType.fromDDL("doc string, status string, path string, words int, mojibake string, cue_count int, cue_density double, coverage double, rougeL double, embed_sim double, redundancy double")
+SECTIONS = "doc_id string, sec_id string, label string, heading string, text string, hierarchy_path array<string>, tokens int"
+REFS = "doc_id string, sec_id string, heading string, explicit_refs array<string>, explicit_ref_spans array<struct<ref_text: string, raw_id: string, start: int, end: int, kind: string>>"
+FLAT_REFS = "src_sec_id string, match_text string, match_kind string, span_start int, span_end int, norm_token string"
+GISTS = "anchor_sec_id string, window_size int, k_sentences int, lambda double, gist_text string, token_estimate int, source_spans array<struct<sec_id: string, sent_idx: int, sent_text: string>>"
+EVAL = "doc string, status string, path string, words int, mojibake string, cue_count int, cue_density double, coverage double, rougeL double, embed_sim double, redundancy double"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,25 +26,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) is not None and len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)) > 0
 
 
-def optional(spark: SparkSession, path: str, schema: T.StructType, read: Callable[[str], DataFrame]) -> DataFrame:
+def optional(spark: SparkSession, path: str, schema: str, read: Callable[[str], DataFrame]) -> DataFrame:
     """What read gives for path, or an empty frame of the schema where there is nothing."""
     return read(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = SECTIONS, position: str | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = SECTIONS, position: str | None = None) -> DataFrame:
     """JSON lines; lines that are no JSON fail the read. position: a column that keeps the order of lines within a file."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return df.withColumn(position, F.monotonically_increasing_id()) if position else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = FLAT_REFS) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str = FLAT_REFS) -> DataFrame:
     """CSV with a header line, in UTF-8 with or without a byte order mark; quoted fields may span lines."""
     return spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path, header=True, encoding="UTF-8", enforceSchema=True)
 
 
 def read_terms_csv(spark: SparkSession, path: str) -> DataFrame:
     """(term) of a seed list."""
-    return read_csv(spark, path, T.StructType.fromDDL("term string")).select(t.trim_blanks(F.regexp_replace("term", r"^\x{FEFF}", "")).alias("term")).filter("term <> ''")
+    return read_csv(spark, path, "term string").select(t.trim_blanks(F.regexp_replace("term", r"^\x{FEFF}", "")).alias("term")).filter("term <> ''")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
