@@ -159,24 +159,28 @@ class GarbleDetector:
                 return True
         return False
 
-    def _spans(self, text: str) -> list[tuple[int, int, dict]]:
+    def _spans(self, text: str, utf8: bool) -> list[tuple[int, int, dict]]:
+        """Runs of touching forms of UTF-8, or of legacy encodings, with the pairs that explain them by characters explained."""
         spans: list[list] = []
         for start, end, _, how in sorted(self.matches(text), key=lambda m: m[:2]):
+            pairs = [p for p in how if (p[0] == "utf-8") == utf8]
+            if not pairs:
+                continue
             if not spans or start > spans[-1][1]:
                 spans.append([start, end, {}])
             spans[-1][1] = max(end, spans[-1][1])
-            for pair in how:
+            for pair in pairs:
                 spans[-1][2][pair] = spans[-1][2].get(pair, 0) + end - start
         return [tuple(s) for s in spans]
 
-    def _once(self, text: str) -> str:
+    def _once(self, text: str, utf8: bool) -> str:
         out, at = [], 0
-        for start, end, pairs in self._spans(text):
+        for start, end, pairs in self._spans(text, utf8):
             out.append(text[at:start])
             piece = text[start:end]
-            for true, wrong in sorted(pairs, key=lambda p: (-pairs[p], p[0] != "utf-8", p)):
+            for true, wrong in sorted(pairs, key=lambda p: (-pairs[p], p)):
                 got = ungarble(piece, true, wrong)
-                if got is not None and REPLACEMENT not in got and (true == "utf-8" or not any("\x80" <= c <= "\x9f" for c in got)):
+                if got is not None and REPLACEMENT not in got and (utf8 or not any("\x80" <= c <= "\x9f" for c in got)):
                     piece = got
                     break
             out.append(piece)
@@ -189,7 +193,11 @@ class GarbleDetector:
         if not self.is_garbled(text):
             return text, True
         for _ in range(ROUNDS):
-            new = self._once(text)
+            if not self.is_garbled(text):
+                break
+            new = self._once(text, utf8=True)
+            if new == text:
+                new = self._once(text, utf8=False)  # a legacy form proves less, so it is tried last
             if new == text:
                 break
             text = new
@@ -218,7 +226,8 @@ def garbled_rows(df: DataFrame, text: str, sequences: list[str], garbled: bool =
 
 
 def repaired_rows(df: DataFrame, text: str, sequences: list[str]) -> DataFrame:
-    """The garbled rows with ``restored`` (the text, as far as it can be restored) and ``complete`` (nothing garbled is left)."""
+    """The garbled rows with ``restored`` (the text, as far as it can be restored) and ``complete`` (nothing garbled is left); columns of these names are replaced."""
+    df = df.drop(*({"restored", "complete"} - {text}))
     known, at = tuple(sequences), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

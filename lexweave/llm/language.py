@@ -196,10 +196,11 @@ def fit_from_texts(labelled: list[tuple[str, list[str]]], passes: int = 3) -> La
 
 def with_languages(df: DataFrame, text: str, profiles: LanguageProfiles, margin: float = MARGIN) -> DataFrame:
     """df without text and with ``segments``: array of (seg_start, seg_end, lang, confidence), empty where there is no word.
+    A column called segments is replaced.
 
     Offsets count code points, the end is exclusive. The profiles travel with the task (PROFILE n-grams a language).
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "segments")]
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     kind = pa.list_(pa.struct([("seg_start", pa.int32()), ("seg_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
 

@@ -461,11 +461,11 @@ def known_headings(df: DataFrame, column: str, most: int = 10_000) -> tuple[str,
 def sentence_rows(df: DataFrame, text: str, headings: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """One row per sentence: the other columns of df, sent_idx (from 0), sent_start, sent_end and sent_text.
 
-    Null, empty and blank texts give no row. headings: lines that are units although they have no end mark. Texts up
+    Null, empty and blank texts give no row; columns with those names are replaced. headings: lines that are units although they have no end mark. Texts up
     to ``chunk`` code points are split where they are; longer ones are cut into chunks that travel on their own (see
     long_sentence_rows).
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "sent_idx", "sent_start", "sent_end", "sent_text")]
     fields = [f for f in df.select(*keep).schema.fields]
     schema = T.StructType([*fields, T.StructField("sent_idx", T.IntegerType()), T.StructField("sent_start", T.IntegerType()), T.StructField("sent_end", T.IntegerType()), T.StructField("sent_text", T.StringType())])
 

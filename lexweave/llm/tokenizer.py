@@ -143,7 +143,7 @@ def encoder(path: str) -> BytePairEncoder:
     return _ENCODERS[path]
 
 
-def _run(path: str, counts_only: bool, keep: int):
+def _run(path: str, counts_only: bool, keep: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
@@ -166,21 +166,19 @@ def _run(path: str, counts_only: bool, keep: int):
                 else:
                     flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(missing)))
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:keep], "out"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:keep], name])
 
     return run
 
 
 def _with(df: DataFrame, text: str, name: str, kind: str, path: str | None, counts_only: bool) -> DataFrame:
-    keep = [c for c in df.columns if c != text]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    schema = f"{schema}, `out` {kind}" if keep else f"`out` {kind}"
-    rows = df.select(*keep, text).mapInArrow(_run(path or vocabulary_path(), counts_only, len(keep)), schema)
-    return rows.withColumnRenamed("out", name)
+    keep = [c for c in df.columns if c not in (text, name)]
+    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    return df.select(*keep, text).mapInArrow(_run(path or vocabulary_path(), counts_only, len(keep), name), ", ".join([*fields, f"`{name}` {kind}"]))
 
 
 def with_token_ids(df: DataFrame, text: str, name: str = "ids", path: str | None = None) -> DataFrame:
-    """df without text and with its token ids (array of int) as name.
+    """df without text and with its token ids (array of int) as name; a column of that name is replaced.
 
     No special tokens: their strings in a text are ordinary text. An empty text has an empty list, a null text null.
     path: a vocabulary file of ranks (one base64 token and its rank per line) that every worker can read.
