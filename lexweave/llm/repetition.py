@@ -235,7 +235,7 @@ def fit_repetition(labelled: DataFrame, text: str, reported: str, fit_share: flo
     """
     share = reported_share(F.col(reported).cast("double"))
     rows = labelled.select(F.col(text), share.alias("_y")).filter(F.col("_y").isNotNull() & F.col(text).isNotNull())
-    rows = with_statistics(rows.orderBy(F.xxhash64(text)).limit(max_rows), text).select("_y", "repeated_share", *STATISTICS).toPandas()
+    rows = with_statistics(rows.orderBy(F.xxhash64(text)).limit(max_rows), text).select("_y", *STATISTICS).toPandas()
     y = (rows["_y"] >= fit_share).to_numpy(dtype=bool)
     if y.any() and not y.all():
         found = learn_decision_list({n: rows[n].to_numpy(dtype=float) for n in STATISTICS}, y)

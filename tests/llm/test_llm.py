@@ -309,3 +309,11 @@ def test_every_query_runs(spark):
         df = q[name](spark, DATA)
         assert df.columns == columns, name
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_fitted_list_keeps_every_repetitive_text(spark):
+    lab = spark.read.parquet("/root/testdata/sf0.01/summary_eval_1200_report.parquet")
+    rules = rp.fit_repetition(lab, "summary_text", "redundancy")
+    df = spark.read.parquet("/root/testdata/sf0.01/gists.parquet").select("gist_id", "gist_text")
+    found = {r.gist_id for r in rp.repetitive_texts(df, "gist_text", rules).collect()}
+    assert found == {r.gist_id for r in df.collect() if brute_share(r.gist_text) >= 0.25}
