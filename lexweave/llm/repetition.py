@@ -193,8 +193,11 @@ def _loosen(rule: tuple[Condition, ...], x: dict[str, np.ndarray], y: np.ndarray
         order = np.argsort(-v, kind="stable")
         v, wrong = v[order], np.cumsum(~k[order])
         ok = np.flatnonzero((wrong <= noise * np.arange(1, len(v) + 1)) & (np.append(v[1:], -np.inf) < v) & (v > 0))
-        if len(ok) and v[ok[-1]] < c.threshold:
-            out[i] = Condition(c.statistic, True, float(v[ok[-1]]))
+        if len(ok):
+            below = v[ok[-1] + 1] if ok[-1] + 1 < len(v) else 0.0
+            lowest = float(np.nextafter(below, np.inf))  # the gap to the next value belongs to the class
+            if lowest < c.threshold:
+                out[i] = Condition(c.statistic, True, lowest)
     return tuple(out)
 
 
