@@ -9,6 +9,7 @@ them stays untouched. Repair is repeated, so text that was decoded wrongly twice
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,6 +111,7 @@ class GarbleDetector:
         twice = {c for e in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251") for c in _bytes_to_chars(e) if c > "\x7f"}
         alphabet |= twice - {"\x85"}  # what text that was garbled before consists of
         forms: dict[str, set[tuple[str, str]]] = {}
+        signs: dict[str, int] = {}  # of forms with a letter for a sign: where it is
 
         def usual(s: str) -> bool:
             return s in pairs if len(s) == 2 else all(s[i : i + 3] in clean for i in range(len(s) - 2))
@@ -127,13 +129,25 @@ class GarbleDetector:
                     g = garble(s, true, wrong)
                     if g != s:
                         add(g, true, wrong)
+                        if g in forms and len(g) == len(s) and (at := self._sign_as_letter(s, g, pairs)) is not None:
+                            signs[g] = at
         self.automaton = ahocorasick.Automaton()
         for s, how in forms.items():
-            self.automaton.add_word(s, (len(s), self._weight(s, how), tuple(sorted(how, key=lambda p: (p[0] != "utf-8", p)))))
+            self.automaton.add_word(s, (len(s), self._weight(s, how), tuple(sorted(how, key=lambda p: (p[0] != "utf-8", p))), signs.get(s)))
         for c in [REPLACEMENT, *(chr(b) for b in range(0x80, 0xA0) if b != 0x85)]:
-            self.automaton.add_word(c, (1, 2, ()))
+            self.automaton.add_word(c, (1, 2, (), None))
         self.automaton.make_automaton()
 
+    @staticmethod
+    def _sign_as_letter(s: str, g: str, pairs: set[str]) -> int | None:
+        """Where a sign of s became a letter of g that touches a digit as no letter of clean text does."""
+        for i, (a, b) in enumerate(zip(s, g)):
+            if a > "\x7f" and unicodedata.category(a)[0] in "SP" and b > "\x7f" and b.isalpha():
+                touching = {g[j : j + 2] for j in (i - 1, i) if "0" in g[max(j, 0) : j + 2]}
+                if touching and not touching & pairs:
+                    return i
+        return None
+
     @staticmethod
     def _weight(s: str, how: set[tuple[str, str]]) -> int:
         """2: a strong form, enough alone. 1: letters only, which might be a rare word."""
@@ -144,8 +158,18 @@ class GarbleDetector:
         return 1 if _LETTERS.fullmatch(s) and len(s) == 2 else 2
 
     def matches(self, text: str) -> list[tuple[int, int, int, tuple]]:
-        """(start, end, weight, encoding pairs) of every garbled form in text."""
-        return [(end + 1 - n, end + 1, w, how) for end, (n, w, how) in self.automaton.iter(text.translate(_DIGITS))]
+        """(start, end, weight, encoding pairs) of every garbled form in text.
+
+        A letter for a sign is strong where it touches no other letter; within a word it might be one of a lost blank.
+        """
+        out = []
+        for end, (n, w, how, sign) in self.automaton.iter(text.translate(_DIGITS)):
+            start = end + 1 - n
+            if w == 1 and sign is not None:
+                at = start + sign
+                w = 1 if text[max(at - 1, 0) : at].isalpha() or text[at + 1 : at + 2].isalpha() else 2
+            out.append((start, end + 1, w, how))
+        return out
 
     def is_garbled(self, text: str | None) -> bool:
         if not text or text.isascii():

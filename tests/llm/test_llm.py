@@ -205,6 +205,19 @@ def test_garbled_rows(spark, sequences):
     assert er.garbled_rows(df.limit(0), "t", sequences).count() == 0
 
 
+@pytest.mark.parametrize("text", ["ß25.11", "ß802.13(c)", "see ß 4.1 and ß37.4"])
+def test_letter_for_a_sign_on_short_strings(sequences, text):
+    detector = er.GarbleDetector(tuple(sequences))
+    assert detector.is_garbled(text)
+    if " " not in text:
+        assert detector.repair(text) == (text.replace("ß", "§"), True)
+
+
+@pytest.mark.parametrize("text", ["gemäß25 Abs. 1", "Größe 25.11", "nº25.11", "§25.11"])
+def test_letters_of_words_are_no_signs(sequences, text):
+    assert not er.GarbleDetector(tuple(sequences)).is_garbled(text)
+
+
 # 8 tokens
 
 
