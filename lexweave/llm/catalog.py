@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.keys import section_id
 from lexweave.llm.components import connected_components
-from lexweave.llm.distinctive import LONG_LATIN, distinctive_terms
+from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms
 from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
 from lexweave.llm.language import fit_profiles, with_languages, wrong_labels
 from lexweave.llm.mixing import mix, normal_source, shares
@@ -91,11 +91,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every word of every section and gist that occurs in at least two of them, with its score."""
+    """Every run of letters of every section and gist that occurs in at least two of them, with its score; see p4_words."""
     scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", min_df=2)
     return scored.select("tbl", "row_id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
+def p4_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every section and gist with its score; Han, kana and Thai in pairs of letters."""
+    scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", WORDS)
+    return scored.select("tbl", "row_id", "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -174,6 +180,7 @@ QUERIES = {
     "p3_sentences": p3_sentences,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p4_words": p4_words,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p8_ids": p8_ids,

@@ -17,25 +17,36 @@ from pyspark.sql import functions as F
 MU = 1_000.0
 #: Statistics of at most this many frequent terms are broadcast: a term is frequent from 1/FREQUENT of all postings.
 FREQUENT = 5_000
-#: Any word: letters with marks.
+#: Any maximal run of letters with marks; in Han, kana and Thai that is a clause.
 WORD = r"[\p{L}\p{M}]+"
+_LETTER = r"[[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}]&&[\p{L}]]"
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}]"
+_UNIT = rf"{_LETTER}\p{{M}}*+"
+#: Terms in any script, as groups 1: words of scripts that part them by blanks; of Han, kana and Thai, whose runs of
+#: letters are clauses, all pairs of neighbouring letters (with their marks), and letters that stand alone.
+WORDS = (
+    rf"([\p{{L}}&&[^{_UNSPACED[1:-1]}]][\p{{L}}\p{{M}}&&[^{_UNSPACED[1:-1]}]]*+)",
+    rf"(?=({_UNIT}{_UNIT}|(?<!{_LETTER}\p{{M}}{{0,9}}){_UNIT}(?!{_LETTER})))",
+)
 #: Six or more Latin letters (U+0041 to U+024F without the signs of multiplication and division).
 LONG_LATIN = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]{6,}"
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str, pattern: str = WORD) -> DataFrame:
+def term_counts(df: DataFrame, keys: list[str], text: str, pattern: str | tuple[str, ...] = WORD) -> DataFrame:
     """(keys..., term, tf, len): how often each term occurs in each record, and how many terms that has.
 
+    pattern: what a term is, or several patterns whose groups 1 are terms (see WORDS).
     Null and empty texts give no rows. Keys should be unique; where they are not, tf is summed over the rows and len
     is that of the longest. Counting starts in the scan's tasks.
     """
-    terms = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda t: F.lower(t))
+    found = [(pattern, 0)] if isinstance(pattern, str) else [(p, 1) for p in pattern]
+    terms = F.transform(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)) for p, g in found]), lambda t: F.lower(t))
     listed = df.select(*keys, terms.alias("_terms")).select(*keys, F.size("_terms").alias("len"), F.explode("_terms").alias("term"))
     return listed.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def distinctive_terms(
-    df: DataFrame, collection: list[str], record: list[str], text: str, pattern: str = WORD, mu: float = MU, min_df: int = 1, frequent: int = FREQUENT
+    df: DataFrame, collection: list[str], record: list[str], text: str, pattern: str | tuple[str, ...] = WORD, mu: float = MU, min_df: int = 1, frequent: int = FREQUENT
 ) -> DataFrame:
     """(collection..., record..., term, tf, df, len, score) for every term of every record.
 

@@ -17,7 +17,7 @@ from lexweave.llm import encoding_repair as er
 from lexweave.llm import language as la
 from lexweave.llm import repetition as rp
 from lexweave.llm.components import connected_components
-from lexweave.llm.distinctive import LONG_LATIN, distinctive_terms
+from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms, term_counts
 from lexweave.llm.mixing import mix, shares
 from lexweave.llm.sentences import compose, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
 from lexweave.llm.tokenizer import PATTERN, RankQueue, encoder, vocabulary_path, with_token_counts, with_token_ids
@@ -168,6 +168,26 @@ def test_distinctive(spark):
     assert {r.term for r in terms.collect()} == {"lakéfapi", "divide", "étéété"}
 
 
+def test_words_of_unspaced_scripts(spark):
+    rows = [(1, "标签写明abc标签。人"), (2, "ห้ามแกะ kilo"), (3, "ラベル 是 naïve x"), (4, "は\u3099き"), (5, ""), (6, None)]
+    got = {}
+    for r in term_counts(spark.createDataFrame(rows, "id int, text string"), ["id"], "text", WORDS).collect():
+        got.setdefault(r.id, {})[r.term] = r.tf
+    assert got == {
+        1: {"标签": 2, "签写": 1, "写明": 1, "abc": 1, "人": 1},
+        2: {"ห้า": 1, "าม": 1, "มแ": 1, "แก": 1, "กะ": 1, "kilo": 1},
+        3: {"ラベ": 1, "ベル": 1, "是": 1, "naïve": 1, "x": 1},
+        4: {"は\u3099き": 1},
+    }
+
+
+def test_every_word_has_a_score(spark):
+    got = __spark_entry__.queries()["p4_words"](spark, DATA)
+    texts = {("gists", r.gist_id) for r in spark.read.parquet(f"{DATA}/gists.parquet").collect() if any(c.isalpha() for c in r.gist_text or "")}
+    assert {(r.tbl, r.row_id) for r in got.filter("tbl = 'gists'").select("tbl", "row_id").distinct().collect()} == texts
+    assert got.filter("score IS NULL").count() == 0 and got.filter(F.col("term").rlike(r"\p{IsHan}{3}")).count() == 0
+
+
 # 5 encodings
 
 
