@@ -1,8 +1,8 @@
 """Garbled text from wrong character encodings.
 
-For every pair (true encoding, wrong encoding) the garbled form of what clean text contains is computed beforehand: of
+For every listed pair (true encoding, wrong encoding) the garbled form of what clean text contains is computed beforehand: of
 single characters where the true encoding is UTF-8, of three-character sequences where it is a legacy code page, whose
-single characters would prove nothing. All forms go into one multi-pattern automaton (Aho-Corasick). A row is damaged
+single characters would prove nothing, or where the wrong encoding is multi-byte or Thai. All forms go into one multi-pattern automaton (Aho-Corasick). A row is damaged
 if the automaton finds a strong form, or several weak ones. Only matched spans are decoded again; correct text around
 them stays untouched. Repair is repeated, so text that was decoded wrongly twice is restored too.
 """
@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 #: Most three-character sequences of clean text that patterns are made from, by frequency.
 MAX_SEQUENCES = 40_000
 #: Encodings that UTF-8 text is taken for.
-UTF8_TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15", "cp1254")
+UTF8_TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15", "cp1254", "cp1253", "cp1256", "cp1257")
+#: The same, where the form of one character might be a word, so forms of sequences are taken.
+UTF8_TAKEN_FOR_WORDS = ("cp874", "gb18030", "cp950", "cp932")
+MULTIBYTE = {"gb18030", "cp950", "cp932"}
 #: Fixed values: (legacy encoding, encodings that its text is taken for).
 LEGACY_TAKEN_FOR = (
-    ("cp1252", ("mac_roman", "cp437", "cp850")),
+    ("cp1252", ("mac_roman", "cp437", "cp850", "cp1250", "cp1251")),
     ("mac_roman", ("cp1252", "latin-1")),
     ("cp437", ("cp1252", "latin-1")),
     ("cp850", ("cp1252", "latin-1")),
@@ -76,12 +79,24 @@ def garble(text: str, true: str, wrong: str) -> str | None:
         raw = text.encode(true)
     except UnicodeEncodeError:
         return None
+    if wrong in MULTIBYTE:
+        for n in range(len(raw), len(raw) - 4, -1):  # the last character may need bytes of what follows
+            try:
+                return raw[:n].decode(wrong)
+            except UnicodeDecodeError:
+                pass
+        return None
     table = _bytes_to_chars(wrong)
     return "".join(table[b] for b in raw)
 
 
 def ungarble(text: str, true: str, wrong: str) -> str | None:
     """The reverse of garble; None if text is no such result."""
+    if wrong in MULTIBYTE:
+        try:
+            return text.encode(wrong).decode(true)
+        except UnicodeError:
+            return None
     table = _chars_to_bytes(wrong)
     try:
         return bytes(table[c] for c in text).decode(true)
@@ -123,6 +138,11 @@ class GarbleDetector:
         for wrong in UTF8_TAKEN_FOR:
             for c in alphabet:
                 add(garble(c, "utf-8", wrong), "utf-8", wrong)
+        for wrong in UTF8_TAKEN_FOR_WORDS:
+            for s in sequences:
+                g = garble(s, "utf-8", wrong)
+                if g and len(g) > 2 and (wrong != "cp874" or len(g) > 5 or any(c > "\x7f" and unicodedata.category(c)[0] not in "LM" for c in g)):
+                    add(g, "utf-8", wrong)
         for true, wrongs in LEGACY_TAKEN_FOR:
             for wrong in wrongs:
                 for s in sequences:

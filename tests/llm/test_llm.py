@@ -238,6 +238,26 @@ def test_letters_of_words_are_no_signs(sequences, text):
     assert not er.GarbleDetector(tuple(sequences)).is_garbled(text)
 
 
+@pytest.mark.parametrize("wrong", ["cp1253", "cp1256", "cp1257", "cp874", "gb18030", "cp950", "cp932"])
+def test_utf8_taken_for_further_encodings(sequences, wrong):
+    detector = er.GarbleDetector(tuple(sequences))
+    for text in ("the owner’s copy", "§ 25.11 „Größe“ prüfen"):
+        g = text.encode().decode(wrong, "replace") if wrong in er.MULTIBYTE else er.garble(text, "utf-8", wrong)
+        assert detector.is_garbled(g), g
+    if wrong not in er.MULTIBYTE:
+        assert detector.repair(er.garble("the owner’s copy", "utf-8", wrong)) == ("the owner’s copy", True)
+
+
+@pytest.mark.parametrize("text", ["เธอมาที่นี่ เธอไป", "搂", "第25条 申请人", "Β. Άρθρο 25", "آخر 25"])
+def test_words_that_look_like_further_forms(sequences, text):
+    assert not er.GarbleDetector(tuple(sequences)).is_garbled(text)
+
+
+@pytest.mark.parametrize(("text", "want"), [("搂25.11", "§25.11"), ("the owner鈥檚 copy", "the owner’s copy")])
+def test_utf8_taken_for_gbk_is_restored(sequences, text, want):
+    assert er.GarbleDetector(tuple(sequences)).repair(text) == (want, True)
+
+
 # 8 tokens
 
 
