@@ -19,8 +19,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most three-character sequences of clean text that patterns are made from, by frequency.
-MAX_SEQUENCES = 40_000
 #: Encodings that UTF-8 text is taken for.
 UTF8_TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15", "cp1254", "cp1253", "cp1256", "cp1257")
 #: The same, where the form of one character might be a word, so forms of sequences are taken.
@@ -104,15 +102,16 @@ def ungarble(text: str, true: str, wrong: str) -> str | None:
         return None
 
 
-def clean_sequences(clean: DataFrame, text: str, most: int = MAX_SEQUENCES) -> list[str]:
-    """The most frequent three-character sequences with a non-ASCII character, digits written as 0.
+def clean_sequences(clean: DataFrame, text: str) -> list[str]:
+    """All three-character sequences with a non-ASCII character, the most frequent ones first, digits written as 0.
 
-    Counted over all rows where they are; the driver gets ``most`` strings at most.
+    Counted over all rows where they are; the driver gets each of them once. Their number grows with the letters in
+    use, far slower than the text.
     """
     pattern = F.lit(r"(?s)(?=((?=.{0,2}[^\x00-\x7F]).{3}))")
     found = F.explode(F.regexp_extract_all(F.translate(F.col(text), "123456789", "000000000"), pattern, F.lit(1)))
     counted = clean.select(found.alias("s")).groupBy("s").count()
-    return [r["s"] for r in counted.orderBy(F.desc("count"), "s").limit(most).collect()]
+    return [r["s"] for r in counted.orderBy(F.desc("count"), "s").collect()]
 
 
 class GarbleDetector:
@@ -256,8 +255,7 @@ def _detector(sequences: tuple[str, ...]) -> GarbleDetector:
 def garbled_rows(df: DataFrame, text: str, sequences: list[str], garbled: bool = True) -> DataFrame:
     """The rows of df whose text is garbled, in whole or in part, or those whose text is not.
 
-    Null and empty texts never are garbled. sequences: see clean_sequences; they travel with the task (MAX_SEQUENCES
-    short strings at most).
+    Null and empty texts never are garbled. sequences: see clean_sequences; they travel with the task.
     """
     known, at = tuple(sequences), df.columns.index(text)
 

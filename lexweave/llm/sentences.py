@@ -452,10 +452,10 @@ def split_sentences(text: str | None, headings: tuple[str, ...] = (), chunk: int
     return sentences_from_events(events, text)
 
 
-def known_headings(df: DataFrame, column: str, most: int = 10_000) -> tuple[str, ...]:
-    """Distinct headings, the most frequent ones first (a bounded list: it becomes part of the transducer)."""
-    rows = df.select(F.trim(F.col(column)).alias("h")).filter("h <> ''").groupBy("h").count().orderBy(F.desc("count"), "h").limit(most).collect()
-    return tuple(r["h"] for r in rows if len(r["h"]) <= 200)
+def known_headings(df: DataFrame, column: str) -> tuple[str, ...]:
+    """All distinct headings, the most frequent ones first; they become part of the transducer."""
+    rows = df.select(F.trim(F.col(column)).alias("h")).filter("h <> ''").groupBy("h").count().orderBy(F.desc("count"), "h").collect()
+    return tuple(r["h"] for r in rows)
 
 
 def sentence_rows(df: DataFrame, text: str, headings: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:

@@ -19,7 +19,7 @@ from lexweave.llm import repetition as rp
 from lexweave.llm.components import connected_components
 from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms, term_counts
 from lexweave.llm.mixing import mix, shares
-from lexweave.llm.sentences import compose, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
+from lexweave.llm.sentences import compose, known_headings, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
 from lexweave.llm.tokenizer import PATTERN, RankQueue, encoder, vocabulary_path, with_token_counts, with_token_ids
 
 DATA = "/root/testdata/sf0.001"
@@ -151,6 +151,15 @@ def test_sentence_frames(spark):
     assert sentence_rows(df.limit(0), "t").count() == 0
 
 
+def test_rare_and_long_headings_are_known(spark):
+    long = "Duties of the " + "very " * 50 + "long heading"
+    df = spark.range(10_050).select(F.concat(F.lit("Part "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("heading"))
+    got = known_headings(df.unionByName(df.filter("id < 10000")).unionByName(spark.createDataFrame([(long,)], "heading string")), "heading")
+    assert len(got) == 10_051 and "Part 10049" in got and long in got
+    text = f"Done.\n{long}\nThe warden may close it."
+    assert [text[a:b] for a, b in split_sentences(text, got)] == ["Done.", long, "The warden may close it."]
+
+
 # 4 distinctive terms
 
 
@@ -258,6 +267,13 @@ def test_utf8_taken_for_gbk_is_restored(sequences, text, want):
     assert er.GarbleDetector(tuple(sequences)).repair(text) == (want, True)
 
 
+def test_no_clean_sequence_is_left_out(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 15_000)]
+    df = spark.createDataFrame([("".join(f"{c}x " for c in letters[i : i + 100]),) for i in range(0, 15_000, 100)], "t string")
+    got = set(er.clean_sequences(df, "t"))
+    assert len(got) > 44_000 and all(f"{c}x " in got for c in letters)
+
+
 # 8 tokens
 
 
