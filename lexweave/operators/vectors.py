@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lexweave.operators.graph import top_k
 
+#: Characters of the encoder's window.
+WINDOW = 8_000
 #: Vectors of one block in the global search, and most blocks of queries that a group is cut into.
 BLOCK = 4_096
 
@@ -20,14 +22,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], name: str = "vec") -> DataFrame:
-    """df with unit vectors of text (at most 8,000 characters count, as the encoder's window) by a given model."""
+def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], name: str = "vec", compat: bool = False) -> DataFrame:
+    """df with unit vectors of text by a given model.
+
+    Longer texts are encoded in pieces of the encoder's window, whose unit vectors are averaged by their lengths;
+    with compat=True only the first WINDOW characters count.
+    """
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            v = np.asarray(model([(x or "")[:8000] for x in p]), dtype=np.float32)
-            yield pd.Series(list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
+            texts = [(x or "")[: WINDOW if compat else None] for x in p]
+            pieces = [[x[at : at + WINDOW] for at in range(0, max(len(x), 1), WINDOW)] for x in texts]
+            v = unit(np.asarray(model([x for xs in pieces for x in xs]), dtype=np.float32))
+            weighted = v * np.array([max(len(x), 1) for xs in pieces for x in xs], dtype=np.float32)[:, None]
+            starts = np.cumsum([0, *map(len, pieces[:-1])])
+            yield pd.Series(list(unit(np.add.reduceat(weighted, starts, axis=0))))
 
     return df.withColumn(name, run(text))
 

@@ -194,3 +194,13 @@ def test_measures(spark):
     assert (r.coverage, r.coverage_strict) == (50.0, 0.0)
     assert [ev.porter_stem(w) for w in ("caresses", "relational", "hopping", "agreed", "happy", "the")] == ["caress", "relat", "hop", "agre", "happi", "the"]
     assert ev.rouge_l("the cats sat", "the cat sat down") == pytest.approx(6 / 7) and ev.rouge_l("", "x") == 0 and ev.rouge_l(None, None) == 0
+
+
+def test_encode_takes_whole_texts(spark):
+    model = lambda texts: np.array([[t.count("a") + 1e-6, t.count("b")] for t in texts])
+    rows = [(0, "a" * 8000 + "b" * 8000 + "b" * 4000), (1, "ab"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.vec for r in vec.encode(df, "t", model).collect()}
+    assert got[0] == pytest.approx(np.array([8, 12]) / np.hypot(8, 12), abs=1e-5)
+    assert got[1] == pytest.approx([0.5**0.5] * 2, abs=1e-5) and got[2] == got[3] == pytest.approx([1, 0])
+    assert {r.i: r.vec for r in vec.encode(df, "t", model, compat=True).collect()}[0] == pytest.approx([1, 0], abs=1e-5)
