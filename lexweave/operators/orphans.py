@@ -1,6 +1,7 @@
 """References to records that do not exist, were gone, or had not yet come when the reference was seen.
 
-References are pre-aggregated per key and period first. Keys that hold a large part of them (their number is
+References are counted per key and period first, only to tell which keys are heavy: the joins run over all of them,
+row by row, since every orphan's row is asked for. Keys that hold a large part of them (their number is
 bounded by the share that makes a key heavy) are checked map-side against a broadcast of their presence
 intervals; all other keys go through a shuffled anti-join, where by definition no key is large. Both orphan sets
 are united. No reference is dropped or sampled.
