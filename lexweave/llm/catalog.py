@@ -11,7 +11,7 @@ from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms
 from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
 from lexweave.llm.language import fit_profiles, with_languages, wrong_labels
 from lexweave.llm.mixing import mix, normal_source, shares
-from lexweave.llm.repetition import DecisionList, fit_repetition, repetitive_texts, with_statistics
+from lexweave.llm.repetition import BLANK, DecisionList, fit_repetition, repetitive_texts, with_shares
 from lexweave.llm.sentences import known_headings, sentence_offsets, sentence_rows
 from lexweave.llm.tokenizer import with_token_counts, with_token_ids
 from lexweave.plans import oracle_parts as o
@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
-    return with_statistics(_texts(spark, d, *P1_TEXTS), "text").select("tbl", "row_id", F.round("repeated_share", 6).alias("repeated_share"))
+    return with_shares(_texts(spark, d, *P1_TEXTS), "text").select("tbl", "row_id", F.round("repeated_share", 6).alias("repeated_share"))
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
@@ -203,7 +203,8 @@ def _p1_sql() -> str:
 
     return f"""
 WITH t AS (SELECT tbl, row_id, lower(coalesce(text, '')) AS s, regexp_matches(coalesce(text, ''), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}]') AS u FROM ({_union(P1_TEXTS)})),
-w AS (SELECT *, regexp_extract_all(s, CASE WHEN u THEN '[\\p{{L}}\\p{{M}}]' ELSE '[\\p{{L}}\\p{{M}}]+' END) AS items FROM t),
+w AS (SELECT *, CASE WHEN u THEN regexp_extract_all(s, '[\\p{{L}}\\p{{M}}]')
+  ELSE list_filter(string_split_regex(regexp_replace(s, '[^\\p{{L}}\\p{{M}}{BLANK}]+', '', 'g'), '[{BLANK}]+'), lambda w: w <> '') END AS items FROM t),
 g AS (SELECT tbl, row_id, CASE WHEN u THEN {grams('items', 8, '')} ELSE {grams('items', 3, ' ')} END AS runs FROM w)
 SELECT tbl, row_id, CASE WHEN len(runs) > 0 THEN 1 - len(list_distinct(runs))::DOUBLE / len(runs) ELSE 0 END AS share FROM g
 """

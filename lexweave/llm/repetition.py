@@ -2,7 +2,8 @@
 
 Statistics of repetition are plain Catalyst expressions over one row. A decision list, learned by sequential
 covering from labelled rows (grow a conjunction of thresholds by information gain, prune it on held-out rows, remove
-what it covers, go on), is emitted as an ordered Spark conditional expression and picks the repetitive texts.
+what it covers, go on), is emitted as an ordered Spark conditional expression over cheap statistics and picks the
+repetitive texts; the exact share of repeated runs, which is no statistic of the list, is measured of these only.
 """
 
 from __future__ import annotations
@@ -19,14 +20,20 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 #: Most labelled rows that a decision list is fitted on.
 MAX_LABELLED = 20_000
 #: A labelled row counts as repetitive for the fit from this reported share; it lies below the share that is asked
-#: for, so that the list keeps every doubtful text for the exact measure.
+#: for, so that the list keeps doubtful texts for the exact measure.
 FIT_SHARE = 0.15
 
 
-def _runs(items: Column, n: int) -> Column:
-    """All runs of n neighbouring items; none if there are fewer items."""
-    last = F.size(items) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _runs(items: Column, n: int, sep: str) -> Column:
+    """All runs of n neighbouring items (a column, no expression), joined by sep; none if there are fewer items."""
+    every = F.transform(items, lambda x, i: F.concat_ws(sep, x, *[F.get(items, i + k) for k in range(1, n)]))
+    return F.slice(every, 1, F.greatest(F.size(items) - (n - 1), F.lit(0)))
+
+
+def _pairs(items: Column, n: int) -> Column:
+    """The hashes of all runs of n neighbouring items."""
+    every = F.transform(items, lambda x, i: F.xxhash64(x, *[F.get(items, i + k) for k in range(1, n)]))
+    return F.slice(every, 1, F.greatest(F.size(items) - (n - 1), F.lit(0)))
 
 
 def _share(runs: Column) -> Column:
@@ -35,9 +42,13 @@ def _share(runs: Column) -> Column:
     return F.element_at(one, 1)
 
 
+#: White space of every kind.
+BLANK = r"\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def words(text: Column) -> Column:
-    """Lower-case words; digits and punctuation are ignored."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "), " "), lambda w: w != "")
+    """Lower-case words, parted by white space; within them all that is no letter or mark is deleted."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}{BLANK}]+", ""), rf"[{BLANK}]+"), lambda w: w != "")
 
 
 def letters(text: Column) -> Column:
@@ -50,35 +61,52 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-#: Statistics that a decision list may test.
-STATISTICS = ["repeated_share", "share_long_runs", "share_sentences", "n_units"]
-#: Share of labels that may be stale or wrong, and fewest class members that a rule must cover.
+#: Statistics that a decision list may test, the most telling ones first.
+STATISTICS = ["pair_share", "unit_share", "sentence_share", "n_units"]
+#: Share of labels that may be wrong, and fewest class members that a rule must cover.
 LABEL_NOISE, LEAST_COVER = 0.15, 3
+#: A reported share that is farther from the measured one is stale, and no label.
+STALE = 0.05
 
 
-def with_statistics(df: DataFrame, text: str) -> DataFrame:
-    """df with the columns of STATISTICS; a null text counts as empty, whose shares are 0.
+def with_units(df: DataFrame, text: str) -> DataFrame:
+    """df with ``_p``: whether the text has letters of unspaced scripts (u), and its words or letters (w).
 
-    repeated_share: share of runs of three words (eight letters in texts with Han, kana or Thai letters) that already
-    occurred in the text.
+    It leaves through a generator of one row: the optimizer does not copy expressions across it, so units are cut once
+    a row however often statistics, rules and filters name them. A null text counts as empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    # Each step leaves through a generator of one row: the optimizer does not copy expressions across it, so words,
-    # letters and statistics are computed once a row however often rules and filters name them.
     unspaced = t.rlike(UNSPACED)
-    parts = F.struct(
-        unspaced.alias("u"), words(t).alias("w"), F.when(unspaced, letters(t)).otherwise(F.array().cast("array<string>")).alias("l"), _sentences(t).alias("s")
-    )
-    p = F.col("_p")
+    return df.drop("_p").select("*", F.explode(F.array(F.struct(unspaced.alias("u"), F.when(unspaced, letters(t)).otherwise(words(t)).alias("w")))).alias("_p"))
+
+
+def repeated_share(units: DataFrame) -> DataFrame:
+    """units (see with_units) with ``repeated_share``, exactly: the share of runs of three words (eight letters in
+    texts with Han, kana or Thai letters) that already occurred in the text; 0 if there is no run."""
+    u, w = F.col("_p")["u"], F.col("_p")["w"]
+    return units.drop("repeated_share").select("*", F.explode(F.array(F.when(u, _share(_runs(w, 8, ""))).otherwise(_share(_runs(w, 3, " "))))).alias("repeated_share"))
+
+
+def with_shares(df: DataFrame, text: str) -> DataFrame:
+    """df with the exact repeated_share of every text; a column of this name is replaced."""
+    return repeated_share(with_units(df, text)).drop("_p")
+
+
+def with_statistics(units: DataFrame, text: str) -> DataFrame:
+    """units (see with_units) with the columns of STATISTICS, which need no run of full length and no joined strings.
+
+    pair_share: share of pairs of words (runs of four letters) that occurred before, never less than the share of
+    longer runs but for one run; unit_share: of words (pairs of letters); sentence_share: of sentences. Columns of
+    these names are replaced.
+    """
+    u, w = F.col("_p")["u"], F.col("_p")["w"]
     statistics = F.struct(
-        F.when(p["u"], _share(_runs(p["l"], 8))).otherwise(_share(_runs(p["w"], 3))).alias("repeated_share"),
-        F.when(p["u"], _share(_runs(p["l"], 16))).otherwise(_share(_runs(p["w"], 6))).alias("share_long_runs"),
-        _share(p["s"]).alias("share_sentences"),
-        F.when(p["u"], F.size(p["l"])).otherwise(F.size(p["w"])).cast("double").alias("n_units"),
+        _share(F.when(u, _pairs(w, 4)).otherwise(_pairs(w, 2))).alias("pair_share"),
+        _share(F.when(u, _pairs(w, 2)).otherwise(_pairs(w, 1))).alias("unit_share"),
+        _share(_sentences(F.coalesce(F.col(text), F.lit("")))).alias("sentence_share"),
+        F.size(w).cast("double").alias("n_units"),
     )
-    df = df.select("*", F.explode(F.array(parts)).alias("_p"))
-    df = df.select("*", F.explode(F.array(statistics)).alias("_s"))
-    return df.select(*[c for c in df.columns if c not in ("_p", "_s", *STATISTICS)], "_s.*")
+    return units.drop(*STATISTICS, "_s").select("*", F.explode(F.array(statistics)).alias("_s")).select("*", "_s.*").drop("_s")
 
 
 @dataclass(frozen=True)
@@ -233,20 +261,31 @@ def reported_share(c: Column) -> Column:
 def fit_repetition(labelled: DataFrame, text: str, reported: str, fit_share: float = FIT_SHARE, max_rows: int = MAX_LABELLED) -> DecisionList:
     """A decision list fitted on at most max_rows labelled rows (those of the lowest text hash).
 
-    Labels may be stale or wrong; pruning and the precision limit keep single wrong labels from making rules. Without
-    a usable label the list has the single rule ``repeated_share >= fit_share``.
+    The label is whether the reported share is at least fit_share; reports that are farther than STALE from the
+    measured share are stale and left out. Pruning and the precision limit keep single wrong labels from making rules.
+    Without a usable label the list has the single rule ``pair_share >= fit_share``.
     """
     share = reported_share(F.col(reported).cast("double"))
-    rows = labelled.select(F.col(text), share.alias("_y")).filter(F.col("_y").isNotNull() & F.col(text).isNotNull())
-    rows = with_statistics(rows.orderBy(F.xxhash64(text)).limit(max_rows), text).select("_y", *STATISTICS).toPandas()
+    rows = labelled.select(F.col(text).alias("_t"), share.alias("_y")).filter("_y IS NOT NULL AND _t IS NOT NULL").orderBy(F.xxhash64("_t"), "_t", "_y").limit(max_rows)
+    rows = with_statistics(repeated_share(with_units(rows, "_t")), "_t").filter(F.abs(F.col("_y") - F.col("repeated_share")) <= STALE)
+    rows = rows.select("_y", *STATISTICS).toPandas()
     y = (rows["_y"] >= fit_share).to_numpy(dtype=bool)
     if y.any() and not y.all():
         found = learn_decision_list({n: rows[n].to_numpy(dtype=float) for n in STATISTICS}, y)
         if found.rules:
             return found
-    return DecisionList(((Condition("repeated_share", True, fit_share),),))
+    return DecisionList(((Condition("pair_share", True, fit_share),),))
+
+
+def flagged_texts(df: DataFrame, text: str, rules: DecisionList) -> DataFrame:
+    """The rows of df that the list flags, with their statistics and ``rule``, the number of the first rule that holds."""
+    return with_statistics(with_units(df, text), text).withColumn("rule", rules.column()).filter(F.col("rule") > 0)
 
 
 def repetitive_texts(df: DataFrame, text: str, rules: DecisionList, least_share: float = 0.25) -> DataFrame:
-    """df with its statistics and ``rule``: the rows that the list flags and whose exact repeated share is at least least_share."""
-    return with_statistics(df, text).withColumn("rule", rules.column()).filter((F.col("rule") > 0) & (F.col("repeated_share") >= least_share))
+    """The rows that the list flags, and of them those whose exact repeated_share is at least least_share.
+
+    Only flagged rows are measured exactly. A null or empty text has no repetition; columns that clash with the
+    statistics, rule or repeated_share are replaced; rows that repeat are judged each.
+    """
+    return repeated_share(flagged_texts(df, text, rules)).filter(F.col("repeated_share") >= least_share).drop("_p")

@@ -37,22 +37,34 @@ def brute_share(text):
     if regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", text):
         items, n = regex.findall(r"[\p{L}\p{M}]", low), 8
     else:
-        items, n = regex.findall(r"[\p{L}\p{M}]+", low), 3
+        items, n = [w for w in (regex.sub(r"[^\p{L}\p{M}]+", "", t) for t in low.split()) if w], 3
     runs = [tuple(items[i : i + n]) for i in range(len(items) - n + 1)]
     return 1 - len(set(runs)) / len(runs) if runs else 0.0
 
 
 def test_repeated_share(spark):
-    texts = [None, "", " ", "a b", "A b, c! a B c 12 a b c", "申请人可以暂停资格申请人可以暂停资格", "x " * 5000, "ห้ามแกะตราผนึก ห้ามแกะตราผนึก", "don’t stop"]
+    texts = [None, "", " ", "a b", "A b, c! a B c 12 a b c", "申请人可以暂停资格申请人可以暂停资格", "x " * 5000, "ห้ามแกะตราผนึก ห้ามแกะตราผนึก", "don’t stop", "a\u00a0b\u2003c a b c", "Ã¤b c3d e—f Ã¤b c3d e—f", "Ð¡Ð»Ð¾Ð²Ð¾ Ð½Ðµ"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: r.repeated_share for r in rp.with_statistics(df, "text").collect()}
+    got = {r.i: r.repeated_share for r in rp.with_shares(df, "text").collect()}
     assert all(got[i] == pytest.approx(brute_share(x)) for i, x in enumerate(texts))
 
 
 def test_statistics_keep_clashing_columns_defined(spark):
     df = spark.createDataFrame([("a a a a", 5)], "text string, n_units int")
-    r = rp.with_statistics(df, "text").first()
-    assert r.n_units == 4.0 and r.repeated_share == 0.5
+    r = rp.with_statistics(rp.with_units(df, "text"), "text").first()
+    assert r.n_units == 4.0 and r.pair_share == pytest.approx(2 / 3) and r.unit_share == 0.75
+    df = spark.createDataFrame([("a a a a", "x", 7)], "text string, rule string, repeated_share int")
+    every = rp.DecisionList(((rp.Condition("pair_share", True, 0.1),),))
+    assert rp.repetitive_texts(df, "text", every).select("text", "rule", "repeated_share").first()[1:] == (1, 0.5)
+
+
+@given(st.lists(st.sampled_from("a b c d".split()), min_size=3, max_size=40))
+def test_pairs_repeat_at_least_as_runs_do(items):
+    def repeated(n):
+        runs = [tuple(items[i : i + n]) for i in range(len(items) - n + 1)]
+        return len(runs) - len(set(runs))
+
+    assert repeated(2) >= repeated(3)  # so a list that keeps texts with many repeated pairs loses none with many repeated runs
 
 
 def test_decision_list_learns_through_label_noise():
