@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 #: Blanks of every kind, soft hyphens, zero-width characters and byte order marks; valid in Java and RE2.
 INVISIBLE = r"[\s\x{000B}\x{0085}\x{00A0}\x{00AD}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]+"
-SECTION = r"^[^0-9A-Za-z]*(?:(?i:sections?|sec)[^0-9A-Za-z]*)?([0-9]{1,6})\.([0-9]{1,6})((?:\([0-9A-Za-z]{1,8}\))*)[^0-9A-Za-z]*$"
-TITLE = r"^[^0-9A-Za-z]*([0-9]{1,4})\.?(?i:c\.?f\.?r)\.?(.*)$"
-PART = r"^(?i:part|pt)\.?([0-9]{1,6})[^0-9A-Za-z]*$"
+SECTION = r"^[^0-9A-Za-z]*(?:(?i:sections?|sec)[^0-9A-Za-z]*)?([0-9]{1,6}\.[0-9]{1,6})(?:\([0-9A-Za-z]{1,8}\))*[^0-9A-Za-z]*$"
+TITLE = r"^[^0-9A-Za-z]*([0-9]{1,4})\.?(?i:c\.?f\.?r)\.?"
+PART = r"(?i:part|pt)\.?([0-9]{1,6})[^0-9A-Za-z]*$"
+_MARK = "\x01"
 
 
 def squeeze(c: Column) -> Column:
@@ -23,17 +24,15 @@ def squeeze(c: Column) -> Column:
 
 def section_id(c: Column) -> Column:
     """``§37.4`` for any readable spelling of that section, its paragraphs included; else null."""
-    s = squeeze(c)
-    part, number = F.regexp_extract(s, SECTION, 1), F.regexp_extract(s, SECTION, 2)
-    return F.when(part != "", F.concat(F.lit("§"), part, F.lit("."), number))
+    return F.concat(F.lit("§"), F.nullif(F.regexp_extract(squeeze(c), SECTION, 1), F.lit("")))
 
 
 def cited_title(c: Column) -> Column:
-    """``2CFR part 7`` or ``2CFR §7.12`` for any readable citation of another title; else null."""
-    s = squeeze(c)
-    title, rest = F.regexp_extract(s, TITLE, 1), F.regexp_extract(s, TITLE, 2)
-    part, sec = F.regexp_extract(rest, PART, 1), section_id(rest)
-    return F.when(
-        title != "",
-        F.when(part != "", F.concat(title, F.lit("CFR part "), part)).when(sec.isNotNull(), F.concat(title, F.lit("CFR "), sec)),
-    )
+    """``2CFR part 7`` or ``2CFR §7.12`` for any readable citation of another title; else null.
+
+    Each rewriting names its input once, so that nothing is computed twice; a mark that no squeezed text has tells
+    what was rewritten.
+    """
+    s = F.regexp_replace(F.translate(squeeze(c), _MARK, ""), TITLE + PART, f"{_MARK}$1CFR part $2")
+    s = F.regexp_replace(s, TITLE + SECTION[1:], f"{_MARK}$1CFR §$2")
+    return F.nullif(F.regexp_extract(s, f"^{_MARK}(.*)$", 1), F.lit(""))

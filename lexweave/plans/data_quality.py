@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.keys import section_id
-from lexweave.operators.orphans import orphan_citations, orphan_counts
+from lexweave.operators.orphans import orphan_citation_counts, orphan_citations
 from lexweave.operators.table_diff import table_diff
 from lexweave.plans import oracle_parts as o
 from lexweave.session import table
@@ -27,16 +27,16 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("field_name").agg(F.count("*").alias("sections"), F.countDistinct("doc_id").alias("regulations"))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_citations(table(spark, d, "explicit_refs_flat"), table(spark, d, "sections"), table(spark, d, "cited_titles"))
+def _references(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("explicit_refs_flat", "sections", "cited_titles")]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("ref_id", "field_name")
+    return orphan_citations(*_references(spark, d)).select("ref_id", "field_name")
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_counts(_orphans(spark, d))
+    return orphan_citation_counts(*_references(spark, d))
 
 
 QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_counts": p7_counts}

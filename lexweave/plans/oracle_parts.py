@@ -10,12 +10,11 @@ def squeeze(c: str) -> str:
 
 
 def section_id(c: str) -> str:
-    s = squeeze(c)
-    return f"(CASE WHEN regexp_extract({s}, '{keys.SECTION}', 1) <> '' THEN '§' || regexp_extract({s}, '{keys.SECTION}', 1) || '.' || regexp_extract({s}, '{keys.SECTION}', 2) END)"
+    return f"('§' || nullif(regexp_extract({squeeze(c)}, '{keys.SECTION}', 1), ''))"
 
 
 def cited_title(c: str) -> str:
     s = squeeze(c)
-    title, rest = f"regexp_extract({s}, '{keys.TITLE}', 1)", f"regexp_extract({s}, '{keys.TITLE}', 2)"
-    part = f"regexp_extract({rest}, '{keys.PART}', 1)"
+    title, rest = f"regexp_extract({s}, '{keys.TITLE}(.*)$', 1)", f"regexp_extract({s}, '{keys.TITLE}(.*)$', 2)"
+    part = f"regexp_extract({rest}, '^{keys.PART}', 1)"
     return f"(CASE WHEN {title} <> '' THEN CASE WHEN {part} <> '' THEN {title} || 'CFR part ' || {part} ELSE {title} || 'CFR ' || {section_id(rest)} END END)"

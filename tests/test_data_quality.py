@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def test_orphans_heavy_and_light_agree(spark):
     assert orphans(r, iv.limit(0)).count() == 900
 
 
-def test_orphan_counts(spark):
-    df = spark.createDataFrame([("f", "t", "x", day(1)), ("f", "t", "x", day(2)), ("f", "t", "y", day(40))], "field_name string, target_table string, target string, seen_at timestamp")
-    assert sorted(map(tuple, orphan_counts(df).collect())) == [("f", "t", "2024-01", 2, 1), ("f", "t", "2024-02", 1, 1)]
+@pytest.mark.parametrize("options", [{}, {"heavy_share": 5}, {"heavy_share": 5, "broadcast_intervals": 0}])
+def test_orphan_counts(spark, options):
+    rng = np.random.default_rng(5)
+    refs = [("f" if i % 4 else "g", "hot" if i % 3 == 0 else f"k{rng.integers(30)}", day(int(rng.integers(200)))) for i in range(700)]
+    refs += [("f", None, day(1)), ("g", "k1", None)]
+    rows = [(f"k{i}", day(i * 5), day(i * 5 + 70) if i % 2 else None) for i in range(0, 30, 2)] + [("hot", day(45), day(50)), ("hot", day(130), None)]
+    iv = presence_intervals(spark.createDataFrame(rows, "k string, a timestamp, b timestamp"), F.col("k"), "a", "b")
+    lost = [(f, k, s) for f, k, s in refs if k and s and not any(x == k and a <= s and (b is None or b > s) for x, a, b in rows)]
+    want = {}
+    for f, k, s in lost:
+        want.setdefault((f, s.strftime("%Y-%m")), []).append(k)
+    r = spark.createDataFrame(refs, "f string, target string, seen_at timestamp")
+    got = {(x.f, x.month): (x.orphans, x.targets) for x in orphan_counts(r, iv, ["f"], **options).collect()}
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert orphan_counts(r.limit(0), iv, ["f"]).count() == 0
