@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.keys import section_id
 from lexweave.llm.components import connected_components
-from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms
+from lexweave.llm.distinctive import LONG_LATIN, all_words, distinctive_terms, runs_of
 from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired_rows
 from lexweave.llm.language import fit_profiles, with_languages, wrong_labels
 from lexweave.llm.mixing import mix, normal_source, shares
@@ -86,8 +86,10 @@ P4_TEXTS = (("sections", "sec_key", "text"), ("gists", "gist_id", "gist_text"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", LONG_LATIN)
-    return scored.filter("tf >= 3 AND df <= 5").select("tbl", "row_id", "term")
+    """The most characteristic terms of a record come first."""
+    scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", runs_of(LONG_LATIN))
+    cases = scored.filter("tf >= 3 AND df <= 5")
+    return cases.sortWithinPartitions("tbl", "row_id", F.desc("score"), "term").select("tbl", "row_id", "term")
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +100,7 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_words(spark: SparkSession, d: str) -> DataFrame:
     """Every word of every section and gist with its score; Han, kana and Thai in pairs of letters."""
-    scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", WORDS)
+    scored = distinctive_terms(_texts(spark, d, *P4_TEXTS), ["tbl"], ["row_id"], "text", all_words)
     return scored.select("tbl", "row_id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 

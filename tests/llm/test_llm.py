@@ -17,7 +17,7 @@ from lexweave.llm import encoding_repair as er
 from lexweave.llm import language as la
 from lexweave.llm import repetition as rp
 from lexweave.llm.components import connected_components
-from lexweave.llm.distinctive import LONG_LATIN, WORDS, distinctive_terms, term_counts
+from lexweave.llm.distinctive import LONG_LATIN, all_words, distinctive_terms, runs_of, term_counts
 from lexweave.llm.mixing import mix, shares
 from lexweave.llm.sentences import compose, known_headings, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
 from lexweave.llm.tokenizer import PATTERN, RankQueue, encoder, vocabulary_path, with_token_counts, with_token_ids
@@ -185,14 +185,14 @@ def test_distinctive(spark):
         pd = (2 + 10 * pc) / 13
         assert got["t", 1, "apple"].score == pytest.approx(pd * np.log(pd / pc)) and got["t", 1, "pear"].df == 2
     assert distinctive_terms(df, ["tbl"], ["id"], "text", min_df=2).count() == 2
-    terms = distinctive_terms(spark.createDataFrame([("t", 1, "lakéfapi×divide abcde ÉTÉÉTÉ")], "tbl string, id int, text string"), ["tbl"], ["id"], "text", LONG_LATIN)
+    terms = distinctive_terms(spark.createDataFrame([("t", 1, "lakéfapi×divide abcde ÉTÉÉTÉ")], "tbl string, id int, text string"), ["tbl"], ["id"], "text", runs_of(LONG_LATIN))
     assert {r.term for r in terms.collect()} == {"lakéfapi", "divide", "étéété"}
 
 
 def test_words_of_unspaced_scripts(spark):
     rows = [(1, "标签写明abc标签。人"), (2, "ห้ามแกะ kilo"), (3, "ラベル 是 naïve x"), (4, "は\u3099き"), (5, ""), (6, None)]
     got = {}
-    for r in term_counts(spark.createDataFrame(rows, "id int, text string"), ["id"], "text", WORDS).collect():
+    for r in term_counts(spark.createDataFrame(rows, "id int, text string"), ["id"], "text", all_words).collect():
         got.setdefault(r.id, {})[r.term] = r.tf
     assert got == {
         1: {"标签": 2, "签写": 1, "写明": 1, "abc": 1, "人": 1},
