@@ -16,7 +16,7 @@ import __spark_entry__
 from lexweave.llm import encoding_repair as er
 from lexweave.llm import language as la
 from lexweave.llm import repetition as rp
-from lexweave.llm.components import connected_components
+from lexweave.llm.components import connected_components, union_find
 from lexweave.llm.distinctive import LONG_LATIN, all_words, distinctive_terms, runs_of, term_counts
 from lexweave.llm.mixing import mix, shares
 from lexweave.llm.sentences import compose, known_headings, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
@@ -105,17 +105,25 @@ def brute_groups(rows):
     return {(s, a): find((s, a))[1] for s, a in parent}
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 3])
+@pytest.mark.parametrize("limit", [1_000_000, 100, 40])
 def test_components(spark, limit):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.4 else f"s{rng.randrange(4)}", f"§{rng.randrange(40)}", f"§{rng.randrange(40)}") for _ in range(120)]
-    rows += [("p", f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z", "a", "a"), ("z", None, "b"), (None, "a", "b")] + rows[:5]
+    rows += [("p", f"n{i:03}", f"n{i + 1:03}") for i in range(300)] + [("star", f"ray{i}", "hub") for i in range(200)] + [("z", "a", "a"), ("z", None, "b"), (None, "a", "b")] + rows[:5]
     df = spark.createDataFrame(rows, "s string, a string, b string")
-    got = {(r.scope, r.record): r.group_id for r in connected_components(df, "s", "a", "b", max_task_records=limit).collect()}
+    got = {(r.scope, r.record): r.group_id for r in connected_components(df, "s", "a", "b", limit=limit).collect()}
     assert got == brute_groups(rows)
     assert connected_components(df.limit(0), "s", "a", "b").count() == 0
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_union_find(pairs):
+    a, b = (np.array([p[i] for p in pairs], dtype=np.int64) for i in (0, 1))
+    root = union_find(a, b, 31)
+    want = brute_groups([("s", x, y) for x, y in pairs])
+    assert all(root[x] == want.get(("s", x), x) for x in range(31))
+
+
 # 3 sentences
 
 CASES = [
