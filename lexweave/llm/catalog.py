@@ -12,7 +12,7 @@ from lexweave.llm.encoding_repair import clean_sequences, garbled_rows, repaired
 from lexweave.llm.language import fit_profiles, with_languages, wrong_labels
 from lexweave.llm.mixing import mix, normal_source, shares
 from lexweave.llm.repetition import BLANK, DecisionList, fit_repetition, repetitive_texts, with_shares
-from lexweave.llm.sentences import known_headings, sentence_offsets, sentence_rows
+from lexweave.llm.sentences import sentence_rows
 from lexweave.llm.tokenizer import with_token_counts, with_token_ids
 from lexweave.plans import oracle_parts as o
 from lexweave.session import cut, table
@@ -64,20 +64,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
-def _readable_gists(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[str, ...]]:
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences themselves, numbered within each gist."""
     gists = table(spark, d, "gists").select("gist_id", "gist_text").filter("gist_text <> ''")
-    return garbled_rows(gists, "gist_text", _clean(spark, d), garbled=False), known_headings(table(spark, d, "sections"), "heading")
+    return sentence_rows(garbled_rows(gists, "gist_text", _clean(spark, d), garbled=False), "gist_id", "gist_text", table(spark, d, "sections"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    gists, headings = _readable_gists(spark, d)
-    return sentence_offsets(gists, "gist_id", "gist_text", headings)
-
-
-def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences themselves, numbered within each gist."""
-    gists, headings = _readable_gists(spark, d)
-    return sentence_rows(gists, "gist_text", headings).select("gist_id", "sent_idx", "sent_text")
+    return p3_sentences(spark, d).select("gist_id", "sent_start", "sent_end")
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------

@@ -1,31 +1,30 @@
 """Sentence boundaries across languages and scripts.
 
 The boundary rules are compiled into a finite transducer over characters. Its state holds the open quotation and
-parenthesis, what the current sentence has shown so far, positions in three tries (abbreviations, words that go on
-after one, known headings) and a pending boundary with what must follow it. Its outputs say where a boundary is
-pending, where the next sentence would start, and whether the pending boundary holds. States and transitions are built
-when first met and kept; there are finitely many.
+parenthesis, what the current sentence has shown so far, positions in two tries (abbreviations, words that go on after
+one) and a pending boundary with what must follow it. Its outputs say where a boundary is pending, where the next
+sentence would start, and whether the pending boundary holds. States and transitions are built when first met and
+kept; there are finitely many. Known headings are no part of it: lines are joined with them by their hashes, and the
+end of a line that is a heading is a symbol of its own.
 
 Long texts are processed in chunks. A chunk is a function from the state before it to the state after it; chunks are
-cut inside words, where everything but the long-range part of the state (quotation, parenthesis, sentence so far) is
-the same whatever came before, so the function is a small table. The tables of a text are composed by a parallel
-prefix scan, which gives each chunk its true start state; then every chunk emits its boundaries on its own.
+cut behind or inside words, where everything but the long-range part of the state (quotation, parenthesis, sentence so
+far) is the same whatever came before, so the function is a small table. The tables of a text are composed by a
+parallel prefix scan, which gives each chunk its true start state; then every chunk emits its boundaries on its own.
 """
 
 from __future__ import annotations
 
 from collections import namedtuple
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Texts longer than this (code points) are processed in chunks of about this size.
 CHUNK = 65_536
@@ -36,7 +35,7 @@ MAY = "etc al co inc ltd corp jr usw ff".split()
 #: Abbreviations before a number; in text of capitals only, they never end a sentence.
 BEFORE_NUMBER = "all art no nr abs para par ust n".split()
 #: Words that go on after such an abbreviation in text of capitals only.
-GOES_ON = "subject as under except on in by and or to of must shall may will has is are at for with before after from who if unless not may the".split()[:-1]
+GOES_ON = "subject as under except on in by and or to of must shall may will has is are at for with before after from who if unless not".split()
 #: Months that an ordinal number with a full stop precedes.
 MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember".split()
 #: Opening quotation marks with what closes them.
@@ -53,9 +52,17 @@ _UNSEEN = "\0"  # stands for any letter that no trie has
 
 # q: index of the opening mark + 1; qc: a colon came before it; qs: it opened the sentence; qi: an end mark is last in it.
 # p: parentheses; lower, seen, thai: of the sentence; w: abbreviation trie node, -1 none; pm: "p." or "a." came directly
-# before; prev: kind of the last character; h: heading trie node, -1 none; t, ph, k: pending boundary, phase, detail.
+# before; prev: kind of the last character; h: lines since the sentence began with a line, 0 if it did not; t, ph, k: pending boundary, phase, detail.
 State = namedtuple("State", "q qc qs qi p lower seen thai w one pm prev colon nl h t ph k")
-START = State(0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, "start", 0, 1, 0, "", 0, 0)
+START = State(0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, "start", 0, 1, 1, "", 0, 0)
+#: Line ends.
+NEWLINES = "\n\u2028\u2029\x0b\x0c\x85"
+#: Lines that a heading may be wrapped into.
+WRAPPED = 4
+#: What stands for a line end, by the set of n for which the n lines before it are a heading (no text has a lone surrogate).
+HEADING_ENDS = [chr(0xD800 + i) for i in range(2**WRAPPED)]
+#: Bits of a symbol's number in a transition's key: more than there are code points.
+SYMBOL_BITS = 21
 CAND, EXTEND, NEXT, CUT, DROP = range(1, 6)
 
 
@@ -78,13 +85,10 @@ class _Trie:
 
 
 class SentenceTransducer:
-    def __init__(self, headings: tuple[str, ...] = ()) -> None:
+    def __init__(self) -> None:
         self.abbreviations = _Trie([*NEVER, *MAY, *BEFORE_NUMBER])
         self.go_on, self.months = _Trie(GOES_ON), _Trie(MONTHS)
-        known = {regex.sub(r"[\s\p{Z}]+", " ", h).strip().rstrip(".").casefold() for h in headings}
-        self.headings = _Trie(sorted(h for h in known if h))
-        self.longest_heading = max(map(len, known), default=0)
-        self.letters = {c for t in (self.abbreviations, self.go_on, self.months, self.headings) for n in t.next for c in n}
+        self.letters = {c for t in (self.abbreviations, self.go_on, self.months) for n in t.next for c in n}
         self.symbols: dict[str, int] = {}
         self.symbol_list: list[tuple] = []
         self.by_symbol: dict[tuple, int] = {}
@@ -93,9 +97,9 @@ class SentenceTransducer:
         self.table: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.start = self.state_id(START)
         self.carried = [
-            State(q, qc, qs, 0, p, lower, seen, thai, -1, 0, 0, "", 0, 0, -1, "", 0, 0)
-            for (q, qc, qs), p, lower, seen, thai in product(
-                [(0, 0, 0), *product(range(1, len(_CLOSERS) + 1), (0, 1), (0, 1))], range(3), (0, 1), (0, 1), (0, 1)
+            State(q, qc, qs, 0, p, lower, seen, thai, -1, 0, 0, "", 0, 0, h, "", 0, 0)
+            for (q, qc, qs), p, lower, seen, thai, h in product(
+                [(0, 0, 0), *product(range(1, len(_CLOSERS) + 1), (0, 1), (0, 1))], range(3), (0, 1), (0, 1), (0, 1), range(WRAPPED + 1)
             )
         ]
         self.carried_id = {s: i for i, s in enumerate(self.carried)}
@@ -120,8 +124,8 @@ class SentenceTransducer:
         """(kind, letter of the tries, detail)."""
         if c in "\r​‌‍﻿­":
             return "none", "", ""
-        if c in "\n  \x0b\x0c\x85":
-            return "nl", " ", ""
+        if c in NEWLINES or c in HEADING_ENDS:
+            return "nl", " ", "" if c in NEWLINES else str(HEADING_ENDS.index(c))
         if c in QUOTES or c in "”»」』":
             return "quote", c, c
         folded = c.casefold()
@@ -157,7 +161,7 @@ class SentenceTransducer:
 
     def _fresh(self, s: State, newline: int) -> State:
         """The state at the first character of a new sentence."""
-        return START._replace(nl=newline, h=0 if newline else -1, w=0)
+        return START._replace(nl=newline, h=newline)
 
     def _cut(self, s: State, events: list[int]) -> State:
         events.append(CUT)
@@ -173,7 +177,7 @@ class SentenceTransducer:
         if s.ph == 2:  # in a parenthesis that may be a label
             if kind == "close" and 1 <= s.k <= 4:
                 s = self._cut(s, events)
-                return s._replace(prev="close", w=-1, h=-1), True
+                return s._replace(prev="close", w=-1, h=0), True
             if kind in ("letter", "digit") and s.k < 4:
                 return s._replace(k=s.k + 1), True
             inside = 1
@@ -181,7 +185,7 @@ class SentenceTransducer:
                 s = self._cut(s, events)
             else:
                 s = self._drop(s, events)
-            return s._replace(p=inside, w=-1, h=-1, prev="other"), False
+            return s._replace(p=inside, w=-1, h=0, prev="other"), False
         if s.ph == 3:  # in a word that may show that the sentence goes on
             trie = self.months if t == "num" else self.go_on
             if kind == "letter":
@@ -191,7 +195,7 @@ class SentenceTransducer:
             elif s.k in trie.final:
                 return self._drop(s, events)._replace(w=-1, prev="letter", seen=1), False
             s = self._cut(s, events)
-            return s._replace(seen=1, w=-1, h=-1, prev="letter"), False
+            return s._replace(seen=1, w=-1, h=0, prev="letter"), False
         if kind == "blank" or kind == "nl":
             if t == "para" and kind == "nl":
                 return s._replace(t="para2", ph=1, nl=1), True
@@ -199,7 +203,7 @@ class SentenceTransducer:
         if s.ph == 0 and t != "para":
             if kind in ("dot", "hard", "cjkend", "danda"):
                 events.append(CAND if t == "quote" else EXTEND)
-                return s._replace(t="dot" if kind == "dot" and t in ("quote", "num", "may") and t != "may" else "hard" if kind == "hard" else t), True
+                return s._replace(t="dot" if kind == "dot" and t in ("quote", "num") else "hard" if kind == "hard" else t), True
             if kind == "close" and s.p == 0 or kind == "quote" and c in "”»」』":
                 events.append(EXTEND)
                 return s, True
@@ -247,7 +251,6 @@ class SentenceTransducer:
         return self._cut(s, events), False
 
     def _plain(self, s: State, kind: str, c: str, detail: str, events: list[int]) -> State:
-        h = self.headings.step(s.h, c) if s.h >= 0 and (c != " " or s.prev not in ("blank", "nl")) else s.h
         free = not s.q and not s.p
         if kind == "letter":
             script, case = detail.split("/")
@@ -256,18 +259,20 @@ class SentenceTransducer:
             one = (2 if c in "pa" else 3 if c == "m" and s.pm else 1) if boundary and script not in ("cjk", "thai") else 0
             return s._replace(
                 qi=0, lower=s.lower | (case == "lower"), seen=s.seen | (s.p == 0), thai=int(script == "thai") if not s.p else s.thai, w=w, one=one,
-                pm=0 if not (boundary and s.pm) else s.pm, prev="greek" if script == "greek" else "letter", colon=0, nl=0, h=h,
-            )._replace(prev="letter", k=1 if script == "greek" else 0)
-        base = s._replace(h=h, w=-1, one=0, pm=0, nl=0, k=0)
+                pm=s.pm if boundary else 0, prev="letter", colon=0, nl=0, k=int(script == "greek"),
+            )
+        base = s._replace(w=-1, one=0, pm=0, nl=0, k=0)
         if kind == "digit":
             return base._replace(qi=0, prev="digit", colon=0)
         if kind == "blank" or kind == "nl":
-            base = base._replace(h=h if h != s.h or s.prev in ("blank", "nl") else h, prev=kind, colon=s.colon, nl=s.nl if kind == "blank" else 1)
+            base = base._replace(prev=kind, colon=s.colon, nl=s.nl if kind == "blank" else 1)
             if kind == "nl":
+                if s.seen and s.h:
+                    base = base._replace(h=(s.h + 1) % (WRAPPED + 1))
                 if s.prev == "nl":
                     base = base._replace(q=0, qc=0, qs=0, qi=0, p=0)
                 if s.seen and free:
-                    if s.h >= 0 and s.h in self.headings.final or s.h >= 0 and s.prev == "blank" and s.h in self.headings.final:
+                    if s.h and detail and int(detail) >> s.h - 1 & 1:
                         events.append(CAND)
                         return base._replace(t="head", ph=1)
                     if s.thai:
@@ -336,7 +341,7 @@ class SentenceTransducer:
             y = symbols.get(c)
             if y is None:
                 y = self.symbol_id(c)
-            key = state << 12 | y
+            key = state << SYMBOL_BITS | y
             got = table.get(key)
             if got is None:
                 got = self._move(key, state, y)
@@ -345,55 +350,106 @@ class SentenceTransducer:
                 events.extend((i, e) for e in seen)
         return state, events
 
-    def function(self, text: str) -> np.ndarray:
-        """For each carried state before text the carried state after it (text must end where chunk_ends may cut)."""
-        live = {self.state_id(s): [i] for i, s in enumerate(self.carried)}
-        for c in text:
+    def domain(self, seen: str) -> list[int]:
+        """The carried states that are possible after a text in which only these opening marks were seen.
+
+        Lines since the sentence began matter only in texts with headings, which have a line end among the marks.
+        """
+        marks, deepest = {0, *(_CLOSERS.index(c) + 1 for c in seen if c in QUOTES)}, 2 if any(c in OPENING for c in seen) else 0
+        return [i for i, s in enumerate(self.carried) if s.q in marks and s.p <= deepest and ("\n" in seen or not s.h)]
+
+    def function(self, text: str, before: str, seen: str) -> np.ndarray:
+        """For each carried state that is possible before text (see domain) the one after it; -1 for the others.
+
+        text must end where chunk_ends may cut; before: the character before it.
+        """
+        live: dict[int, list[int]] = {}
+        for i in self.domain(seen):
+            live.setdefault(self.resume(i, before), []).append(i)
+        for at, c in enumerate(text):
+            if len(live) == 1:  # all starts have met
+                ((state, starts),) = live.items()
+                live = {self.run(text[at:], state)[0]: starts}
+                break
             y = self.symbols.get(c)
             if y is None:
                 y = self.symbol_id(c)
             new: dict[int, list[int]] = {}
             for state, starts in live.items():
-                key = state << 12 | y
+                key = state << SYMBOL_BITS | y
                 got = self.table.get(key) or self._move(key, state, y)
                 if got[0] in new:
                     new[got[0]] += starts
                 else:
                     new[got[0]] = starts
             live = new
-        out = np.zeros(len(self.carried), dtype=np.int32)
+        out = np.full(len(self.carried), -1, dtype=np.int32)
         for state, starts in live.items():
-            out[starts] = self.carry(state)
+            out[starts] = self.carry(state, "\n" in seen)
         return out
 
-    def carry(self, state: int) -> int:
-        """The carried part of a state, as its index."""
+    def carry(self, state: int, headings: bool) -> int:
+        """The carried part of a state, as its index; headings: whether the text has any (see domain)."""
         s = self.state_list[state]
-        return self.carried_id[State(s.q, s.qc if s.q else 0, s.qs if s.q else 0, 0, s.p, s.lower, s.seen, s.thai, -1, 0, 0, "", 0, 0, -1, "", 0, 0)]
+        return self.carried_id[State(s.q, s.qc if s.q else 0, s.qs if s.q else 0, 0, s.p, s.lower, s.seen, s.thai, -1, 0, 0, "", 0, 0, s.h if headings else 0, "", 0, 0)]
 
-    def resume(self, carried: int) -> int:
-        """The state in which a chunk starts that was cut inside a word."""
-        return self.state_id(self.carried[carried]._replace(prev="letter"))
+    def resume(self, carried: int, before: str) -> int:
+        """The state in which a chunk starts that was cut behind this character, a blank or a letter with its marks."""
+        if before == " ":
+            return self.state_id(self.carried[carried]._replace(prev="blank"))
+        return self.state_id(self.carried[carried]._replace(prev="letter", k=int(bool(_SCRIPTS[2][1].match(before)))))
 
 
-_CUT_HERE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{3}|(?:(?=\p{L})[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]){16}")
+#: Opening brackets.
+OPENING = "([（［【"
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Hangul}]"
+#: A word's end and a blank, or the inside of a word that no trie goes on in and that no label can be.
+_CUT_HERE = regex.compile(rf"(?!\p{{Thai}})\p{{L}}\p{{M}}*+ |(?:{_UNSPACED}\p{{M}}*+){{5}}|(?:(?!{_UNSPACED})\p{{L}}){{16}}(?!\p{{M}})")
+_NEWLINE = regex.compile(f"[{NEWLINES}]")
+_LAST_LETTER = regex.compile(r"(?r)\p{L}| ")
 
 
-def chunk_ends(text: str, size: int, longest_heading: int) -> list[int]:
-    """Where text may be cut: inside a word that is in no trie any more, in a line that is longer than any heading."""
+def chunk_ends(text: str, size: int) -> list[int]:
+    """Where text may be cut: about every size code points, at the first place that fits (see _CUT_HERE)."""
     ends, at = [], size
-    while at < len(text):
-        m = _CUT_HERE.search(text, at)
-        if m is None:
-            break
-        if "\n" in text[max(0, m.end() - longest_heading - 40) : m.end()]:
-            at = m.start() + 1
-            continue
+    while at < len(text) and (m := _CUT_HERE.search(text, at)) and m.end() < len(text):
         ends.append(m.end())
         at = m.end() + size
     return [*ends, len(text)]
 
 
+def chunks(text: str, lines: Collection[int], size: int) -> Iterator[tuple[int, str, str, str]]:
+    """(start, part, last letter or blank before it, marks) of every chunk.
+
+    marks: the opening marks before it that may still be open, and a line end if the text has headings.
+
+    lines: see mark_headings; the ends of headings are marked in the parts.
+    """
+    marked, start, headings = mark_headings(text, lines), 0, "\n" if len(lines) else ""
+    for end in chunk_ends(text, size):
+        blank_line = max(0, text.rfind("\n\n", 0, start))
+        seen = "".join(c for c in (*QUOTES, *OPENING) if text.find(c, blank_line, start) >= 0)
+        yield start, marked[start:end], _LAST_LETTER.search(text, 0, start)[0] if start else "", seen + headings
+        start = end
+
+
+def mark_headings(text: str, lines: Iterable[int]) -> str:
+    """text with one of HEADING_ENDS for the line ends of headings; lengths and places stay.
+
+    lines: WRAPPED * i + n - 1 for each n lines that are a heading together, of which the last is line i, from 0.
+    """
+    wanted: dict[int, int] = {}
+    for x in lines:
+        wanted[x // WRAPPED] = wanted.get(x // WRAPPED, 0) | 1 << x % WRAPPED
+    if not wanted:
+        return text
+    out = list(text)
+    for i, m in enumerate(_NEWLINE.finditer(text)):
+        if i in wanted:
+            out[m.start()] = HEADING_ENDS[wanted[i]]
+    return "".join(out)
+
+
 def compose(functions: list[np.ndarray]) -> list[np.ndarray]:
     """Inclusive prefix compositions of state-transition functions, by recursive doubling (Hillis-Steele scan)."""
     scan, step = list(functions), 1
@@ -408,7 +464,7 @@ def sentences_from_events(events: Iterable[tuple[int, int]], text: str) -> list[
     out, start, cand, nxt = [], 0, -1, -1
     for at, e in events:
         if e == CAND:
-            cand, nxt, newline_end = at, -1, at
+            nxt = -1
             cand = at if _SPACE.match(text[at]) else at + 1
         elif e == EXTEND:
             cand = at + 1
@@ -429,129 +485,130 @@ def sentences_from_events(events: Iterable[tuple[int, int]], text: str) -> list[
     return trimmed
 
 
-@lru_cache(maxsize=4)
-def transducer(headings: tuple[str, ...] = ()) -> SentenceTransducer:
-    return SentenceTransducer(headings)
+@lru_cache(maxsize=1)
+def transducer() -> SentenceTransducer:
+    return SentenceTransducer()
+
 
+def split_sentences(text: str | None, lines: Collection[int] = (), chunk: int = CHUNK) -> list[tuple[int, int]]:
+    """The sentences of one text, chunk by chunk if it is long; null and empty texts have none.
 
-def split_sentences(text: str | None, headings: tuple[str, ...] = (), chunk: int = CHUNK) -> list[tuple[int, int]]:
-    """The sentences of one text, chunk by chunk if it is long; null and empty texts have none."""
+    lines: the headings among its lines, see mark_headings.
+    """
     if not text:
         return []
-    machine = transducer(headings)
-    ends = chunk_ends(text, chunk, machine.longest_heading) if len(text) > chunk else [len(text)]
-    if len(ends) == 1:
-        return sentences_from_events(machine.run(text, machine.start)[1], text)
-    starts = [0, *ends[:-1]]
-    first = machine.carry(machine.run(text[: ends[0]], machine.start)[0])
-    tables = compose([machine.function(text[a:b]) for a, b in zip(starts[1:-1], ends[1:-1])])
-    befores = [machine.start, machine.resume(first), *(machine.resume(int(t[first])) for t in tables)]
+    machine = transducer()
+    if len(text) <= chunk:
+        return sentences_from_events(machine.run(mark_headings(text, lines), machine.start)[1], text)
+    parts = list(chunks(text, lines, chunk))
+    first = machine.carry(machine.run(parts[0][1], machine.start)[0], len(lines) > 0) if len(parts) > 1 else 0
+    tables = compose([machine.function(part, before, seen) for _, part, before, seen in parts[1:-1]])
+    carried = [first, *(int(t[first]) for t in tables)]
     events: list[tuple[int, int]] = []
-    for a, b, state in zip(starts, ends, befores):
-        events += machine.run(text[a:b], state, a)[1]
+    for i, (start, part, before, _) in enumerate(parts):
+        events += machine.run(part, machine.resume(carried[i - 1], before) if i else machine.start, start)[1]
     return sentences_from_events(events, text)
 
 
-def known_headings(df: DataFrame, column: str) -> tuple[str, ...]:
-    """All distinct headings, the most frequent ones first; they become part of the transducer."""
-    rows = df.select(F.trim(F.col(column)).alias("h")).filter("h <> ''").groupBy("h").count().orderBy(F.desc("count"), "h").collect()
-    return tuple(r["h"] for r in rows)
+#: Parts that every heading is copied to, so that a frequent line meets it in as many tasks.
+SALTS = 8
+
 
+def _hashes(line: Column) -> Column:
+    """Two hashes of a line, blanks, case, invisible characters and full stops at its end aside; null if nothing is left."""
+    s = F.regexp_replace(F.lower(line), r"[\x{00AD}\x{200B}-\x{200D}\x{FEFF}\r]+", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"[\s\p{Z}]+", " "), r"^ |[ .]+$", "")
+    return F.transform(F.array(s), lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))[0]
 
-def sentence_rows(df: DataFrame, text: str, headings: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """One row per sentence: the other columns of df, sent_idx (from 0), sent_start, sent_end and sent_text.
 
-    Null, empty and blank texts give no row; columns with those names are replaced. headings: lines that are units although they have no end mark. Texts up
-    to ``chunk`` code points are split where they are; longer ones are cut into chunks that travel on their own (see
-    long_sentence_rows).
+def heading_lines(df: DataFrame, key: str, text: str, headings: DataFrame, column: str) -> DataFrame:
+    """(key, lines): where one to WRAPPED lines of a text are one of the headings (see mark_headings); only texts that have any.
+
+    All headings count, in any number and length. Lines meet them by two 64-bit hashes.
     """
-    keep = [c for c in df.columns if c not in (text, "sent_idx", "sent_start", "sent_end", "sent_text")]
-    fields = [f for f in df.select(*keep).schema.fields]
-    schema = T.StructType([*fields, T.StructField("sent_idx", T.IntegerType()), T.StructField("sent_start", T.IntegerType()), T.StructField("sent_end", T.IntegerType()), T.StructField("sent_text", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, places, cut = [], [], []
-            for i, t in enumerate(batch.column(len(keep))):
-                t = t.as_py()
-                for j, (a, b) in enumerate(split_sentences(t, headings, chunk)):
-                    rows.append(i)
-                    places.append((j, a, b))
-                    cut.append(t[a:b])
-            take = pa.array(rows, pa.int64())
-            cols = [batch.column(k).take(take) for k in range(len(keep))]
-            cols += [pa.array([p[k] for p in places], pa.int32()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.string())], names=schema.names)
-
-    return df.select(*keep, text).mapInArrow(run, schema)
-
-
-def long_sentence_rows(df: DataFrame, key: str, text: str, headings: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """(key, sent_start, sent_end) of texts too long for one task's time: every chunk is a row of its own.
-
-    Chunk functions are computed in parallel over the cluster; only the tables (a few kB a chunk) of one text meet in
-    one task for the scan; then all chunks emit their events in parallel, and only events meet again.
+    nl = f"[{NEWLINES}]"
+    listed = df.filter(F.col(text).rlike(nl)).select(key, F.split(F.col(text), nl).alias("_all"))
+    listed = listed.select(key, "_all", F.posexplode("_all").alias("_line", "_first")).filter(F.col("_first").rlike(r"\S"))
+    spans = F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_all", F.col("_line") + 1, n), " ").alias("said")))
+    listed = listed.select(key, "_line", F.explode(spans).alias("s"))
+    place = (F.col("_line") + F.col("s.n") - 1) * WRAPPED + F.col("s.n") - 1
+    listed = listed.select(key, place.cast("int").alias("_place"), _hashes(F.col("s.said")).alias("_h")).filter("_h IS NOT NULL")
+    listed = listed.withColumn("_salt", F.pmod(F.xxhash64(key, "_place"), F.lit(SALTS)).cast("int"))
+    known = headings.select(_hashes(F.col(column)).alias("_h")).filter("_h IS NOT NULL").distinct()
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return listed.join(known, ["_h", "_salt"], "left_semi").groupBy(key).agg(F.collect_list("_place").alias("lines"))
+
+
+def sentence_rows(df: DataFrame, key: str, text: str, headings: DataFrame | None = None, column: str = "heading", chunk: int = CHUNK) -> DataFrame:
+    """One row per sentence: (key, sent_idx from 0, sent_start, sent_end, sent_text).
+
+    key must be unique. Null, empty and blank texts give no row; other columns of df are left out. headings: a table
+    whose column holds lines that are units although they have no end mark. A text of one chunk is split where it is;
+    the chunks of a longer one are rows of their own: their functions are computed in parallel over the cluster, only
+    the tables (a few kB a chunk) of one text meet in one task for the scan, then all chunks emit their events in
+    parallel, and only these and the text, which was one row before, meet again.
     """
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = transducer(headings)
-        for p in parts:
-            for k, t in zip(p[key], p[text]):
-                if t:
-                    ends = chunk_ends(t, chunk, machine.longest_heading)
-                    starts = [0, *ends[:-1]]
-                    for i, (a, b) in enumerate(zip(starts, ends)):
-                        yield pd.DataFrame({"key": [k], "chunk": [i], "start": [a], "part": [t[a:b]]})
-
-    def functions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = transducer(headings)
-        for p in parts:
-            tables = [(np.full(len(machine.carried), machine.carry(machine.run(t, machine.start)[0]), dtype=np.int32) if i == 0 else machine.function(t)).tobytes() for i, t in zip(p["chunk"], p["part"])]
-            yield pd.DataFrame({"key": p["key"], "chunk": p["chunk"], "f": tables})
+    texts = df.select(key, F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    if headings is None:
+        texts = texts.withColumn("lines", F.array().cast("array<int>"))
+    else:
+        texts = texts.join(heading_lines(texts, key, "_text", headings, column), key, "left")
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}"
+    result = f"{kind}, sent_idx int, sent_start int, sent_end int, sent_text string"
+
+    def sentences(keys: list, texts: list[str], places: list[list[tuple[int, int]]]) -> pd.DataFrame:
+        rows = [(k, j, a, b, t[a:b]) for k, t, found in zip(keys, texts, places) for j, (a, b) in enumerate(found)]
+        return pd.DataFrame(rows, columns=[key, "sent_idx", "sent_start", "sent_end", "sent_text"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            found = [split_sentences(t, () if n is None else n, len(t)) for t, n in zip(p["_text"], p["lines"])]
+            yield sentences(list(p[key]), list(p["_text"]), found)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for k, t, n in zip(p[key], p["_text"], p["lines"]):
+                for i, (start, part, before, seen) in enumerate(chunks(t, () if n is None else n, chunk)):
+                    ends = [(j << WRAPPED) + HEADING_ENDS.index(part[j]) for j in range(len(part)) if "\ud800" <= part[j] < "\ud900"]
+                    yield pd.DataFrame({key: [k], "chunk": [i], "start": [start], "part": [t[start : start + len(part)]], "ends": [ends], "before": [before], "seen": [seen]})
+
+    def marked(part: str, ends: Iterable[int]) -> str:
+        out = list(part)
+        for x in ends:
+            out[x >> WRAPPED] = HEADING_ENDS[x % 2**WRAPPED]
+        return "".join(out)
+
+    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer()
+        for p in batches:
+            tables = []
+            for i, part, ends, before, seen in zip(p["chunk"], p["part"], p["ends"], p["before"], p["seen"]):
+                t = marked(part, ends)
+                tables.append((np.full(len(machine.carried), machine.carry(machine.run(t, machine.start)[0], "\n" in seen), dtype=np.int32) if i == 0 else machine.function(t, before, seen)).tobytes())
+            yield pd.DataFrame({key: p[key], "chunk": p["chunk"], "f": tables})
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
         tables = compose([np.frombuffer(f, dtype=np.int32) for f in group["f"]])
-        return pd.DataFrame({"key": group["key"], "chunk": group["chunk"], "before": [-1, *(int(t[0]) for t in tables[:-1])]})
-
-    def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = transducer(headings)
-        for p in parts:
-            for k, i, a, t, before in zip(p["key"], p["chunk"], p["start"], p["part"], p["before"]):
-                state = machine.start if before < 0 else machine.resume(int(before))
-                ev = machine.run(t, state, 0)[1]
-                blank = [bool(_SPACE.match(t[x])) for x, _ in ev]
-                lead = len(t) - len(t.lstrip())
-                yield pd.DataFrame({"key": [k], "chunk": [i], "at": [[a + x for x, _ in ev]], "event": [[e for _, e in ev]], "blank": [blank], "size": [a + len(t)], "first": [a + lead if lead < len(t) else -1], "last": [a + len(t.rstrip()) if t.strip() else -1]})
+        return pd.DataFrame({key: group[key], "chunk": group["chunk"], "state": [-1, *(int(t[0]) for t in tables[:-1])]})
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer()
+        for p in batches:
+            for k, i, a, part, ends, before, carried in zip(p[key], p["chunk"], p["start"], p["part"], p["ends"], p["before"], p["state"]):
+                state = machine.start if carried < 0 else machine.resume(int(carried), before)
+                events = machine.run(marked(part, ends), state, a)[1]
+                yield pd.DataFrame({key: [k], "chunk": [i], "part": [part], "at": [[x for x, _ in events]], "event": [[e for _, e in events]]})
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        firsts, lasts = [x for x in group["first"] if x >= 0], [x for x in group["last"] if x >= 0]
-        out, start, cand, nxt = [], firsts[0] if firsts else 0, -1, -1
-        for at, event, blank in zip(group["at"], group["event"], group["blank"]):
-            for x, e, b in zip(at, event, blank):
-                if e == CAND:
-                    cand = x if b else x + 1
-                elif e == EXTEND:
-                    cand = x + 1
-                elif e == NEXT:
-                    nxt = x
-                elif e == CUT and cand > start:
-                    out.append((start, cand))
-                    start, cand = nxt, -1
-        if lasts and lasts[-1] > start:
-            out.append((start, lasts[-1]))
-        return pd.DataFrame({"key": [group["key"].iloc[0]] * len(out), "sent_start": [a for a, _ in out], "sent_end": [b for _, b in out]})
-
-    kind = df.schema[key].dataType.simpleString()
-    chunks = df.select(key, text).repartition(key).mapInPandas(cut, f"key {kind}, chunk int, start int, part string")
-    tables = chunks.repartition("key", "chunk").mapInPandas(functions, f"key {kind}, chunk int, f binary")
-    befores = tables.groupBy("key").applyInPandas(scan, f"key {kind}, chunk int, before int")
-    events = chunks.join(befores, ["key", "chunk"]).mapInPandas(emit, f"key {kind}, chunk int, at array<int>, event array<int>, blank array<boolean>, size int, first int, last int")
-    return events.groupBy("key").applyInPandas(join, f"key {kind}, sent_start int, sent_end int").withColumnRenamed("key", key)
-
-
-def sentence_offsets(df: DataFrame, key: str, text: str, headings: tuple[str, ...] = (), long: int = 16 * CHUNK) -> DataFrame:
-    """(key, sent_start, sent_end) of every sentence; key must be unique. Texts above ``long`` code points go by chunks."""
-    short = sentence_rows(df.select(key, text).filter(F.length(text) <= long), text, headings).select(key, "sent_start", "sent_end")
-    return short.unionByName(long_sentence_rows(df.filter(F.length(text) > long), key, text, headings))
+        t = "".join(group["part"])
+        events = ((int(x), int(e)) for at, event in zip(group["at"], group["event"]) for x, e in zip(at, event))
+        return sentences([group[key].iloc[0]], [t], [sentences_from_events(events, t)])
+
+    short = texts.filter(F.length("_text") <= chunk).mapInPandas(split, result)
+    parts = texts.filter(F.length("_text") > chunk).mapInPandas(cut, f"{kind}, chunk int, start int, part string, ends array<int>, before string, seen string")
+    parts = parts.repartition(key, "chunk")
+    states = parts.mapInPandas(functions, f"{kind}, chunk int, f binary").groupBy(key).applyInPandas(scan, f"{kind}, chunk int, state int")
+    events = parts.join(states, [key, "chunk"]).mapInPandas(emit, f"{kind}, chunk int, part string, at array<int>, event array<int>")
+    return short.unionByName(events.groupBy(key).applyInPandas(join, result))

@@ -19,7 +19,7 @@ from lexweave.llm import repetition as rp
 from lexweave.llm.components import connected_components, union_find
 from lexweave.llm.distinctive import LONG_LATIN, all_words, distinctive_terms, runs_of, term_counts
 from lexweave.llm.mixing import mix, shares
-from lexweave.llm.sentences import compose, known_headings, long_sentence_rows, sentence_offsets, sentence_rows, split_sentences
+from lexweave.llm.sentences import HEADING_ENDS, WRAPPED, SentenceTransducer, chunk_ends, compose, mark_headings, sentence_rows, split_sentences
 from lexweave.llm.tokenizer import PATTERN, RankQueue, encoder, vocabulary_path, with_token_counts, with_token_ids
 
 DATA = "/root/testdata/sf0.001"
@@ -141,14 +141,34 @@ CASES = [
 
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_sentences(text, want):
-    assert [text[a:b] for a, b in split_sentences(text, ("Site access.",))] == want
+    assert [text[a:b] for a, b in split_sentences(text, [0] if text.startswith("Site access") else ())] == want
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([c for c, _ in CASES] + ["\n", "\n\n", "(", "“", "”", "establishments establishmentariansim ", "x"]), min_size=1, max_size=25), st.integers(5, 300))
+@given(st.lists(st.sampled_from([c for c, _ in CASES] + ["\n", "\n\n", "(", "“", "”", "establishments establishmentariansim ", "x", "ερώτησηςερώτησης;", "Heading line\n", "(abcde", "ห้ามแกะตราผนึก"]), min_size=1, max_size=25), st.integers(1, 300))
 def test_chunks_change_nothing(parts, size):
     text = " ".join(parts)
-    assert split_sentences(text, ("Site access.",), chunk=size) == split_sentences(text, ("Site access.",), chunk=10**9)
+    lines = range(0, WRAPPED * text.count("\n"), 3)
+    assert split_sentences(text, lines, chunk=size) == split_sentences(text, lines, chunk=10**9)
+
+
+@pytest.mark.parametrize("words", ["A plain sentence, in short words (and some brackets). ", "The clerk copies\nshort lines ", "नियम के अनुसार आवेदक को प्रमाणपत्र देना होगा। ", "许可证持有人核对", "허가증 소지자는 기록을 확인한다. "])
+def test_any_prose_is_cut_into_chunks(words):
+    text = words * (400_000 // len(words))
+    ends = chunk_ends(text, 20_000)
+    assert len(ends) == pytest.approx(len(text) / 20_000, abs=2)
+    assert split_sentences(text, chunk=20_000) == split_sentences(text, chunk=len(text))
+
+
+def test_many_symbols_do_not_collide():
+    machine, fresh = SentenceTransducer(), SentenceTransducer()
+    machine.run("".join(chr(c) for c in range(0x20, 0x2FFFF) if not 0xD800 <= c < 0xE000), machine.start)
+    for n in range(10_000):  # as many kinds of symbols as there may ever be
+        machine.by_symbol.setdefault(("letter", f"x{n}", "cjk/caseless"), len(machine.symbol_list))
+        machine.symbol_list.append(("letter", f"x{n}", "cjk/caseless"))
+    for text, _ in CASES:
+        machine.symbols.clear()
+        assert machine.run(text + "。持有人巵保存副本。", machine.start)[1] == fresh.run(text + "。持有人巵保存副本。", fresh.start)[1]
 
 
 def test_composition_is_a_prefix_scan():
@@ -162,22 +182,25 @@ def test_composition_is_a_prefix_scan():
 
 
 def test_sentence_frames(spark):
-    long = " ".join(t for t, _ in CASES) * 40
-    df = spark.createDataFrame([(1, CASES[0][0]), (2, None), (3, ""), (4, " \n "), (5, long)], "k int, t string")
-    short = {(r.k, r.sent_start, r.sent_end) for r in sentence_rows(df, "t").collect()}
-    assert {k for k, _, _ in short} == {1, 5}
-    assert {(r.k, r.sent_start, r.sent_end) for r in long_sentence_rows(df, "k", "t", chunk=900).withColumnRenamed("key", "k").collect()} == short
-    assert {tuple(r) for r in sentence_offsets(df, "k", "t", long=500).collect()} == short
-    assert sentence_rows(df.limit(0), "t").count() == 0
+    long = "Site access\n" + " ".join(t for t, _ in CASES) * 40
+    df = spark.createDataFrame([(1, CASES[0][0], 0), (2, None, 0), (3, "", 0), (4, " \n ", 0), (5, long, 0)], "k int, t string, sent_idx int")
+    heads = spark.createDataFrame([("site  ACCESS.",), (None,), ("",)], "heading string")
+    whole = sorted(map(tuple, sentence_rows(df, "k", "t", heads).collect()))
+    assert whole == [(k, i, a, b, t[a:b]) for k, t in ((1, CASES[0][0]), (5, long)) for i, (a, b) in enumerate(split_sentences(t, [0] if k == 5 else ()))]
+    assert sorted(map(tuple, sentence_rows(df, "k", "t", heads, chunk=900).collect())) == whole
+    assert sentence_rows(df.limit(0), "k", "t", heads).count() == 0
 
 
-def test_rare_and_long_headings_are_known(spark):
+def test_all_headings_are_known(spark):
     long = "Duties of the " + "very " * 50 + "long heading"
     df = spark.range(10_050).select(F.concat(F.lit("Part "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("heading"))
-    got = known_headings(df.unionByName(df.filter("id < 10000")).unionByName(spark.createDataFrame([(long,)], "heading string")), "heading")
-    assert len(got) == 10_051 and "Part 10049" in got and long in got
-    text = f"Done.\n{long}\nThe warden may close it."
-    assert [text[a:b] for a, b in split_sentences(text, got)] == ["Done.", long, "The warden may close it."]
+    heads = df.unionByName(df.filter("id < 10000")).unionByName(spark.createDataFrame([(long,), ("ชื่อเรื่อง ที่หนึ่ง",)], "heading string"))
+    texts = [(1, f"Done.\n{long}\nThe warden may close it.\r\nPart 10049\r\nIt is so.\nPart\n 00077\nAnd this\nPart 00078\ntoo."), (2, "ชื่อเรื่อง ที่หนึ่ง\nห้ามแกะ")]
+    got = {}
+    for r in sentence_rows(spark.createDataFrame(texts, "id int, text string"), "id", "text", heads).orderBy("sent_idx").collect():
+        got.setdefault(r.id, []).append(r.sent_text)
+    assert got[1] == ["Done.", long, "The warden may close it.", "Part 10049", "It is so.", "Part\n 00077", "And this\nPart 00078\ntoo."] and got[2][0] != texts[1][1]
+    assert mark_headings("a\nb\nc", [WRAPPED, WRAPPED + 1]) == f"a\nb{HEADING_ENDS[3]}c"
 
 
 # 4 distinctive terms
