@@ -67,7 +67,8 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences themselves, numbered within each gist."""
     gists = table(spark, d, "gists").select("gist_id", "gist_text").filter("gist_text <> ''")
-    return sentence_rows(garbled_rows(gists, "gist_text", _clean(spark, d), garbled=False), "gist_id", "gist_text", table(spark, d, "sections"))
+    clean = _clean(spark, d)
+    return sentence_rows(gists, "gist_id", "gist_text", table(spark, d, "sections"), only=lambda df: garbled_rows(df, "_text", clean, garbled=False))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,9 @@ def _clean(spark: SparkSession, d: str) -> list[str]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_rows(_strings(spark, d), "text", _clean(spark, d)).select("tbl", "row_id").distinct()
+    plain = _texts(spark, d, ("gists", "gist_id", "gist_text"), ("summary_eval_3000", "eval_id", "summary_text")).withColumn("text", F.array("text"))
+    rows = plain.unionByName(_texts(spark, d, ("xml_refs", "xref_id", "explicit_refs")))
+    return garbled_rows(rows, "text", _clean(spark, d)).select("tbl", "row_id")
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:

@@ -16,8 +16,9 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Encodings that UTF-8 text is taken for.
 UTF8_TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15", "cp1254", "cp1253", "cp1256", "cp1257")
@@ -46,9 +47,7 @@ LEGACY_TAKEN_FOR = (
     ("big5", ("cp1252", "latin-1")),
 )
 #: Code point ranges of the characters whose UTF-8 form may be garbled, besides those of clean text.
-REPERTOIRE = ((0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x60C, 0x66C), (0x900, 0x96F), (0xE01, 0xE5B), (0x1F00, 0x1FFC), (0x2009, 0x206F), (0x20A0, 0x20BF), (0x2116, 0x2122), (0x2190, 0x2199), (0x2264, 0x2265), (0x3000, 0x30FF), (0xFF01, 0xFF9F))
-#: Rounds of repair.
-ROUNDS = 4
+REPERTOIRE = ((0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x60C, 0x66C), (0x900, 0x96F), (0xE01, 0xE5B), (0x1F00, 0x1FFC), (0x2009, 0x206F), (0x20A0, 0x20BF), (0x2116, 0x2122), (0x2190, 0x2199), (0x2264, 0x2265), (0x3000, 0x30FF), (0xFF01, 0xFF9F), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF))
 REPLACEMENT = "�"
 _DIGITS = str.maketrans("123456789", "000000000")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -190,16 +189,20 @@ class GarbleDetector:
             out.append((start, end + 1, w, how))
         return out
 
-    def is_garbled(self, text: str | None) -> bool:
-        if not text or text.isascii():
-            return False
-        weak: set[int] = set()
-        for start, _, w, _ in self.matches(text):
-            if w > 1 or (start and text[start - 1].islower() and text[start].isupper()):
-                return True  # strong, or a capital inside a word
-            weak.add(start)
-            if len(weak) > 1:
-                return True
+    def is_garbled(self, *texts: str | None) -> bool:
+        """Whether a strong form occurs in one of the texts, which belong to one record, or several weak ones in all of them."""
+        weak = 0
+        for text in dict.fromkeys(texts):  # a text that repeats proves nothing more
+            if not text or text.isascii():
+                continue
+            places: set[int] = set()
+            for start, _, w, _ in self.matches(text):
+                if w > 1 or (start and text[start - 1].islower() and text[start].isupper()):
+                    return True  # strong, or a capital inside a word
+                places.add(start)
+                if weak + len(places) > 1:
+                    return True
+            weak += len(places)
         return False
 
     def _spans(self, text: str, utf8: bool) -> list[tuple[int, int, dict]]:
@@ -233,17 +236,11 @@ class GarbleDetector:
 
     def repair(self, text: str | None) -> tuple[str | None, bool]:
         """The text with every span restored that can be, and whether nothing garbled is left."""
-        if not self.is_garbled(text):
-            return text, True
-        for _ in range(ROUNDS):
-            if not self.is_garbled(text):
-                break
+        met: set[str | None] = set()
+        while text not in met and self.is_garbled(text):
+            met.add(text)
             new = self._once(text, utf8=True)
-            if new == text:
-                new = self._once(text, utf8=False)  # a legacy form proves less, so it is tried last
-            if new == text:
-                break
-            text = new
+            text = new if new != text else self._once(text, utf8=False)  # a legacy form proves less, so it is tried last
         return text, not self.is_garbled(text)
 
 
@@ -252,19 +249,30 @@ def _detector(sequences: tuple[str, ...]) -> GarbleDetector:
     return GarbleDetector(sequences)
 
 
+def _suspect(df: DataFrame, text: str) -> Column:
+    """Whether a text, or one of an array of texts, has a character that is not ASCII; the others need no automaton."""
+    strange = lambda c: F.coalesce(c.rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return F.coalesce(F.exists(text, strange), F.lit(False)) if isinstance(df.schema[text].dataType, T.ArrayType) else strange(F.col(text))
+
+
 def garbled_rows(df: DataFrame, text: str, sequences: list[str], garbled: bool = True) -> DataFrame:
     """The rows of df whose text is garbled, in whole or in part, or those whose text is not.
 
-    Null and empty texts never are garbled. sequences: see clean_sequences; they travel with the task.
+    text: a column of strings, or of arrays of strings, whose evidence then counts together. Null and empty texts
+    never are garbled. sequences: see clean_sequences; they travel with the task.
     """
     known, at = tuple(sequences), df.columns.index(text)
+    single = not isinstance(df.schema[text].dataType, T.ArrayType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(known)
         for batch in batches:
-            yield batch.filter(pa.array([detector.is_garbled(t.as_py()) == garbled for t in batch.column(at)], pa.bool_()))
+            values = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([detector.is_garbled(*([v] if single else v or [])) == garbled for v in values], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    suspect = _suspect(df, text)
+    judged = df.filter(suspect).mapInArrow(run, df.schema)
+    return judged if garbled else judged.unionByName(df.filter(~suspect))
 
 
 def repaired_rows(df: DataFrame, text: str, sequences: list[str]) -> DataFrame:
@@ -281,4 +289,4 @@ def repaired_rows(df: DataFrame, text: str, sequences: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "restored", "complete"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, restored string, complete boolean")
+    return df.filter(_suspect(df, text)).mapInArrow(run, f"{fields}, restored string, complete boolean")

@@ -1,10 +1,10 @@
 """Languages of documents and of their segments, by rank-order profiles.
 
 A profile lists the most frequent character n-grams of a language by rank. The out-of-place distance of a text to a
-profile is the mean over the text's most frequent n-grams of how far each one's rank in the text is from its rank in
-the profile, or the profile's length where it does not occur there. The nearest profile names the language; how much
+profile is the mean over the text's most frequent distinct n-grams of how far each one's rank in the text is from its
+rank in the profile, or the profile's length where it does not occur there. The nearest profile names the language; how much
 farther the second nearest is gives the confidence. Profiles are trained on a bounded sample of labelled texts, whose
-labels may be wrong: they are fitted twice, the second time on the sentences that the first fit agrees with.
+labels may be wrong: they are fitted in passes, the later ones on the sentences that the fit before agrees with.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ NAMES = {
 }
 #: Labels that name no language.
 NO_LANGUAGE = "und unknown none null nan n/a na mul mis zxx xx ? ?? - -- other".split()
-#: Most labelled texts a language that profiles are fitted on, and the longest such text.
+#: Most labelled texts a language that profiles are fitted on, and the longest such text: they are sent to the driver.
 MAX_TEXTS, MAX_LENGTH = 150, 20_000
 #: n-grams of a profile, and of a text that is compared with it.
 PROFILE, COMPARED = 3_000, 400
@@ -38,6 +38,8 @@ PROFILE, COMPARED = 3_000, 400
 MARGIN = 0.04
 #: Words whose n-grams a worker remembers.
 REMEMBERED = 100_000
+#: n-grams that are ranked at once.
+AT_ONCE = 400_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -76,41 +78,69 @@ class LanguageProfiles:
         self.languages = sorted(profiles)
         self.size = max(map(len, profiles.values()), default=1)
         grams = sorted({g for p in profiles.values() for g in p})
-        self.row = {g: i for i, g in enumerate(grams)}
-        self.ranks = np.full((len(grams) + 1, len(self.languages)), -1, dtype=np.int32)
+        self.known = len(grams)
+        self.number = {g: i for i, g in enumerate(grams)}
+        self.ranks = np.full((len(grams) + 1, len(self.languages)), 2 * self.size + COMPARED, dtype=np.int32)  # out of place by all, wherever it is
         for j, lang in enumerate(self.languages):
             for r, g in enumerate(profiles[lang]):
-                self.ranks[self.row[g], j] = r
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
+                self.ranks[self.number[g], j] = r
+        self.words: dict[str, np.ndarray] = {}
 
     @classmethod
     def fit(cls, counts: dict[str, Counter], size: int = PROFILE) -> LanguageProfiles:
         return cls({lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]] for lang, c in counts.items() if c})
 
-    def _known(self, word: str) -> tuple[np.ndarray, int]:
-        """The rows of a word's n-grams that some profile has, and how many it has besides; remembered by word."""
+    def __getstate__(self) -> dict:
+        """What travels to a task: without the words met so far."""
+        return self.__dict__ | {"words": {}, "number": {g: i for g, i in self.number.items() if i < self.known}}
+
+    def _numbers(self, word: str) -> np.ndarray:
+        """The numbers of a word's n-grams; remembered by word. Those that no profile has are numbered as they come, after all others."""
         got = self.words.get(word)
         if got is None:
-            rows = [self.row.get(g, -1) for g in _word_ngrams(word)]
-            known = np.array([r for r in rows if r >= 0], dtype=np.int64)
-            got = known, len(rows) - len(known)
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
+            number = self.number
+            got = self.words[word] = np.array([number.setdefault(g, len(number)) for g in _word_ngrams(word)], dtype=np.int64)
         return got
 
-    def distances(self, text: str) -> np.ndarray:
-        """Out-of-place distance to each language, from 0 to 1; n-grams that no profile has are out of place by all of it."""
-        parts = [self._known(w) for w in _words(text)]
-        strange = sum(n for _, n in parts)
-        if not parts:
-            return np.ones(len(self.languages))
-        rows, counts = np.unique(np.concatenate([r for r, _ in parts]), return_counts=True)
-        rows = rows[np.argsort(-counts, kind="stable")[:COMPARED]]
-        ranks = self.ranks[rows]
-        out = np.abs(ranks - np.arange(len(rows))[:, None])
-        lost = np.where(ranks < 0, self.size, np.minimum(out, self.size)).sum(axis=0) + strange * self.size
-        return lost / (self.size * max(1, len(rows) + strange))
+    def _forget(self) -> None:
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+            self.number = {g: i for g, i in self.number.items() if i < self.known}
+
+    def distances(self, texts: list[str]) -> np.ndarray:
+        """Out-of-place distance of each text to each language, from 0 to 1; 1 for texts without words."""
+        out = np.ones((len(texts), len(self.languages)))
+        found: list[np.ndarray] = []
+        owner: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            parts = [self._numbers(w) for w in _words(text)]
+            found += parts
+            owner += [i] * len(parts)
+            held += sum(map(len, parts))
+            if held >= AT_ONCE:
+                self._compare(found, owner, out)
+                found, owner, held = [], [], 0
+                self._forget()
+        if found:
+            self._compare(found, owner, out)
+            self._forget()
+        return out
+
+    def _compare(self, found: list[np.ndarray], owner: list[int], out: np.ndarray) -> None:
+        grams = np.concatenate(found)
+        base = len(self.number)
+        keys, counts = np.unique(np.repeat(np.array(owner, dtype=np.int64), [len(x) for x in found]) * base + grams, return_counts=True)
+        text, gram = np.divmod(keys, base)
+        order = np.lexsort((gram, -counts, text))
+        text, gram = text[order], gram[order]
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+        most = rank < COMPARED
+        text, gram, rank = text[most], gram[most], rank[most]
+        away = np.minimum(np.abs(self.ranks[np.minimum(gram, self.known)] - rank[:, None]), self.size)
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        out[text[first]] = np.add.reduceat(away, first, axis=0) / (self.size * np.diff(np.append(first, len(text))))[:, None]
 
 
 def whole_sentences(text: str) -> list[tuple[int, int, str]]:
@@ -134,17 +164,18 @@ def whole_sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def judge(text: str | None, profiles: LanguageProfiles, margin: float = MARGIN) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the segments of a text: neighbouring sentences of one language.
+def judge(texts: list[str | None], profiles: LanguageProfiles, margin: float = MARGIN) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, language, confidence) of the segments of each text: neighbouring sentences of one language.
 
     Texts without words, and null ones, have none.
     """
-    if not text or not profiles.languages:
-        return []
-    units = whole_sentences(text)
-    if not units:
-        return []
-    distances = [profiles.distances(said) for _, _, said in units]
+    units = [whole_sentences(t) if t and profiles.languages else [] for t in texts]
+    distances = profiles.distances([said for u in units for _, _, said in u])
+    ends = np.cumsum([len(u) for u in units])
+    return [_segments(u, distances[e - len(u) : e], profiles, margin) if u else [] for u, e in zip(units, ends)]
+
+
+def _segments(units: list[tuple[int, int, str]], distances: np.ndarray, profiles: LanguageProfiles, margin: float) -> list[tuple[int, int, str, float]]:
     own = Counter(int(d.argmin()) for d in distances)
     main = min(own, key=lambda i: (-own[i], sum(float(d[i]) for d in distances)))
     out: list[list] = []
@@ -180,9 +211,10 @@ def fit_from_texts(labelled: list[tuple[str, list[str]]], passes: int = 3) -> La
     profiles = LanguageProfiles({})
     for _ in range(passes):
         counts: dict[str, Counter] = {}
+        nearest = iter(profiles.distances([s for _, sentences in labelled for s in sentences]).argmin(axis=1)) if profiles.languages else None
         for lang, sentences in labelled:
-            if profiles.languages:
-                agree = [s for s in sentences if profiles.languages[int(profiles.distances(s).argmin())] == lang]
+            if nearest is not None:
+                agree = [s for s in sentences if profiles.languages[next(nearest)] == lang]
                 if 2 * len(agree) <= len(sentences):
                     continue
                 sentences = agree
@@ -206,7 +238,8 @@ def with_languages(df: DataFrame, text: str, profiles: LanguageProfiles, margin:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("seg_start", "seg_end", "lang", "confidence"), s)) for s in judge(t.as_py(), profiles, margin)] for t in batch.column(len(keep))]
+            judged = judge(batch.column(len(keep)).to_pylist(), profiles, margin)
+            found = [[dict(zip(("seg_start", "seg_end", "lang", "confidence"), s)) for s in segments] for segments in judged]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "segments"])
 
     return df.select(*keep, text).mapInArrow(run, f"{fields}, segments array<struct<seg_start: int, seg_end: int, lang: string, confidence: double>>")

@@ -16,7 +16,7 @@ parallel prefix scan, which gives each chunk its true start state; then every ch
 from __future__ import annotations
 
 from collections import namedtuple
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import lru_cache
 from itertools import product
 
@@ -514,10 +514,15 @@ def split_sentences(text: str | None, lines: Collection[int] = (), chunk: int =
 SALTS = 8
 
 
-def _hashes(line: Column) -> Column:
-    """Two hashes of a line, blanks, case, invisible characters and full stops at its end aside; null if nothing is left."""
+def _plain(line: Column) -> Column:
+    """A line in lower case, without invisible characters, with one blank for each run of blanks."""
     s = F.regexp_replace(F.lower(line), r"[\x{00AD}\x{200B}-\x{200D}\x{FEFF}\r]+", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[\s\p{Z}]+", " "), r"^ |[ .]+$", "")
+    return F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " "))
+
+
+def _hashes(plain: Column) -> Column:
+    """Two hashes of a plain line, blanks and full stops at its end aside; null if nothing is left."""
+    s = F.rtrim(plain, F.lit(" ."))
     return F.transform(F.array(s), lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))[0]
 
 
@@ -527,32 +532,37 @@ def heading_lines(df: DataFrame, key: str, text: str, headings: DataFrame, colum
     All headings count, in any number and length. Lines meet them by two 64-bit hashes.
     """
     nl = f"[{NEWLINES}]"
-    listed = df.filter(F.col(text).rlike(nl)).select(key, F.split(F.col(text), nl).alias("_all"))
-    listed = listed.select(key, "_all", F.posexplode("_all").alias("_line", "_first")).filter(F.col("_first").rlike(r"\S"))
+    listed = df.filter(F.col(text).rlike(nl)).select(key, F.transform(F.split(F.col(text), nl), _plain).alias("_all"))
+    listed = listed.select(key, "_all", F.posexplode("_all").alias("_line", "_first")).filter("_first <> ''")
     spans = F.transform(F.sequence(F.lit(1), F.lit(WRAPPED)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_all", F.col("_line") + 1, n), " ").alias("said")))
     listed = listed.select(key, "_line", F.explode(spans).alias("s"))
     place = (F.col("_line") + F.col("s.n") - 1) * WRAPPED + F.col("s.n") - 1
     listed = listed.select(key, place.cast("int").alias("_place"), _hashes(F.col("s.said")).alias("_h")).filter("_h IS NOT NULL")
     listed = listed.withColumn("_salt", F.pmod(F.xxhash64(key, "_place"), F.lit(SALTS)).cast("int"))
-    known = headings.select(_hashes(F.col(column)).alias("_h")).filter("_h IS NOT NULL").distinct()
+    known = headings.select(_hashes(_plain(F.col(column))).alias("_h")).filter("_h IS NOT NULL").distinct()
     known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return listed.join(known, ["_h", "_salt"], "left_semi").groupBy(key).agg(F.collect_list("_place").alias("lines"))
 
 
-def sentence_rows(df: DataFrame, key: str, text: str, headings: DataFrame | None = None, column: str = "heading", chunk: int = CHUNK) -> DataFrame:
+def sentence_rows(
+    df: DataFrame, key: str, text: str, headings: DataFrame | None = None, column: str = "heading", chunk: int = CHUNK, only: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """One row per sentence: (key, sent_idx from 0, sent_start, sent_end, sent_text).
 
     key must be unique. Null, empty and blank texts give no row; other columns of df are left out. headings: a table
     whose column holds lines that are units although they have no end mark. A text of one chunk is split where it is;
     the chunks of a longer one are rows of their own: their functions are computed in parallel over the cluster, only
     the tables (a few kB a chunk) of one text meet in one task for the scan, then all chunks emit their events in
-    parallel, and only these and the text, which was one row before, meet again.
+    parallel, and only these and the text, which was one row before, meet again. only: picks rows by key and text
+    (in column _text); it sees every text once.
     """
     texts = df.select(key, F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    if headings is None:
-        texts = texts.withColumn("lines", F.array().cast("array<int>"))
-    else:
-        texts = texts.join(heading_lines(texts, key, "_text", headings, column), key, "left")
+    lines = heading_lines(texts, key, "_text", headings, column) if headings is not None else None
+
+    def marked_texts(texts: DataFrame) -> DataFrame:
+        picked = only(texts)
+        return picked.withColumn("lines", F.array().cast("array<int>")) if lines is None else picked.join(lines, key, "left")
+
     kind = f"`{key}` {df.schema[key].dataType.simpleString()}"
     result = f"{kind}, sent_idx int, sent_start int, sent_end int, sent_text string"
 
@@ -606,8 +616,8 @@ def sentence_rows(df: DataFrame, key: str, text: str, headings: DataFrame | None
         events = ((int(x), int(e)) for at, event in zip(group["at"], group["event"]) for x, e in zip(at, event))
         return sentences([group[key].iloc[0]], [t], [sentences_from_events(events, t)])
 
-    short = texts.filter(F.length("_text") <= chunk).mapInPandas(split, result)
-    parts = texts.filter(F.length("_text") > chunk).mapInPandas(cut, f"{kind}, chunk int, start int, part string, ends array<int>, before string, seen string")
+    short = marked_texts(texts.filter(F.length("_text") <= chunk)).mapInPandas(split, result)
+    parts = marked_texts(texts.filter(F.length("_text") > chunk)).mapInPandas(cut, f"{kind}, chunk int, start int, part string, ends array<int>, before string, seen string")
     parts = parts.repartition(key, "chunk")
     states = parts.mapInPandas(functions, f"{kind}, chunk int, f binary").groupBy(key).applyInPandas(scan, f"{kind}, chunk int, state int")
     events = parts.join(states, [key, "chunk"]).mapInPandas(emit, f"{kind}, chunk int, part string, at array<int>, event array<int>")

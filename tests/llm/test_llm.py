@@ -18,7 +18,7 @@ from lexweave.llm import language as la
 from lexweave.llm import repetition as rp
 from lexweave.llm.components import connected_components, union_find
 from lexweave.llm.distinctive import LONG_LATIN, all_words, distinctive_terms, runs_of, term_counts
-from lexweave.llm.mixing import mix, shares
+from lexweave.llm.mixing import integrate, mix, shares, training_time
 from lexweave.llm.sentences import HEADING_ENDS, WRAPPED, SentenceTransducer, chunk_ends, compose, mark_headings, sentence_rows, split_sentences
 from lexweave.llm.tokenizer import PATTERN, RankQueue, encoder, vocabulary_path, with_token_counts, with_token_ids
 
@@ -382,6 +382,29 @@ def test_mixing(spark):
     p = [r.position for r in mixed.collect()]
     assert p == sorted(p)
     assert mix(df.limit(0), targets)[0].count() == 0
+    late = spark.createDataFrame([(" A", 0.6, 0.0), ("a", 1.0, 2.0), ("a", None, 1.0), ("b", 0.2, 0.0), ("b", 0.0, 1.0), ("b", 1.0, 0.0)], "source string, t double, weight double")
+    mixed, rows = mix(df, targets, late, blocks=16)
+    span = {r.source: (r.lo, r.hi) for r in mixed.groupBy("source").agg(F.min("position").alias("lo"), F.max("position").alias("hi")).collect()}
+    whole = sum(r["demand"] for r in rows)
+    assert span["a"][0] >= 0.6 * whole and span["b"][1] <= 0.2 * whole and span["c"][0] < 0.05 * whole and span["c"][1] > 0.9 * whole
+    again = {r.source: r.actual_share for r in shares(mixed, rows).collect()}
+    assert all(again[s] == pytest.approx(got[s].actual_share, abs=0.01) for s in again)
+    with pytest.raises(ValueError):
+        mix(df, targets, spark.createDataFrame([("a", 0.5, -1.0)], "source string, t double, weight double"))
+
+
+@pytest.mark.parametrize("points", [[], [(0.0, 0.0)], [(0.3, 2.0)], [(0.0, 0.5), (1.0, 1.5)], [(0.0, 1.0), (0.4, 0.0), (0.6, 0.0), (1.0, 3.0)], [(0.5, 1.0), (0.5, 3.0), (0.9, 0.1)]])
+def test_schedules_are_integrated_and_inverted(spark, points):
+    pieces = integrate(points)
+    used = np.linspace(0, 1, 41)
+    df = spark.createDataFrame([(float(u), pieces) for u in used], "u double, p array<struct<t: double, weight: double, slope: double, before: double, upto: double>>")
+    got = np.array([r.t for r in df.select("u", training_time(F.col("u"), F.col("p")).alias("t")).orderBy("u").collect()])
+    grid = np.linspace(0, 1, 200_001)
+    at = sorted({t: np.mean([w for x, w in points if x == t]) for t, _ in points}.items()) if any(w for _, w in points) else [(0, 1)]
+    weight = np.interp(grid, [t for t, _ in at], [w for _, w in at])
+    share = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    assert np.interp(got, grid, share / share[-1]) == pytest.approx(used, abs=1e-6)
+    assert (np.diff(got) >= 0).all() and got[0] >= 0 and got[-1] <= 1
 
 
 # 10 languages
@@ -397,18 +420,36 @@ def test_languages_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL AND lang IN ('de', 'es', 'fr', 'pt', 'ru', 'it', 'pl', 'zh', 'ja', 'ar', 'th', 'hi', 'el')")
     fit, held = docs.filter("doc_id % 2 = 0"), [(r.lang, r.text) for r in docs.filter("doc_id % 2 = 1").collect()]
     profiles = la.fit_profiles(fit, "text", "lang")
-    got = [(lang, {s[2] for s in la.judge(text, profiles)}) for lang, text in held]
+    got = [(lang, {s[2] for s in la.judge([text], profiles)[0]}) for lang, text in held]
     single = [(lang, s) for lang, s in got if len(s) == 1]
     assert len(single) > 0.8 * len(got) and np.mean([s == {lang} for lang, s in single]) > 0.93  # labels are partly wrong
 
 
+def test_out_of_place_distance():
+    counts = {"aa": la.Counter({"_a": 5, "ab": 4, "b_": 3}), "bb": la.Counter({"b_": 5, "_c": 2})}
+    profiles = la.LanguageProfiles.fit(counts, size=3)
+    texts = ["ab ab", "zz zzz", "", "ab cb", "12"]
+
+    def brute(text, profile):
+        grams = la.Counter(g for w in la._words(text) for g in la._word_ngrams(w))
+        every = sorted({g for c in counts.values() for g in c})
+        ranked = sorted(grams, key=lambda g: (-grams[g], every.index(g) if g in every else len(every)))[: la.COMPARED]
+        out = [min(abs(profile.index(g) - i), 3) if g in profile else 3 for i, g in enumerate(ranked)]
+        return sum(out) / (3 * len(out)) if out else 1.0
+
+    ranks = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))] for lang, c in counts.items()}
+    want = [[brute(t, ranks[lang]) for lang in ("aa", "bb")] for t in texts]
+    assert profiles.distances(texts) == pytest.approx(np.array(want))
+    assert np.concatenate([profiles.distances([t]) for t in texts]) == pytest.approx(np.array(want))
+
+
 def test_mixed_and_empty_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = la.fit_profiles(docs, "text", "lang")
     text = "The applicant must certify the annual report before the vessel departs.\n\nDer Betreiber darf die Genehmigung nicht an Dritte übertragen. [Область применения]"
-    got = la.judge(text, profiles)
+    (got,) = la.judge([text], profiles)
     assert [s[2] for s in got] == ["en", "de"] and all(0 <= s[3] <= 1 for s in got) and text[got[0][0] : got[0][1]].endswith("departs.")
-    assert la.judge(None, profiles) == la.judge("", profiles) == la.judge("12 | 3.4", profiles) == []
+    assert la.judge([None, "", "12 | 3.4"], profiles) == [[], [], []] and la.judge([], profiles) == []
     df = spark.createDataFrame([(1, "en", text), (2, "fr", "Der Betreiber meldet jede Störung der Kühlanlage."), (3, "German", "Der Betreiber meldet jede Störung der Kühlanlage."), (4, None, "12"), (5, None, None)], "i int, lang string, text string")
     found = la.wrong_labels(la.with_languages(df, "text", profiles), ["i"], "lang")
     assert sorted(map(tuple, found.collect())) == [(1, "de"), (1, "en"), (2, "de")]
