@@ -39,7 +39,7 @@ MARGIN = 0.04
 #: Words whose n-grams a worker remembers.
 REMEMBERED = 100_000
 #: n-grams that are ranked at once.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -80,7 +80,7 @@ class LanguageProfiles:
         grams = sorted({g for p in profiles.values() for g in p})
         self.known = len(grams)
         self.number = {g: i for i, g in enumerate(grams)}
-        self.ranks = np.full((len(grams) + 1, len(self.languages)), 2 * self.size + COMPARED, dtype=np.int32)  # out of place by all, wherever it is
+        self.ranks = np.full((len(grams) + 1, len(self.languages)), 2 * self.size + COMPARED, dtype=np.int16)  # out of place by all, wherever it is
         for j, lang in enumerate(self.languages):
             for r, g in enumerate(profiles[lang]):
                 self.ranks[self.number[g], j] = r
@@ -128,19 +128,26 @@ class LanguageProfiles:
         return out
 
     def _compare(self, found: list[np.ndarray], owner: list[int], out: np.ndarray) -> None:
-        grams = np.concatenate(found)
-        base = len(self.number)
-        keys, counts = np.unique(np.repeat(np.array(owner, dtype=np.int64), [len(x) for x in found]) * base + grams, return_counts=True)
+        grams, base = np.concatenate(found), len(self.number)
+        keys = np.sort(np.repeat(np.array(owner, dtype=np.int64), [len(x) for x in found]) * base + grams)
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(starts, len(keys)))
+        text, gram = np.divmod(keys[starts], base)
+        # one number orders by text, then by falling count, then by n-gram
+        most = int(counts.max()) + 1
+        keys = np.sort((text * most + (most - counts)) * base + gram)
         text, gram = np.divmod(keys, base)
-        order = np.lexsort((gram, -counts, text))
-        text, gram = text[order], gram[order]
+        text //= most
         first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
-        most = rank < COMPARED
-        text, gram, rank = text[most], gram[most], rank[most]
-        away = np.minimum(np.abs(self.ranks[np.minimum(gram, self.known)] - rank[:, None]), self.size)
-        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-        out[text[first]] = np.add.reduceat(away, first, axis=0) / (self.size * np.diff(np.append(first, len(text))))[:, None]
+        if int(rank.max()) >= COMPARED:
+            kept = rank < COMPARED
+            text, gram, rank = text[kept], gram[kept], rank[kept]
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        away = self.ranks[np.minimum(gram, self.known)]
+        away -= rank.astype(np.int16)[:, None]
+        np.minimum(np.abs(away, out=away), self.size, out=away)
+        out[text[first]] = np.add.reduceat(away, first, axis=0, dtype=np.int32) / (self.size * np.diff(np.append(first, len(text))))[:, None]
 
 
 def whole_sentences(text: str) -> list[tuple[int, int, str]]:

@@ -15,6 +15,7 @@ parallel prefix scan, which gives each chunk its true start state; then every ch
 
 from __future__ import annotations
 
+import re
 from collections import namedtuple
 from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import lru_cache
@@ -63,6 +64,10 @@ WRAPPED = 4
 HEADING_ENDS = [chr(0xD800 + i) for i in range(2**WRAPPED)]
 #: Bits of a symbol's number in a transition's key: more than there are code points.
 SYMBOL_BITS = 21
+#: States and words whose transitions a worker remembers, and the pieces that a text is read in: words of scripts that
+#: part them by blanks, single characters otherwise.
+REMEMBERED = 500_000
+_PIECE = re.compile(r"[A-Za-zÀ-ɏΆ-ώЀ-ӿא-תء-يऄ-हा-्]{2,24}|[\s\S]")
 CAND, EXTEND, NEXT, CUT, DROP = range(1, 6)
 
 
@@ -95,6 +100,7 @@ class SentenceTransducer:
         self.states: dict[State, int] = {}
         self.state_list: list[State] = []
         self.table: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.pieces: dict[tuple[int, str], tuple[int, tuple[tuple[int, int], ...]]] = {}
         self.start = self.state_id(START)
         self.carried = [
             State(q, qc, qs, 0, p, lower, seen, thai, -1, 0, 0, "", 0, 0, h, "", 0, 0)
@@ -334,22 +340,36 @@ class SentenceTransducer:
         return out
 
     def run(self, text: str, state: int, at: int = 0) -> tuple[int, list[tuple[int, int]]]:
-        """The state after text, and the events with the positions where they happened."""
+        """The state after text, and the events with the positions where they happened.
+
+        What a whole word does to a state is remembered, so a word that was met before is one step.
+        """
         events: list[tuple[int, int]] = []
-        symbols, table = self.symbols, self.table
-        for i, c in enumerate(text, at):
-            y = symbols.get(c)
-            if y is None:
-                y = self.symbol_id(c)
-            key = state << SYMBOL_BITS | y
-            got = table.get(key)
+        pieces = self.pieces
+        for piece in _PIECE.findall(text):
+            got = pieces.get((state, piece))
             if got is None:
-                got = self._move(key, state, y)
+                got = self._piece(state, piece)
             state, seen = got
             if seen:
-                events.extend((i, e) for e in seen)
+                events.extend((at + i, e) for i, e in seen)
+            at += len(piece)
         return state, events
 
+    def _piece(self, state: int, piece: str) -> tuple[int, tuple[tuple[int, int], ...]]:
+        start, events = state, []
+        for i, c in enumerate(piece):
+            y = self.symbols.get(c)
+            if y is None:
+                y = self.symbol_id(c)
+            key = state << SYMBOL_BITS | y
+            state, seen = self.table.get(key) or self._move(key, state, y)
+            events += [(i, e) for e in seen]
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        out = self.pieces[start, piece] = state, tuple(events)
+        return out
+
     def domain(self, seen: str) -> list[int]:
         """The carried states that are possible after a text in which only these opening marks were seen.
 

@@ -168,6 +168,7 @@ def test_many_symbols_do_not_collide():
         machine.symbol_list.append(("letter", f"x{n}", "cjk/caseless"))
     for text, _ in CASES:
         machine.symbols.clear()
+        machine.pieces.clear()
         assert machine.run(text + "。持有人巵保存副本。", machine.start)[1] == fresh.run(text + "。持有人巵保存副本。", fresh.start)[1]
 
 
