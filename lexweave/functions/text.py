@@ -18,6 +18,7 @@ SECTION_CUE = rf"\(§{WS}*\d+(?:\.\d+)?\)"
 #: Line patterns of extracted pages.
 HEADER_LINE = rf"(?i)^{WS}*§{WS}*(\d{{1,3}}\.\d{{1,3}}[A-Za-z0-9\-]*(?:\([a-z0-9]+\))*){WS}*(.*)$"
 NOISE_LINE = r"(?i)^(Authority:|Source:|Editorial Note:|HISTORY:)"
+NOISE_LINE_COMPAT = r"(?i)^(Authority:|Source:|Editorial Note:|HISTORY:)[\p{L}\p{N}_]"
 PAGE_JUNK = r"(?i)^(VerDate|[0-9]{4}\s*CFR\s*.*|[0-9]+\s*\|\s*Page|\[\s*\d+\s*\])$"
 #: Replacements of the frequent garbled sequences, in order.
 GARBLED = (("Â§", "§"), ("â€”", "—"), ("â€“", "–"), ("â€˜", "‘"), ("â€™", "’"), ("â€œ", "“"), ("â€\x9d", "”"), ("â€ť", "”"), ("â€\x9c", "“"), ("â€", '"'))

@@ -13,7 +13,6 @@ from lexweave.functions import text as t
 from lexweave.operators.graph import top_k
 
 
-
 def unigrams(c: Column) -> Column:
     s = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9_§.]+", " "))
     return F.filter(F.split(s, " "), lambda x: x != "")
@@ -25,10 +24,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance. What both begin and end with is left out; of the rest, whole columns of the table are one
+    integer's bits (Myers), so a row costs a few operations on len(a) bits."""
+    start = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, distance = every, 0, len(a)
+    for y in b:
+        eq = where.get(y, 0)
+        vertical = eq | minus
+        horizontal = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | (every & ~(horizontal | plus)), plus & horizontal
+        distance += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        plus, minus = (down | ~(vertical | up)) & every, up & vertical & every
+    return distance
+
+
+def _similarities(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in parts:
+        yield pd.Series([None if x is None or y is None else 100.0 * (1 - edit_distance(x, y) / max(len(x), len(y))) for x, y in zip(a, b)], dtype="float64")
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """100 * (1 - edit distance / longer length); 100 for two empty texts."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 100.0).otherwise(100 * (1 - F.levenshtein(a, b) / longest))
+    """100 * (1 - edit distance / longer length); 100 for equal texts, two empty ones included; null if one is null."""
+    run = F.pandas_udf(_similarities, "double")
+    return F.when(a == b, 100.0).otherwise(run(F.when(a != b, a), F.when(a != b, b)))
 
 
 def compare_sections(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ def _ranks_of_one(alpha: float, rounds: int, tolerance: float):
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
     """(doc_id, sec_id, pagerank), unweighted, per document; the mass of nodes without out-edges is spread evenly.
 
-    Rounds end when the ranks of a document change by at most tolerance times its nodes. Documents of up to
-    max_task_edges edges iterate inside one task each, in one shuffle; larger ones by distributed rounds.
+    A document's rounds end when its ranks changed by at most tolerance times its nodes in one. Documents of up to
+    max_task_edges edges iterate inside one task each, in one shuffle; larger ones by distributed rounds, with the same
+    result.
     """
     links = edges.select("doc_id", "src_sec_id", "dst_sec_id").dropna().distinct()
     sizes = links.groupBy("doc_id").agg(F.count("*").alias("m"))
@@ -76,26 +77,30 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     return small.unionByName(pagerank_rounds(links.join(large, "doc_id", "left_semi"), alpha, rounds, tolerance))
 
 
-def pagerank_rounds(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
-    """The same by rounds of joins over the cluster, for documents of any size. Lineage is cut at every check."""
+def pagerank_rounds(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """The same by rounds of joins over the cluster, for documents of any size.
+
+    Ranks of a document stay as they are after the round in which its rounds end. Every round ends in a checkpoint, as
+    the next one reads it several times, and the driver asks whether any document goes on.
+    """
     out = edges.groupBy("doc_id", "src_sec_id").agg(F.count("*").alias("out"))
     size = nodes(edges).groupBy("doc_id").agg(F.count("*").alias("n"))
     base = nodes(edges).join(size, "doc_id").join(out.withColumnRenamed("src_sec_id", "sec_id"), ["doc_id", "sec_id"], "left")
     base = cut(base.select("doc_id", "sec_id", "n", F.coalesce("out", F.lit(0)).alias("out")))
     links = cut(edges.select("doc_id", "src_sec_id", "dst_sec_id"))
-    rank = base.withColumn("r", 1 / F.col("n"))
-    for i in range(1, rounds + 1):
+    rank = base.withColumns({"r": 1 / F.col("n"), "live": F.lit(True)})
+    for _ in range(rounds):
         loose = rank.groupBy("doc_id").agg(F.sum(F.when(F.col("out") == 0, F.col("r")).otherwise(0.0)).alias("loose"))
         given = rank.filter("out > 0").select("doc_id", F.col("sec_id").alias("src_sec_id"), (F.col("r") / F.col("out")).alias("g"))
         got = links.join(given, ["doc_id", "src_sec_id"]).groupBy("doc_id", F.col("dst_sec_id").alias("sec_id")).agg(F.sum("g").alias("g"))
         new = rank.withColumnRenamed("r", "old").join(got, ["doc_id", "sec_id"], "left").join(loose, "doc_id")
-        new = new.withColumn("r", (1 - alpha) / F.col("n") + alpha * (F.coalesce("g", F.lit(0.0)) + F.col("loose") / F.col("n")))
-        if i % check_every == 0 or i == rounds:
-            new = cut(new.select("doc_id", "sec_id", "n", "out", "old", "r"))
-            moved = new.groupBy("doc_id").agg((F.sum(F.abs(F.col("r") - F.col("old"))) / F.max("n")).alias("d")).agg(F.max("d")).first()[0]
-            if moved is None or moved <= tolerance:
-                return new.select("doc_id", "sec_id", F.col("r").alias("pagerank"))
-        rank = new.select("doc_id", "sec_id", "n", "out", "r")
+        next_rank = (1 - alpha) / F.col("n") + alpha * (F.coalesce("g", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        new = new.withColumn("r", F.when(F.col("live"), next_rank).otherwise(F.col("old"))).drop("g", "loose")
+        new = cut(new.select("doc_id", "sec_id", "n", "out", "old", "r", "live"))
+        moved = new.groupBy("doc_id").agg((F.sum(F.abs(F.col("r") - F.col("old"))) / F.max("n") > tolerance).alias("moves"))
+        rank = new.join(moved, "doc_id").select("doc_id", "sec_id", "n", "out", "r", (F.col("live") & F.col("moves")).alias("live"))
+        if rank.filter("live").isEmpty():
+            break
     return rank.select("doc_id", "sec_id", F.col("r").alias("pagerank"))
 
 
@@ -120,11 +125,39 @@ def star_contraction(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, sec_id, component): weakly connected components, named by their smallest section."""
-    links = edges.select(F.col("doc_id").alias("scope"), F.col("src_sec_id").alias("a"), F.col("dst_sec_id").alias("b"))
-    roots = star_contraction(links).select(F.col("scope").alias("doc_id"), F.col("a").alias("sec_id"), "b")
-    return nodes(edges).join(roots, ["doc_id", "sec_id"], "left").select("doc_id", "sec_id", F.coalesce("b", "sec_id").alias("component"))
+def _components_of_one(group: pd.DataFrame) -> pd.DataFrame:
+    ids, codes = np.unique(np.concatenate([group["src_sec_id"], group["dst_sec_id"]]), return_inverse=True)
+    a, b, least = codes[: len(group)], codes[len(group) :], np.arange(len(ids))
+    while (least[a] != least[b]).any():
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        np.minimum.at(least, high, low)
+        while (least != (up := least[least])).any():
+            least = up
+    return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "sec_id": ids, "component": ids[least]})
+
+
+def components(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(doc_id, sec_id, component): weakly connected components, named by their smallest section.
+
+    Documents of up to max_task_edges edges are done inside one task each, in one shuffle; larger ones by star
+    contraction over the cluster, with the same result.
+    """
+    links = edges.select("doc_id", "src_sec_id", "dst_sec_id").dropna()
+    sizes = links.groupBy("doc_id").agg(F.count("*").alias("m"))
+    schema = "doc_id string, sec_id string, component string"
+    if (sizes.agg(F.max("m")).first()[0] or 0) <= max_task_edges:
+        return links.groupBy("doc_id").applyInPandas(_components_of_one, schema)
+    large = sizes.filter(F.col("m") > max_task_edges).select("doc_id")
+    small = links.join(large, "doc_id", "left_anti").groupBy("doc_id").applyInPandas(_components_of_one, schema)
+    giant = links.join(large, "doc_id", "left_semi")
+    roots = star_contraction(giant.select(F.col("doc_id").alias("scope"), F.col("src_sec_id").alias("a"), F.col("dst_sec_id").alias("b")))
+    roots = roots.select(F.col("scope").alias("doc_id"), F.col("a").alias("sec_id"), "b")
+    return small.unionByName(nodes(giant).join(roots, ["doc_id", "sec_id"], "left").select("doc_id", "sec_id", F.coalesce("b", "sec_id").alias("component")))
+
+
+def node_table(edges: DataFrame, **options: float) -> DataFrame:
+    """(doc_id, sec_id, pagerank, in_degree, out_degree, in_span_strength) of every node; options: see pagerank."""
+    return pagerank(edges, **options).join(degrees(edges), ["doc_id", "sec_id"]).select("doc_id", "sec_id", "pagerank", "in_degree", "out_degree", "in_span_strength")
 
 
 def clustering(edges: DataFrame) -> DataFrame:

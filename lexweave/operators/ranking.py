@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lexweave.operators.graph import top_k
 
-#: Weights of the features.
+#: Heading words that earn the whole bonus, and half of it.
+STRONG_HEADING = r"(?i)\b(definitions?|applicability)\b"
+WEAK_HEADING = r"(?i)\b(purpose|scope|authority|compliance|reporting)\b"
+#: Weights of the features.
 WEIGHTS = {"terms": 0.45, "lexicon": 0.25, "references": 0.20, "in_degree": 0.05, "heading": 0.05}
 #: Most lexicon phrases of one pass over the texts.
 MAX_PHRASES = 5_000
@@ -26,20 +29,48 @@ def minmax(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
 
 def heading_bonus(c: Column) -> Column:
     h = F.coalesce(c, F.lit(""))
-    return F.when(h.rlike(r"(?i)\b(definitions?|applicability)\b"), 1.0).when(h.rlike(r"(?i)\b(purpose|scope|authority|compliance|reporting)\b"), 0.5).otherwise(0.0)
+    return F.when(h.rlike(STRONG_HEADING), 1.0).when(h.rlike(WEAK_HEADING), 0.5).otherwise(0.0)
+
+
+def _flat(c: Column) -> Column:
+    """Lower case, words and signs parted by one blank, one at either end."""
+    squeezed = F.regexp_replace(F.lower(c), r"[\s\x{00A0}\-]+", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(squeezed, r"[^\p{L}\p{M}\p{N}_]", " $0 "), F.lit(" ")), " +", " ")
+
+
+def _both(heading: Column, text: Column) -> Column:
+    return F.concat_ws("\n", F.coalesce(heading, F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def _runs(words: Column, n: int) -> Column:
+    every = F.transform(words, lambda x, i: F.concat_ws(" ", x, *[F.get(words, i + k) for k in range(1, n)]))
+    return F.slice(every, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+
+
+def lexicon_hits(sections: DataFrame, keys: list[str], heading: str, text: str, lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """(keys..., hits): the same as phrase_hits with a lexicon of any size, a table with one phrase per row.
+
+    Runs of as many words as phrases have are joined with the phrases by equality; the number of different lengths is
+    the only thing that goes to the driver.
+    """
+    known = lexicon.select(F.trim(_flat(F.col(phrase))).alias("_p")).filter("_p <> ''").groupBy("_p").agg(F.count("*").alias("_n"))
+    lengths = sorted(r["n"] for r in known.select(F.size(F.split("_p", " ")).alias("n")).distinct().collect())
+    words = sections.select(*keys, F.split(F.trim(_flat(_both(F.col(heading), F.col(text)))), " ").alias("_w"))
+    runs = [_runs(F.col("_w"), n) for n in lengths]
+    found = words.select(*keys, F.explode(F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")).alias("_p"))
+    hits = found.join(known, "_p").groupBy(*keys).agg(F.sum("_n").alias("hits"))
+    return sections.select(*keys).join(hits, keys, "left").select(*keys, F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
 
 
 def phrase_hits(heading: Column, text: Column, phrases: list[str]) -> Column:
     """How many phrases occur as whole words, blanks and hyphens alike, in any case; a phrase listed twice counts twice.
 
-    phrases: a lexicon, MAX_PHRASES at most. It is part of the expression, so no join is needed.
+    phrases: a small lexicon, MAX_PHRASES at most, which is part of the expression; see lexicon_hits for larger ones.
     """
     phrases = [p.strip().lower() for p in phrases if p and p.strip()]
     if len(phrases) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases")
-    squeezed = lambda c: F.regexp_replace(c, r"[\s\x{00A0}\-]+", " ")
-    hay = F.concat(F.lit(" "), F.regexp_replace(squeezed(F.lower(F.concat_ws("\n", F.coalesce(heading, F.lit("")), F.coalesce(text, F.lit(""))))), r"[^\p{L}\p{M}\p{N}_]", " $0 "), F.lit(" "))
-    flat = F.regexp_replace(hay, " +", " ")
+        raise ValueError(f"more than {MAX_PHRASES} phrases: use lexicon_hits")
+    flat = _flat(_both(heading, text))
     wanted = F.array(*[F.lit(" " + " ".join(p.replace("-", " ").split()) + " ") for p in phrases]) if phrases else F.array().cast("array<string>")
     return F.element_at(F.transform(F.array(flat), lambda h: F.size(F.filter(wanted, lambda p: h.contains(p)))), 1)
 

@@ -35,20 +35,24 @@ def lead_sentences(c: Column) -> Column:
 def render(plan: DataFrame, sections: DataFrame, gists: DataFrame, budget: int = 1200) -> DataFrame:
     """(doc_id, summary_text, words, blocks): blocks in plan order under a word budget; a block that does not fit is skipped, later ones may fit.
 
-    The fold runs over one plan per document (anchors times neighbours, so dozens of entries).
+    The fold runs over the places and sizes of one document's blocks; the texts join those that were picked, whose words
+    are at most the budget.
     """
     j = plan.join(sections.select("doc_id", "sec_id", "heading", "text"), ["doc_id", "sec_id"]).join(gists.select("doc_id", F.col("anchor_sec_id").alias("sec_id"), "gist_text"), ["doc_id", "sec_id"], "left")
     text = F.when(F.coalesce("gist_text", F.lit("")) != "", F.col("gist_text")).otherwise(lead_sentences(F.col("text")))
     j = j.select("doc_id", "pos", "sec_id", F.coalesce("heading", F.lit("")).alias("heading"), text.alias("text")).filter("text <> ''")
-    items = j.select("doc_id", F.struct("pos", t.token_count(F.col("text")).alias("n"), F.concat_ws("", "sec_id", F.lit(" — "), "heading", F.lit("\n"), "text", F.lit("\n")).alias("block")).alias("i"))
-    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("picked"))
+    j = j.withColumn("n", t.token_count(F.col("text")))
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("picked"))
     fold = F.aggregate(
-        F.array_sort(F.collect_list("i")), start,
-        lambda s, i: F.when(s["total"] + i["n"] <= budget, F.struct((s["total"] + i["n"]).alias("total"), F.concat(s["picked"], F.array(i["block"])).alias("picked"))).otherwise(s),
+        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "n"))), start,
+        lambda s, i: F.when(s["total"] + i["n"] <= budget, F.struct((s["total"] + i["n"]).alias("total"), F.concat(s["picked"], F.array(i["pos"])).alias("picked"))).otherwise(s),
     )
-    out = items.groupBy("doc_id").agg(fold.alias("s"))
-    footer = F.concat(F.lit("\n[approx tokens used: "), F.col("s.total").cast("string"), F.lit("]"))
-    return out.select("doc_id", F.concat(F.array_join("s.picked", "\n"), footer).alias("summary_text"), F.col("s.total").alias("words"), F.size("s.picked").alias("blocks"))
+    picked = j.groupBy("doc_id").agg(fold.alias("s")).select("doc_id", F.col("s.total").alias("words"), F.explode_outer("s.picked").alias("pos"))
+    blocks = j.select("doc_id", "pos", F.concat_ws("", "sec_id", F.lit(" — "), "heading", F.lit("\n"), "text", F.lit("\n")).alias("block"))
+    out = picked.join(blocks, ["doc_id", "pos"], "left").groupBy("doc_id", "words").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "block")))).alias("b"))
+    footer = F.concat(F.lit("\n[approx tokens used: "), F.col("words").cast("string"), F.lit("]"))
+    text = F.concat(F.array_join(F.transform("b", lambda x: x["block"]), "\n"), footer)
+    return out.select("doc_id", text.alias("summary_text"), "words", F.size("b").alias("blocks"))
 
 
 def deliverable(plan: DataFrame, summaries: DataFrame) -> DataFrame:

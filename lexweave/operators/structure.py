@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -39,27 +45,102 @@ def reserved_ids(sectno: Column, heading: Column) -> Column:
     return F.when(ok, F.transform(t.expand_range(F.when(ok, a), F.when(ok, b)), lambda x: F.concat(F.lit("§"), x))).otherwise(F.array().cast("array<string>"))
 
 
-def subpart_paths(xml: DataFrame) -> DataFrame:
-    """(doc_id, sec_no, subpart): the title of the subpart that each section number stands in."""
-    parts = xml.select("doc_id", F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)(<SUBPART\b.*?</SUBPART>)"), F.lit(1))).alias("x"))
-    title = F.coalesce(F.xpath_string("x", F.lit("//SUBPART/HD")), F.lit(""))
-    numbers = F.transform(F.expr("xpath(x, '//SECTNO/text()')"), lambda s: F.regexp_extract(s, r"(\d{1,3}\.\d{1,3}[A-Za-z0-9]*)", 1))
-    return parts.select("doc_id", F.explode(numbers).alias("sec_no"), title.alias("subpart")).groupBy("doc_id", "sec_no").agg(F.min("subpart").alias("subpart"))
+#: Elements that may be sections or subparts.
+LEVELS = ("SECTION", "SUBPART", "DIV3", "DIV4", "DIV5", "DIV6", "DIV7", "DIV8")
+_ENTITY = re.compile(r"&(?!amp;|lt;|gt;|quot;|apos;|#)(\w+);")
+
+
+class _Tree(ET.TreeBuilder):
+    """Builds a tree of what was read so far: elements that an error leaves open are closed."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[str] = []
+
+    def start(self, tag, attrs):
+        self.open.append(tag)
+        return super().start(tag, attrs)
+
+    def end(self, tag):
+        self.open.pop()
+        return super().end(tag)
+
+
+def _tree(xml: str) -> ET.Element | None:
+    tree = _Tree()
+    parser = ET.XMLParser(target=tree)
+    try:
+        parser.feed(_ENTITY.sub(lambda m: html.unescape(m[0]).replace("&", "&amp;"), xml))
+        return parser.close()
+    except ET.ParseError:
+        if not tree.open:
+            return None
+        while tree.open:
+            tree.end(tree.open[-1])
+        return tree.close()
+
+
+def _said(node: ET.Element | None) -> str:
+    return " ".join(s for x in ([] if node is None else node.itertext()) if (s := x.strip()))
+
+
+def _section_nodes(xml: str) -> list[tuple[str, str, str, str]]:
+    """(number, heading, text, subpart) of the section elements of one document, in order.
+
+    Sections are elements of LEVELS whose TYPE says so; without any, all SECTION elements. subpart: title of the
+    innermost subpart around it, an element whose TYPE says so or a SUBPART.
+    """
+    root = _tree(xml)
+    found: list[tuple[bool, ET.Element, str]] = []
+
+    def walk(top: ET.Element) -> None:
+        stack = [(top, "")]
+        while stack:
+            node, subpart = stack.pop()
+            kind = node.get("TYPE", "").lower()
+            if node.tag in LEVELS and "section" in kind:
+                found.append((True, node, subpart))
+            elif node.tag == "SECTION":
+                found.append((False, node, subpart))
+            if node.tag == "SUBPART" or node.tag in LEVELS and "subpart" in kind:
+                title = next((x for x in node.iter() if x.tag in ("SUBJECT", "HEAD", "HD")), None)
+                subpart = "Subpart" if title is None else _said(title)
+            stack.extend((child, subpart) for child in reversed(node))
+
+    if root is not None:
+        walk(root)
+    typed = any(t for t, _, _ in found)
+    out = []
+    for is_typed, node, subpart in found:
+        if is_typed == typed:
+            inner = [x for x in node.iter() if x is not node]
+            number = next((x for x in inner if "SECTNO" in x.tag.upper()), None)
+            heading = next((x for x in inner if "SUBJECT" in x.tag.upper()), None)
+            heading = next((x for x in inner if x.tag == "HEAD"), None) if heading is None else heading
+            body = [x for x in inner if x.tag == "P"]
+            text = " ".join(s for x in (body or [node]) if (s := _said(x)))
+            out.append((_said(number), _said(heading), text, subpart))
+    return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(d, i, *x) for d, xml in zip(*(c.to_pylist() for c in batch.columns)) for i, x in enumerate(_section_nodes(xml or ""))]
+        kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "pos", "sectno", "heading", "text", "subpart"])
 
 
 def parse_xml(xml: DataFrame) -> DataFrame:
     """Sections (doc_id, sec_id, label, heading, text, hierarchy_path, tokens, idx) of regulation XML (doc_id, xml).
 
-    Ids come from SECTNO, else from the heading, else are ``§UNKNOWN``; reserved ranges give one row per id; of equal
-    ids the first one stays. Elements must be well-formed.
+    Elements may be nested; what follows an error in the markup is left out. Ids come from SECTNO, else from the
+    heading, else are ``§UNKNOWN``; reserved ranges give one row per id; of equal ids the first one stays. A null or
+    empty xml gives no row.
     """
-    found = xml.select("doc_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)(<(?:SECTION|DIV[3-8] [^>]*TYPE=.SECTION)\b.*?</(?:SECTION|DIV[3-8])>)"), F.lit(1))).alias("pos", "x"))
-    clean = lambda c: F.array_join(F.filter(F.transform(c, t.squeeze_blanks), lambda s: s != ""), " ")
-    body, every = F.expr("xpath(x, '//P//text()')"), F.expr("xpath(x, '//text()')")
-    found = found.select(
-        "doc_id", "pos", clean(F.expr("xpath(x, '//SECTNO//text()')")).alias("sectno"), clean(F.expr("xpath(x, '//SUBJECT//text() | //HEAD//text()')")).alias("heading"),
-        F.when(F.size(body) > 0, clean(body)).otherwise(clean(every)).alias("text"),
-    )
+    schema = "doc_id string, pos int, sectno string, heading string, text string, subpart string"
+    found = xml.select(F.col("doc_id").cast("string"), "xml").mapInArrow(_parsed, schema)
+    found = found.withColumns({"sectno": t.normalize_text(F.col("sectno")), "heading": t.normalize_text(F.col("heading"))})
     rx = r"(\d{1,3}\.\d{1,3}[A-Za-z0-9\-]*(?:\([a-z0-9]+\))?)"
     number = F.regexp_extract("sectno", rx, 1)
     number = F.when(number == "", F.regexp_extract("heading", rx, 1)).otherwise(number)
@@ -72,12 +153,9 @@ def parse_xml(xml: DataFrame) -> DataFrame:
         "doc_id", "sec_id", F.struct("pos", "_k").alias("idx"),
         F.when(none, F.col("sec_id")).otherwise(F.regexp_replace("sec_id", "^§", "§ ")).alias("label"),
         F.when(none, "[Reserved]").otherwise(F.col("heading")).alias("heading"),
-        F.when(none, "").otherwise(t.normalize_text(F.col("text"))).alias("text"),
+        F.when(none, "").otherwise(t.normalize_text(F.col("text"))).alias("text"), "subpart",
     )
-    first = dedupe_first(rows, ["idx"])
-    paths = subpart_paths(xml)
-    number = F.regexp_replace("sec_id", "^§", "")
-    out = first.withColumn("sec_no", number).join(paths, ["doc_id", "sec_no"], "left")
+    out = dedupe_first(rows, ["idx"])
     order = W.Window.partitionBy("doc_id").orderBy("idx")
     return out.select(
         "doc_id", "sec_id", "label", "heading", "text", F.when(F.col("subpart") != "", F.array("subpart")).otherwise(F.array().cast("array<string>")).alias("hierarchy_path"),
@@ -109,11 +187,14 @@ def dehyphenate_lines(lines: DataFrame) -> DataFrame:
 
 
 def merge_wrapped_headers(lines: DataFrame, compat: bool = False) -> DataFrame:
-    """A header line without title takes a plain next line as its title; compat drops the section sign in doing so."""
+    """A header line without title takes a plain next line as its title.
+
+    compat drops the section sign in doing so, and takes for noise only lines whose label a word follows at once.
+    """
     w = _ordered(lines)
     header = F.col("line").rlike(t.HEADER_LINE)
     bare = header & (F.regexp_extract("line", t.HEADER_LINE, 2) == "")
-    plain = ~header & ~F.col("line").rlike(t.PAGE_JUNK) & ~F.col("line").rlike(t.NOISE_LINE)
+    plain = ~header & ~F.col("line").rlike(t.PAGE_JUNK) & ~F.col("line").rlike(t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE)
     marked = lines.withColumns({"_bare": bare, "_plain": plain}).withColumns({"_next": F.lead("line").over(w), "_next_plain": F.lead("_plain").over(w), "_taken": F.coalesce(F.lag("_bare").over(w), F.lit(False)) & F.col("_plain")})
     label = F.regexp_extract("line", t.HEADER_LINE, 1)
     joined = F.concat(F.lit("" if compat else "§ "), label, F.lit(" "), F.col("_next"))
@@ -121,15 +202,15 @@ def merge_wrapped_headers(lines: DataFrame, compat: bool = False) -> DataFrame:
     return marked.filter(~F.col("_taken")).select("doc_id", "line_no", line.alias("line"))
 
 
-def segment_lines(lines: DataFrame) -> DataFrame:
+def segment_lines(lines: DataFrame, compat: bool = False) -> DataFrame:
     """(doc_id, idx, sec_id, heading, text, tokens): lines gathered under their header; lines before the first one are dropped.
 
     Order within a document is what the operator is about, so a document's lines meet in one task; spilling sorts
-    keep that possible for documents of any length.
+    keep that possible for documents of any length. Noise lines are dropped; compat: see merge_wrapped_headers.
     """
     header = F.col("line").rlike(t.HEADER_LINE)
     seg = F.sum(header.cast("int")).over(_ordered(lines))
-    rows = lines.withColumn("idx", seg).withColumn("_h", header).filter((F.col("idx") > 0) & (F.col("_h") | ~F.col("line").rlike(t.NOISE_LINE)))
+    rows = lines.withColumn("idx", seg).withColumn("_h", header).filter((F.col("idx") > 0) & (F.col("_h") | ~F.col("line").rlike(t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE)))
     head = F.max(F.when(F.col("_h"), F.col("line")))
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line")))), lambda x: x["line"])
     out = rows.groupBy("doc_id", "idx").agg(head.alias("_head"), t.squeeze_blanks(F.array_join(body, " ")).alias("text"))
@@ -143,11 +224,16 @@ def keep_known(candidate: DataFrame, truth: DataFrame) -> DataFrame:
     return candidate.join(truth.select("doc_id", "sec_id").distinct(), ["doc_id", "sec_id"], "left_semi")
 
 
+#: Signs around the word, and what is left of a text that only says that it is reserved.
+RESERVED_SIGNS = r"[\s\[\]\.\-–—]+"
+RESERVED_WORDS = ["reserved", "reserved;", "reserved:"]
+
+
 def reserved_like() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(F.lower(text), r"[\s\[\]\.\-–—]+", "")
+    bare = F.regexp_replace(F.lower(text), RESERVED_SIGNS, "")
     short = (F.length(t.trim_blanks(text)) <= 60) & F.lower(text).contains("reserved")
-    return F.lower(F.trim(F.coalesce("heading", F.lit("")))).startswith("[reserved") | short | bare.isin("reserved", "reserved;", "reserved:")
+    return F.lower(F.trim(F.coalesce("heading", F.lit("")))).startswith("[reserved") | short | bare.isin(RESERVED_WORDS)
 
 
 def reserved_missing(truth: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators.graph import top_k
+from lexweave.session import cut
 
 #: Words that are no terms.
 STOP = (
@@ -28,8 +29,9 @@ STEMS = {
 SEEDS = "Applicability Definitions Authority Purpose Scope Compliance Penalties Reporting Confidentiality Retaliation Eligibility Payment Investigation Training Recordkeeping Supervision Grievance".split()
 #: Patterns that a lexicon carries.
 PATTERNS = {"section_label": r"§{1,2}\s*\d{1,3}\.\d{1,4}(?:\([a-z0-9ivxl]+\))*", "definitions_heading": r"(?i)\bdefinitions?\b", "applicability_heading": r"(?i)\bapplicability\b"}
-#: A word of two characters or more: a letter, then letters, digits, hyphens, apostrophes.
-TOKEN = r"\p{L}[\p{L}\p{M}\p{N}_\-']+"
+#: A word of two characters or more, as group 1: where no word is before it, a letter, then letters, digits, hyphens,
+#: apostrophes, of which the last two do not end it. The first branch passes over what starts with a digit.
+TOKEN = r"[\p{M}\p{N}_][\p{L}\p{M}\p{N}_]*|(\p{L}[\p{L}\p{M}\p{N}_\-']*[\p{L}\p{M}\p{N}_])"
 
 
 def clean_for_terms(c: Column) -> Column:
@@ -38,8 +40,8 @@ def clean_for_terms(c: Column) -> Column:
 
 
 def _ngrams_of(words: Column, n: int) -> Column:
-    last = F.size(words) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    every = F.transform(words, lambda x, i: F.concat_ws(" ", x, *[F.get(words, i + k) for k in range(1, n)]))
+    return F.slice(every, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
 def ngrams(words: Column, low: int, high: int) -> Column:
@@ -48,7 +50,7 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 def term_list(c: Column, low: int = 1, high: int = 3) -> Column:
     """n-grams of the lower-case words that are no stop words (which leave before n-grams are made)."""
-    words = F.filter(t.all_groups(F.lower(clean_for_terms(c)), TOKEN, 0), lambda w: ~w.isin(STOP))
+    words = F.filter(t.all_groups(F.lower(clean_for_terms(c)), TOKEN, 1), lambda w: (w != "") & ~w.isin(STOP))
     return F.flatten(F.transform(F.array(words), lambda w: ngrams(w, low, high)))
 
 
@@ -59,12 +61,14 @@ def tfidf(df: DataFrame, doc: list[str], record: list[str], terms: Column, min_d
     records, of these the max_features most frequent (ties in term order). Records are counted even if they have no term.
     """
     keys = [*doc, *record]
+    # Terms are cut and counted once; the vocabulary, the weights and their norms read the checkpoint.
     n = df.select(*keys).distinct().groupBy(*doc).agg(F.count("*").alias("n"))
-    tf = df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    tf = cut(df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     vocabulary = tf.groupBy(*doc, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, doc)
     vocabulary = top_k(vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))), doc, [F.desc("cf"), F.col("term")], max_features)
     weight = (1 + F.log("tf") if sublinear else F.col("tf").cast("double")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     weighted = tf.join(vocabulary.select(*doc, "term", "df", "n"), [*doc, "term"]).select(*keys, "term", weight.alias("w"))
+    weighted = cut(weighted)
     norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -100,3 +104,16 @@ def lexicon_global(doc_terms: DataFrame, min_df: int = 1, seeds: list[str] | Non
     s = doc_terms.sparkSession.createDataFrame([(x,) for x in (SEEDS if seeds is None else seeds)], "phrase string").select(normalize_phrase(F.col("phrase")).alias("phrase")).distinct()
     s = s.join(g, "phrase", "left_anti").select("phrase", F.lit(0).cast("bigint").alias("df"), F.lit(0.0).alias("score"), F.lit(True).alias("seed"))
     return g.unionByName(s)
+
+
+def lexicon_bundle(doc_terms: DataFrame, min_df: int = 1, seeds: list[str] | None = None) -> DataFrame:
+    """(part, key, phrases): the lexicon as one table. Parts are global (one row), document (key is doc_id) and pattern
+    (key is its name, phrases the pattern); phrases are parted by ``|``, in code point order.
+
+    The global row holds all phrases of at least min_df documents; raise min_df with the number of documents.
+    """
+    joined = F.array_join(F.array_sort(F.collect_set("phrase")), "|").alias("phrases")
+    docs = doc_terms.groupBy(F.col("doc_id").alias("key")).agg(joined).select(F.lit("document").alias("part"), "key", "phrases")
+    every = lexicon_global(doc_terms, min_df, seeds).agg(joined).select(F.lit("global").alias("part"), F.lit("").alias("key"), "phrases")
+    patterns = doc_terms.sparkSession.createDataFrame([("pattern", k, v) for k, v in PATTERNS.items()], "part string, key string, phrases string")
+    return docs.unionByName(every).unionByName(patterns)

@@ -46,17 +46,21 @@ def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], n
 
 
 def window_knn(vectors: DataFrame, queries: DataFrame, window: int = 1, k: int = 5, min_sim: float = 0.35) -> DataFrame:
-    """(doc_id, src, dst, score, rank, method): of the neighbours within window positions the k nearest, then those of at least min_sim.
+    """(doc_id, src, dst, anchor, score, rank, method): of the neighbours within window positions the k nearest, then those of at least min_sim.
 
-    vectors: (doc_id, sec_id, idx, vec); queries: (doc_id, sec_id, idx, vec). The band is an equi-join on doc and
+    vectors: (doc_id, sec_id, idx, vec); queries: the same, and perhaps anchor, their order, which else is idx. The band is an equi-join on doc and
     shifted position, not a nested loop.
     """
     shifts = F.explode(F.array(*[F.lit(i) for i in range(-window, window + 1) if i]))
-    q = queries.select("doc_id", F.col("sec_id").alias("src"), F.col("vec").alias("qv"), "idx", shifts.alias("_shift")).withColumn("idx", F.col("idx") + F.col("_shift"))
+    q = _anchored(queries).select("doc_id", F.col("sec_id").alias("src"), "anchor", F.col("vec").alias("qv"), "idx", shifts.alias("_shift")).withColumn("idx", F.col("idx") + F.col("_shift"))
     j = q.join(vectors.select("doc_id", "idx", F.col("sec_id").alias("dst"), "vec"), ["doc_id", "idx"])
-    j = j.select("doc_id", "src", "dst", "idx", cosine(F.col("qv"), F.col("vec")).alias("score"))
+    j = j.select("doc_id", "src", "anchor", "dst", "idx", cosine(F.col("qv"), F.col("vec")).alias("score"))
     best = top_k(j, ["doc_id", "src"], [F.desc("score"), F.col("idx")], k)
-    return best.filter(F.col("score") >= min_sim).select("doc_id", "src", "dst", "score", "rank", F.lit("implicit_knn_window").alias("method"))
+    return best.filter(F.col("score") >= min_sim).select("doc_id", "src", "dst", "anchor", "score", "rank", F.lit("implicit_knn_window").alias("method"))
+
+
+def _anchored(queries: DataFrame) -> DataFrame:
+    return queries if "anchor" in queries.columns else queries.withColumn("anchor", F.col("idx"))
 
 
 def global_knn(vectors: DataFrame, queries: DataFrame, window: int = 1, k: int = 5, min_sim: float = 0.35, block: int = BLOCK) -> DataFrame:
@@ -89,13 +93,18 @@ def global_knn(vectors: DataFrame, queries: DataFrame, window: int = 1, k: int =
 
     found = both.groupBy("doc_id", "_b").applyInPandas(run, f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, src {vectors.schema['sec_id'].dataType.simpleString()}, dst {vectors.schema['sec_id'].dataType.simpleString()}, idx int, score double")
     best = top_k(found, ["doc_id", "src"], [F.desc("score"), F.col("idx")], k)
-    return best.filter(F.col("score") >= min_sim).select("doc_id", "src", "dst", "score", "rank", F.lit("implicit_knn_global").alias("method"))
+    best = best.filter(F.col("score") >= min_sim).join(_anchored(queries).select("doc_id", F.col("sec_id").alias("src"), "anchor"), ["doc_id", "src"])
+    return best.select("doc_id", "src", "dst", "anchor", "score", "rank", F.lit("implicit_knn_global").alias("method"))
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
-    """Edges and their reverses (method suffix ``_bidir``); of equal (src, dst) the first by method class, source rank and direction stays."""
-    back = edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "score", "rank", F.concat("method", F.lit("_bidir")).alias("method"))
-    order = F.struct((~F.col("method").contains("window")).alias("g"), "rank", F.col("method").endswith("_bidir").alias("b"), "score", "method")
+    """Edges and their reverses (method suffix ``_bidir``); of equal (src, dst) the first stays.
+
+    The order is that in which edges are made: by anchor, of each the window's edges before the global ones, by rank,
+    each followed by its reverse.
+    """
+    back = edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "anchor", "score", "rank", F.concat("method", F.lit("_bidir")).alias("method"))
+    order = F.struct("anchor", (~F.col("method").contains("window")).alias("g"), "rank", F.col("method").endswith("_bidir").alias("b"), "score", "method")
     best = edges.unionByName(back).groupBy("doc_id", "src", "dst").agg(F.min(order).alias("o"))
     return best.select("doc_id", "src", "dst", "o.score", "o.rank", "o.method")
 

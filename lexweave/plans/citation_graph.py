@@ -10,7 +10,7 @@ from lexweave.functions.keys import section_id
 from lexweave.operators import citations as c
 from lexweave.operators import graph as g
 from lexweave.plans import oracle_parts as o
-from lexweave.session import table
+from lexweave.session import cut, table
 
 
 def canonical_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -86,12 +86,21 @@ def ref_score(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The reference's graph report of every regulation: nodes, edges, density, components, clustering."""
-    e = edges(spark, d)
+    e = cut(edges(spark, d))  # read once, used by four operators
     parts = g.components(e).groupBy("doc_id").agg(F.countDistinct("component").alias("components"))
     out = g.counts(e).join(parts, "doc_id").join(g.clustering(e), "doc_id")
     return out.select("doc_id", "num_nodes", "num_edges", F.round("density", 9).alias("density"), "components", F.round("avg_clustering", 9).alias("avg_clustering"))
 
 
+#: PageRank of the queries goes on until seven decimals are sure.
+RANK_TOLERANCE, RANK_ROUNDS = 1e-12, 200
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's node table of every regulation."""
+    return g.node_table(cut(edges(spark, d)), tolerance=RANK_TOLERANCE, rounds=RANK_ROUNDS).withColumn("pagerank", F.round("pagerank", 7))
+
+
 QUERIES = {
     "most_cited": most_cited,
     "refs_single": _counted(c.single_refs),
@@ -107,7 +116,8 @@ QUERIES = {
     "graph_degrees": lambda s, d: g.degrees(edges(s, d)),
     "graph_counts_density": lambda s, d: g.counts(edges(s, d)).withColumn("density", F.round("density", 9)),
     "in_strength": lambda s, d: g.degrees(edges(s, d)).select("doc_id", "sec_id", "in_span_strength"),
-    "graph_pagerank": lambda s, d: g.pagerank(edges(s, d)).withColumn("pagerank", F.round("pagerank", 6)),
+    "graph_pagerank": lambda s, d: g.pagerank(edges(s, d), tolerance=RANK_TOLERANCE, rounds=RANK_ROUNDS).withColumn("pagerank", F.round("pagerank", 7)),
+    "graph_nodes": graph_nodes,
     "graph_components": lambda s, d: g.components(edges(s, d)),
     "graph_clustering": lambda s, d: g.clustering(edges(s, d)).withColumn("avg_clustering", F.round("avg_clustering", 9)),
     "graph_metrics_report": graph_metrics,
@@ -126,6 +136,12 @@ w AS (SELECT x.doc_id, x.a AS sec_id, count(*) AS t FROM v x JOIN v y ON x.doc_i
 clu AS (SELECT nod.doc_id, avg(CASE WHEN k.k >= 2 THEN 2.0 * coalesce(w.t, 0) / (k.k * (k.k - 1)) ELSE 0 END) AS avg_clustering FROM nod LEFT JOIN k ON k.doc_id = nod.doc_id AND k.sec_id = nod.sec_id LEFT JOIN w ON w.doc_id = nod.doc_id AND w.sec_id = nod.sec_id GROUP BY 1)"""
 
 
+_RANK = f"""od AS (SELECT doc_id, src_sec_id, count(*) AS k FROM base GROUP BY ALL),
+nn AS (SELECT nod.doc_id, nod.sec_id, cnt.num_nodes AS n, coalesce(od.k, 0) AS k FROM nod JOIN cnt ON cnt.doc_id = nod.doc_id LEFT JOIN od ON od.doc_id = nod.doc_id AND od.src_sec_id = nod.sec_id),
+pr AS (SELECT 0 AS i, doc_id, sec_id, n, k, 1.0::DOUBLE / n AS r FROM nn
+ UNION ALL SELECT any_value(p.i) + 1, t.doc_id, t.sec_id, any_value(t.n), any_value(t.k), 0.15 / any_value(t.n) + 0.85 * sum(CASE WHEN p.k = 0 THEN p.r / t.n WHEN l.dst_sec_id IS NOT NULL THEN p.r / p.k ELSE 0 END)
+ FROM pr p JOIN nn t ON t.doc_id = p.doc_id LEFT JOIN base l ON l.doc_id = p.doc_id AND l.src_sec_id = p.sec_id AND l.dst_sec_id = t.sec_id WHERE p.i < 120 GROUP BY t.doc_id, t.sec_id),
+rk AS (SELECT doc_id, sec_id, round(r, 7) AS pagerank FROM pr WHERE i = 120)"""
 _ONE = "SELECT sec_key, doc_id, '§' || unnest(regexp_extract_all(text, '{p}', 1)) AS ref FROM sections"
 _SINGLE, _INWORD = _ONE.format(p=t.SINGLE), _ONE.format(p=t.INWORD)
 _RNG = f"""SELECT sec_key, doc_id, unnest(CASE WHEN split_part(a, '.', 1) = split_part(b, '.', 1) AND split_part(b, '.', 2)::INT - split_part(a, '.', 2)::INT BETWEEN 0 AND 500
@@ -142,7 +158,13 @@ _SPAN = " UNION ALL ".join(
 )
 _SPANS = f"""SELECT sec_key, ref_text, span_start::INT AS span_start, (span_start + length(ref_text))::INT AS span_end, ['range', 'local', 'inword', 'cfr_sec', 'cfr_part'][min(rank) + 1] AS kind FROM ({_SPAN}) GROUP BY sec_key, ref_text, span_start"""
 
+_MEMBERS = f"""CASE kind WHEN 'range' THEN (SELECT CASE WHEN split_part(a, '.', 1) = split_part(b, '.', 1) AND TRY_CAST(split_part(b, '.', 2) AS INT) - TRY_CAST(split_part(a, '.', 2) AS INT) BETWEEN 0 AND 500
+  THEN list_transform(generate_series(TRY_CAST(split_part(a, '.', 2) AS INT), TRY_CAST(split_part(b, '.', 2) AS INT)), lambda k: '§' || split_part(a, '.', 1) || '.' || k) ELSE ['§' || a, '§' || b] END FROM (SELECT regexp_extract(ref_text, '{t.RANGE}', 1) AS a, regexp_extract(ref_text, '{t.RANGE}', 2) AS b))
+ WHEN 'local' THEN list_transform(regexp_extract_all(ref_text, '{t.SINGLE}', 1), lambda x: '§' || x) WHEN 'inword' THEN list_transform(regexp_extract_all(ref_text, '{t.INWORD}', 1), lambda x: '§' || x)
+ WHEN 'cfr_sec' THEN [regexp_extract(ref_text, '{t.CFR_SECTION}', 1) || 'CFR §' || regexp_extract(ref_text, '{t.CFR_SECTION}', 2)] ELSE [regexp_extract(ref_text, '{t.CFR_PART}', 1) || 'CFR part ' || regexp_extract(ref_text, '{t.CFR_PART}', 2)] END"""
+
 ORACLE = {
+    "flat_refs": f"SELECT sec_key, ref_text, kind, span_start, span_end, unnest({_MEMBERS}) AS norm_token FROM ({_SPANS})",
     "most_cited": f"WITH {BASE_SQL}, {_DEG} SELECT doc_id, rank, sec_id, in_degree, in_span_strength FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY in_span_strength DESC, in_degree DESC, sec_id) AS rank FROM deg) WHERE rank <= 3",
     "refs_single": _COUNT.format(_SINGLE),
     "refs_range": _COUNT.format(_RNG),
@@ -161,6 +183,8 @@ n AS (SELECT doc_id, sec_id, len(l) AS nl, len(r) AS nr, len(list_intersect(l, r
 p AS (SELECT *, CASE WHEN nr > 0 THEN b / nr WHEN nl = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN nl > 0 THEN b / nl WHEN nr = 0 THEN 1.0 ELSE 0.0 END AS r FROM n)
 SELECT doc_id, sec_id, nl AS xml_refs, nr AS pdf_refs, b AS overlap, nl - b AS only_xml, nr - b AS only_pdf, round(p, 6) AS precision, round(r, 6) AS recall,
  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 1.0 END, 6) AS f1, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1_strict FROM p""",
+    "graph_pagerank": f"WITH RECURSIVE {BASE_SQL}, {_NODES}, {_CNT}, {_RANK} SELECT * FROM rk",
+    "graph_nodes": f"WITH RECURSIVE {BASE_SQL}, {_NODES}, {_CNT}, {_DEG}, {_RANK} SELECT rk.*, in_degree, out_degree, in_span_strength FROM rk JOIN deg ON deg.doc_id = rk.doc_id AND deg.sec_id = rk.sec_id",
     "graph_degrees": f"WITH {BASE_SQL}, {_DEG} SELECT * FROM deg",
     "in_strength": f"WITH {BASE_SQL}, {_DEG} SELECT doc_id, sec_id, in_span_strength FROM deg",
     "graph_counts_density": f"WITH {BASE_SQL}, {_NODES}, {_CNT} SELECT doc_id, num_nodes, num_edges, round(density, 9) AS density FROM cnt",

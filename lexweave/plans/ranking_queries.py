@@ -48,6 +48,17 @@ def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
     return canonical_sections(spark, d).select("doc_id", "sec_id", rk.phrase_hits(F.col("heading"), F.col("text"), [*tm.SEEDS, "maintenance bulletin", "on the record"]).alias("hits"))
 
 
+def lexicon_hits_mined(spark: SparkSession, d: str) -> DataFrame:
+    """Seed terms as a table, of any size, that occur in each section."""
+    phrases = spark.createDataFrame([(p,) for p in (*tm.SEEDS, "maintenance bulletin", "on the record")], "phrase string")
+    return rk.lexicon_hits(canonical_sections(spark, d), ["doc_id", "sec_id"], "heading", "text", phrases)
+
+
+def lexicon_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon as it is stored: (part, key, phrases): global terms, terms of each document, patterns."""
+    return tm.lexicon_bundle(lexicon_doc_terms(spark, d))
+
+
 def minmax_features(spark: SparkSession, d: str) -> DataFrame:
     s = canonical_sections(spark, d).select("doc_id", "sec_id", F.col("tokens").cast("double").alias("tokens"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("chars"))
     out = rk.minmax(s, ["doc_id"], ["tokens", "chars"])
@@ -76,23 +87,35 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("sec_id"), (F.row_number().over(place) - 1).alias("idx"), F.col("embedding").alias("vec"))
 
 
+#: Least similarity of the neighbour queries; it leaves some of the k nearest out.
+MIN_SIM = 0.35
+
+
 def _window(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return vec.window_knn(v, v, window=3, k=2, min_sim=-1.0)
+    return vec.window_knn(v, v, window=3, k=2, min_sim=MIN_SIM)
 
 
 def knn_window(spark: SparkSession, d: str) -> DataFrame:
-    return _window(spark, d).withColumn("score", F.round("score", 4))
+    return _window(spark, d).withColumn("score", F.round("score", 4)).drop("anchor")
 
 
 def knn_global(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 20, against all vectors of their document."""
     v = _vectors(spark, d)
-    return vec.global_knn(v, v.filter("sec_id % 20 = 0"), window=3, k=5, min_sim=-1.0).withColumn("score", F.round("score", 4))
+    return vec.global_knn(v, v.filter("sec_id % 20 = 0"), window=3, k=5, min_sim=MIN_SIM).withColumn("score", F.round("score", 4)).drop("anchor")
 
 
 def knn_bidirectional(spark: SparkSession, d: str) -> DataFrame:
-    return vec.both_directions(_window(spark, d)).select("doc_id", "src", "dst", F.round("score", 4).alias("score"))
+    return vec.both_directions(_window(spark, d)).withColumn("score", F.round("score", 4))
+
+
+def gist_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of sections whose query vector is that of their gist, if they have one: a vector of the next label stands for it."""
+    v = _vectors(spark, d)
+    g = v.filter("idx % 3 = 0").select((F.col("doc_id") - 1).alias("doc_id"), "idx", "vec")
+    g = g.join(v.select("doc_id", "idx", "sec_id"), ["doc_id", "idx"]).select("doc_id", "sec_id", "vec")
+    return vec.window_knn(v, vec.query_vectors(v, g), window=2, k=1, min_sim=MIN_SIM).withColumn("score", F.round("score", 4)).drop("anchor")
 
 
 def _implicit(spark: SparkSession, d: str) -> DataFrame:
@@ -120,11 +143,14 @@ QUERIES = {
     "lexicon_global": lexicon_global,
     "heading_bonus": heading_bonus,
     "lexicon_hits": lexicon_hits,
+    "lexicon_hits_joined": lexicon_hits_mined,
+    "lexicon_bundle": lexicon_bundle,
     "minmax_features": minmax_features,
     "waypoints": waypoints,
     "knn_window": knn_window,
     "knn_global": knn_global,
     "knn_bidirectional": knn_bidirectional,
+    "knn_gist_queries": gist_queries,
     "edges_merged": lambda s, d: merged(s, d).select("doc_id", "src_sec_id", "dst_sec_id", "edge_type", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight")),
     "node_centrality": node_centrality,
 }
@@ -134,7 +160,7 @@ _STOPS = ", ".join(f"'{w}'" for w in tm.STOP)
 _CT = f"trim(regexp_replace(regexp_replace(replace(regexp_replace(coalesce(text, ''), '\\r', ' ', 'g'), 'Â§', '§'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_§.\\-/''() ]+', ' ', 'g'), '{_BLANK}', ' ', 'g'))"
 _TOKEN_SQL = tm.TOKEN.replace("'", "''")
 _G = lambda n: f"CASE WHEN len(w) >= {n} THEN list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE [] END"
-TFIDF_SQL = f"""tok AS (SELECT doc_id, sec_id, list_filter(regexp_extract_all(lower({_CT}), '{_TOKEN_SQL}'), lambda x: x NOT IN ({_STOPS})) AS w FROM sec),
+TFIDF_SQL = f"""tok AS (SELECT doc_id, sec_id, list_filter(regexp_extract_all(lower({_CT}), '{_TOKEN_SQL}', 1), lambda x: x <> '' AND x NOT IN ({_STOPS})) AS w FROM sec),
 tf AS (SELECT doc_id, sec_id, term, count(*) AS tf FROM (SELECT doc_id, sec_id, unnest(list_concat(list_concat({_G(1)}, {_G(2)}), {_G(3)})) AS term FROM tok) GROUP BY ALL),
 nn AS (SELECT doc_id, count(*) AS n FROM sec GROUP BY 1),
 voc AS (SELECT * FROM (SELECT v.*, n, row_number() OVER (PARTITION BY v.doc_id ORDER BY cf DESC, term) AS rk FROM (SELECT doc_id, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL) v JOIN nn ON nn.doc_id = v.doc_id WHERE df >= 2 AND df <= 0.98 * n) WHERE rk <= 20000),
@@ -152,7 +178,7 @@ _HITS = " + ".join(f"(regexp_matches({_HAY}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])"
 _MM = lambda c: f"round(CASE WHEN max({c}) OVER p - min({c}) OVER p <= 1e-9 * greatest(abs(max({c}) OVER p), abs(min({c}) OVER p)) THEN 0 ELSE ({c} - min({c}) OVER p) / (max({c}) OVER p - min({c}) OVER p) END, 6)"
 _MMR = lambda c: _MM(c).removeprefix("round(").removesuffix(", 6)")
 _EMB = "em AS (SELECT label AS doc_id, vec_id AS sec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS vec FROM embeddings)"
-_KW = "kw AS (SELECT doc_id, src, dst, score, rank FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM em a JOIN em b ON a.doc_id = b.doc_id AND a.idx <> b.idx AND b.idx BETWEEN a.idx - 3 AND a.idx + 3) WHERE rank <= 2)"
+_KW = f"kw AS (SELECT doc_id, src, dst, score, rank FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM em a JOIN em b ON a.doc_id = b.doc_id AND a.idx <> b.idx AND b.idx BETWEEN a.idx - 3 AND a.idx + 3) WHERE rank <= 2 AND score >= {MIN_SIM})"
 _IMP = """ps AS (SELECT doc_id, sec_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx, sec_key) AS pos FROM sec),
 imp AS (SELECT a.doc_id, a.sec_id AS src_sec_id, b.sec_id AS dst_sec_id, sum(x.w * y.w) AS score FROM ps a JOIN ps b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tw x ON x.doc_id = a.doc_id AND x.sec_id = a.sec_id JOIN tw y ON y.doc_id = b.doc_id AND y.sec_id = b.sec_id AND y.term = x.term GROUP BY ALL),
 mer AS (SELECT doc_id, src_sec_id, dst_sec_id, edge_type, score, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src_sec_id, dst_sec_id ORDER BY weight DESC, edge_type) AS rn FROM (SELECT doc_id, src_sec_id, dst_sec_id, 'explicit' AS edge_type, NULL::DOUBLE AS score, 1.0::DOUBLE AS weight FROM base UNION ALL SELECT doc_id, src_sec_id, dst_sec_id, 'implicit', score, 0.4 * score FROM imp) WHERE src_sec_id <> dst_sec_id) WHERE rn = 1)"""
@@ -163,6 +189,8 @@ ORACLE = {
     "lexicon_doc_terms": f"WITH {SECTIONS_SQL}, {TFIDF_SQL}, {_LEX} SELECT * FROM lex",
     "lexicon_global": f"WITH {SECTIONS_SQL}, {TFIDF_SQL}, {_LEX}, gl AS (SELECT phrase, count(*) AS df, avg(score) AS score, false AS seed FROM lex GROUP BY 1), sd AS (SELECT DISTINCT {_PH} AS phrase FROM (SELECT unnest([{', '.join(f'{chr(39)}{w}{chr(39)}' for w in tm.SEEDS)}]) AS term)) SELECT phrase, df, round(score * df, 6) AS score_sum, seed FROM gl UNION ALL SELECT phrase, 0, 0.0, true FROM sd WHERE phrase NOT IN (SELECT phrase FROM gl)",
     "heading_bonus": f"WITH {SECTIONS_SQL} SELECT doc_id, sec_id, {_BONUS} AS bonus FROM sec",
+    "lexicon_hits_joined": f"WITH {SECTIONS_SQL} SELECT doc_id, sec_id, ({_HITS})::BIGINT AS hits FROM sec",
+    "lexicon_bundle": f"WITH {SECTIONS_SQL}, {TFIDF_SQL}, {_LEX} SELECT 'document' AS part, doc_id AS key, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM lex GROUP BY 2 UNION ALL SELECT 'global', '', string_agg(phrase, '|' ORDER BY phrase) FROM (SELECT phrase FROM lex UNION SELECT {_PH} FROM (SELECT unnest([{', '.join(f'{chr(39)}{w}{chr(39)}' for w in tm.SEEDS)}]) AS term)) UNION ALL SELECT 'pattern', k, v FROM (SELECT unnest([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in tm.PATTERNS)}]) AS k, unnest([{', '.join(f'{chr(39)}{v}{chr(39)}' for v in tm.PATTERNS.values())}]) AS v)",
     "lexicon_hits": f"WITH {SECTIONS_SQL} SELECT doc_id, sec_id, {_HITS} AS hits FROM sec",
     "minmax_features": f"WITH {SECTIONS_SQL}, f AS (SELECT doc_id, sec_id, coalesce(tokens, 0)::DOUBLE AS t, coalesce(length(text), 0)::DOUBLE AS c FROM sec) SELECT doc_id, sec_id, {_MM('t')} AS tokens, {_MM('c')} AS chars FROM f WINDOW p AS (PARTITION BY doc_id)",
     "waypoints": f"""WITH {SECTIONS_SQL}, {BASE_SQL}, {_DEG}, {TFIDF_SQL},
@@ -172,8 +200,10 @@ ORACLE = {
  s AS (SELECT doc_id, sec_id, idx, round(0.45 * {_MMR('a')} + 0.25 * {_MMR('b')} + 0.2 * {_MMR('c')} + 0.05 * {_MMR('d')} + 0.05 * {_MMR('e')}, 6) AS score FROM f WINDOW p AS (PARTITION BY doc_id))
 SELECT doc_id, sec_id, score, 1 AS "window", 'terms+lexicon+references' AS reason, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, sec_id) AS rank FROM s) WHERE rank <= 12""",
     "knn_window": f"WITH {_EMB}, {_KW} SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_window' AS method FROM kw",
-    "knn_global": f"WITH {_EMB} SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_global' AS method FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM em a JOIN em b ON a.doc_id = b.doc_id AND abs(a.idx - b.idx) > 3 WHERE a.sec_id % 20 = 0) WHERE rank <= 5",
-    "knn_bidirectional": f"WITH {_EMB}, {_KW} SELECT doc_id, src, dst, round(max(score), 4) AS score FROM (SELECT doc_id, src, dst, score FROM kw UNION ALL SELECT doc_id, dst, src, score FROM kw) GROUP BY ALL",
+    "knn_global": f"WITH {_EMB} SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_global' AS method FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM em a JOIN em b ON a.doc_id = b.doc_id AND abs(a.idx - b.idx) > 3 WHERE a.sec_id % 20 = 0) WHERE rank <= 5 AND score >= {MIN_SIM}",
+    "knn_gist_queries": f"""WITH {_EMB}, qv AS (SELECT a.doc_id, a.sec_id, a.idx, CASE WHEN a.idx % 3 = 0 AND b.vec IS NOT NULL THEN b.vec ELSE a.vec END AS vec FROM em a LEFT JOIN em b ON b.doc_id = a.doc_id + 1 AND b.idx = a.idx)
+SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_window' AS method FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM qv a JOIN em b ON a.doc_id = b.doc_id AND a.idx <> b.idx AND b.idx BETWEEN a.idx - 2 AND a.idx + 2) WHERE rank <= 1 AND score >= {MIN_SIM}""",
+    "knn_bidirectional": f"WITH {_EMB}, {_KW} SELECT doc_id, src, dst, round(score, 4) AS score, rank, method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src, dst ORDER BY anchor, rank, method) AS rn FROM (SELECT kw.doc_id, src, dst, score, rank, idx AS anchor, 'implicit_knn_window' AS method FROM kw JOIN em ON em.doc_id = kw.doc_id AND em.sec_id = kw.src UNION ALL SELECT kw.doc_id, dst, src, score, rank, idx, 'implicit_knn_window_bidir' FROM kw JOIN em ON em.doc_id = kw.doc_id AND em.sec_id = kw.src)) WHERE rn = 1",
     "edges_merged": f"WITH {SECTIONS_SQL}, {BASE_SQL}, {TFIDF_SQL}, {_IMP} SELECT doc_id, src_sec_id, dst_sec_id, edge_type, round(score, 6) AS score, round(weight, 6) AS weight FROM mer",
     "node_centrality": f"WITH {SECTIONS_SQL}, {BASE_SQL}, {TFIDF_SQL}, {_IMP}, j AS (SELECT sec.doc_id, sec.sec_id, coalesce(i.w, 0) AS i, coalesce(o.w, 0) AS o FROM sec LEFT JOIN (SELECT doc_id, dst_sec_id, sum(weight) AS w FROM mer GROUP BY ALL) i ON i.doc_id = sec.doc_id AND i.dst_sec_id = sec.sec_id LEFT JOIN (SELECT doc_id, src_sec_id, sum(weight) AS w FROM mer GROUP BY ALL) o ON o.doc_id = sec.doc_id AND o.src_sec_id = sec.sec_id) SELECT doc_id, sec_id, round(i, 6) AS in_weight, round(o, 6) AS out_weight, round(i / greatest(1e-9, max(i) OVER (PARTITION BY doc_id)), 6) AS centrality FROM j",
 }

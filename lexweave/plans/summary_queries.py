@@ -86,6 +86,13 @@ def eval_embed_sim(spark: SparkSession, d: str) -> DataFrame:
     return e.join(first, "label").groupBy("label").agg(F.round(F.avg(cosine(F.col("embedding"), F.col("s"))), 4).alias("embed_sim"))
 
 
+def eval_status(spark: SparkSession, d: str) -> DataFrame:
+    """The status of every summary, and a MISSING row for every regulation that has none."""
+    docs = table(spark, d, "sections").select("doc_id").dropna().distinct()
+    j = docs.join(_summaries(spark, d), "doc_id", "full_outer")
+    return j.select("doc_id", "eval_id", F.when(F.coalesce("summary_text", F.lit("")) == "", "MISSING").otherwise(F.coalesce("status", F.lit("OK"))).alias("status"))
+
+
 def _column(name: str, f) -> object:
     return lambda s, d: _summaries(s, d).select("eval_id", f(F.col("summary_text")).alias(name))
 
@@ -106,7 +113,7 @@ QUERIES = {
     "eval_coverage": eval_coverage,
     "eval_redundancy": lambda s, d: _summaries(s, d).select("eval_id", F.round(ev.trigram_redundancy(F.col("summary_text")), 6).alias("redundancy")),
     "eval_mojibake": lambda s, d: _summaries(s, d).select("eval_id", F.when(ev.mojibake_flag(F.col("summary_text")), "YES").otherwise("no").alias("mojibake")),
-    "eval_status": lambda s, d: _summaries(s, d).select("eval_id", F.when(F.coalesce("summary_text", F.lit("")) == "", "MISSING").otherwise(F.coalesce("status", F.lit("OK"))).alias("status")),
+    "eval_status": eval_status,
     "eval_rouge_l": eval_rouge_l,
     "eval_embed_sim": eval_embed_sim,
 }
@@ -124,6 +131,15 @@ def _fix_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), '\\s+\\n', chr(10), 'g'), '\\n\\s+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+_GIVEN = "gi AS (SELECT doc_id, anchor_sec_id, arg_max(gist_text, gist_id) AS gist_text FROM gists WHERE gist_text <> '' GROUP BY ALL)"
+_LEAD = f"array_to_string(string_split(coalesce(text, ''), '. ')[1:2], '. ')"
+_FOLD = f"""bl AS (SELECT pl.doc_id, pl.pos, pl.sec_id, coalesce(sec.heading, '') AS heading, CASE WHEN coalesce(gist_text, '') <> '' THEN gist_text WHEN regexp_replace({_LEAD}, '^{t.WS}+|{t.WS}+$', '', 'g') = '' THEN '' ELSE regexp_replace({_LEAD}, '\\.+$', '') || '.' END AS summary_text
+ FROM pl JOIN sec ON sec.doc_id = pl.doc_id AND sec.sec_id = pl.sec_id LEFT JOIN gi ON gi.doc_id = pl.doc_id AND gi.anchor_sec_id = pl.sec_id),
+ib AS (SELECT *, greatest(1, len({_W})) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM bl WHERE summary_text <> ''),
+fo AS (SELECT doc_id, rn, n <= 1200 AS ok, CASE WHEN n <= 1200 THEN n ELSE 0 END AS total FROM ib WHERE rn = 1
+ UNION ALL SELECT ib.doc_id, ib.rn, fo.total + ib.n <= 1200, CASE WHEN fo.total + ib.n <= 1200 THEN fo.total + ib.n ELSE fo.total END FROM fo JOIN ib ON ib.doc_id = fo.doc_id AND ib.rn = fo.rn + 1),
+rendered AS (SELECT fo.doc_id, coalesce(string_agg(ib.sec_id || ' — ' || ib.heading || chr(10) || ib.summary_text || chr(10), chr(10) ORDER BY ib.pos) FILTER (ok), '') || chr(10) || '[approx tokens used: ' || max(total) || ']' AS summary_text, max(total) AS words, count(*) FILTER (ok) AS blocks
+ FROM fo JOIN ib ON ib.doc_id = fo.doc_id AND ib.rn = fo.rn GROUP BY 1)"""
 _CAP = f"""CASE WHEN n <= 60 THEN {_S} WHEN e <> '' AND length(c) - length(e) <= 40 THEN e ELSE c END"""
 ORACLE = {
     "sentence_split": f"""WITH {SECTIONS_SQL}, q AS (SELECT doc_id, sec_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.?!;:]){t.WS}+([A-Z(§])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^{t.WS}+|{t.WS}+$', '', 'g')), lambda x: length(x) >= 2 AND len(list_filter(string_split(trim(regexp_replace(x, '{t.WS}+', ' ', 'g')), ' '), lambda y: y <> '')) >= 3) AS l FROM sec)
@@ -136,7 +152,11 @@ SELECT doc_id, sec_id, (unnest(generate_series(1, len(l))) - 1)::INT AS sent_idx
 SELECT sec.doc_id, round(avg(contains(s, sec_id)::INT) * 100, 6) AS coverage, round(avg(regexp_matches(s, replace(sec_id, '.', '\\.') || '([^0-9]|$)')::INT) * 100, 6) AS coverage_strict FROM sec JOIN s ON s.doc_id = sec.doc_id GROUP BY 1""",
     "eval_redundancy": f"WITH w AS (SELECT eval_id, {_W} AS w FROM summary_eval_3000), r AS (SELECT eval_id, w, list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) AS r FROM w) SELECT eval_id, CASE WHEN len(w) < 3 THEN 0.0 ELSE round(1 - len(list_distinct(r)) / len(r), 6) END AS redundancy FROM r",
     "eval_mojibake": f"SELECT eval_id, CASE WHEN contains(coalesce({_S}, ''), 'Â§') OR contains(coalesce({_S}, ''), 'â€') THEN 'YES' ELSE 'no' END AS mojibake FROM summary_eval_3000",
-    "eval_status": f"SELECT eval_id, CASE WHEN coalesce({_S}, '') = '' THEN 'MISSING' ELSE coalesce(status, 'OK') END AS status FROM summary_eval_3000",
+    "eval_status": f"SELECT coalesce(s.doc_id, e.doc) AS doc_id, eval_id, CASE WHEN coalesce({_S}, '') = '' THEN 'MISSING' ELSE coalesce(status, 'OK') END AS status FROM (SELECT DISTINCT doc_id FROM sections WHERE doc_id IS NOT NULL) s FULL JOIN summary_eval_3000 e ON e.doc = s.doc_id",
+    "refine_none": f"SELECT eval_id, {_CAP} AS refined FROM (SELECT eval_id, {_S}, n, c, regexp_extract(c, '(?s)^(.+[.!?])[^.!?]*$', 1) AS e FROM (SELECT eval_id, {_S}, len({_W}) AS n, array_to_string({_W}[1:60], ' ') AS c FROM (SELECT eval_id, regexp_replace(regexp_replace({_fix_sql(_S)}, '\\({t.WS}*§{t.WS}*', '(§', 'g'), '{t.WS}+\\)', ')', 'g') AS {_S} FROM summary_eval_3000)))",
+    "render_budget": f"WITH RECURSIVE {SECTIONS_SQL}, {_PLACED}, {_GIVEN}, {_FOLD} SELECT * FROM rendered",
+    "refine_context": f"""WITH {SECTIONS_SQL}, {_PLACED}, {_GIVEN}, own AS (SELECT * FROM (SELECT pl.*, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM pl WHERE starts_with(sec_id, '§' || regexp_extract(doc_id, '_([0-9]+)$', 1) || '.')) WHERE rn <= 18)
+SELECT own.doc_id, string_agg(own.sec_id || ' — ' || coalesce(sec.heading, '') || chr(10) || coalesce(gi.gist_text, ''), chr(10) || chr(10) ORDER BY own.pos) AS context FROM own LEFT JOIN sec ON sec.doc_id = own.doc_id AND sec.sec_id = own.sec_id LEFT JOIN gi ON gi.doc_id = own.doc_id AND gi.anchor_sec_id = own.sec_id GROUP BY 1""",
     "eval_embed_sim": "SELECT e.label, round(avg(list_dot_product(e.embedding::DOUBLE[], f.s::DOUBLE[])), 4) AS embed_sim FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS s FROM embeddings GROUP BY 1) f ON f.label = e.label GROUP BY 1",
     "stitch_plan": rq.ORACLE["edges_merged"].split(" SELECT doc_id, src_sec_id, dst_sec_id, edge_type, round(score")[0]
     + f", way AS (SELECT * FROM ({rq.ORACLE['waypoints']})), "
