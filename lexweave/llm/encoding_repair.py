@@ -9,6 +9,7 @@ them stays untouched. Repair is repeated, so text that was decoded wrongly twice
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,10 +48,13 @@ LEGACY_TAKEN_FOR = (
     ("big5", ("cp1252", "latin-1")),
 )
 #: Code point ranges of the characters whose UTF-8 form may be garbled, besides those of clean text.
-REPERTOIRE = ((0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x60C, 0x66C), (0x900, 0x96F), (0xE01, 0xE5B), (0x1F00, 0x1FFC), (0x2009, 0x206F), (0x20A0, 0x20BF), (0x2116, 0x2122), (0x2190, 0x2199), (0x2264, 0x2265), (0x3000, 0x30FF), (0xFF01, 0xFF9F), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF))
+REPERTOIRE = ((0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x60C, 0x66C), (0x900, 0x96F), (0xE01, 0xE5B), (0x1F00, 0x1FFC), (0x2009, 0x206F), (0x20A0, 0x20BF), (0x2116, 0x2122), (0x2190, 0x2199), (0x2264, 0x2265), (0x2600, 0x27BF), (0xFE0E, 0xFE0F), (0x3000, 0x30FF), (0xFF01, 0xFF9F), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF))
 REPLACEMENT = "�"
 _DIGITS = str.maketrans("123456789", "000000000")
 _LETTERS = regex.compile(r"\p{L}+")
+_SAID = regex.compile(r"\S+")
+#: Legacy pairs that are tried on the words of a text, those that explain most of it.
+LIKELY = 4
 
 
 @lru_cache(maxsize=None)
@@ -117,7 +121,7 @@ class GarbleDetector:
     """The automaton of all garbled forms, made from sequences of clean text."""
 
     def __init__(self, sequences: tuple[str, ...]) -> None:
-        clean = set(sequences)
+        clean = self.clean = set(sequences)
         pairs = {s[i : i + 2] for s in sequences for i in (0, 1)}
         alphabet = {c for s in sequences for c in s if c > "\x7f" and c != REPLACEMENT}
         alphabet |= {chr(c) for a, b in REPERTOIRE for c in range(a, b + 1)}
@@ -219,28 +223,89 @@ class GarbleDetector:
                 spans[-1][2][pair] = spans[-1][2].get(pair, 0) + end - start
         return [tuple(s) for s in spans]
 
-    def _once(self, text: str, utf8: bool) -> str:
+    @staticmethod
+    def _extended(text: str, start: int, end: int, floor: int, wrong: str) -> tuple[int, int]:
+        """A span of UTF-8 forms with the whole UTF-8 sequences that touch it, of characters that no form is known of."""
+        table = _chars_to_bytes(wrong)
+
+        def whole(at: int, n: int) -> bool:
+            raw = [table.get(c, 0) for c in text[at : at + n]]
+            size = 2 if 0xC2 <= raw[0] < 0xE0 else 3 if 0xE0 <= raw[0] < 0xF0 else 4 if 0xF0 <= raw[0] < 0xF5 else 0
+            return size == n == len(raw) and all(0x80 <= x < 0xC0 for x in raw[1:])
+
+        while end < len(text) and (n := next((n for n in (2, 3, 4) if whole(end, n)), 0)):
+            end += n
+        while n := next((n for n in (2, 3, 4) if start - n >= floor and whole(start - n, n)), 0):
+            start -= n
+        return start, end
+
+    def _spans_restored(self, text: str, utf8: bool) -> str:
+        """Every run of forms decoded by the pair that explains most of it, and of all runs among equals."""
+        spans = self._spans(text, utf8)
+        overall: dict[tuple, int] = {}
+        for _, _, pairs in spans:
+            for p, n in pairs.items():
+                overall[p] = overall.get(p, 0) + n
         out, at = [], 0
-        for start, end, pairs in self._spans(text, utf8):
-            out.append(text[at:start])
-            piece = text[start:end]
-            for true, wrong in sorted(pairs, key=lambda p: (-pairs[p], p)):
-                got = ungarble(piece, true, wrong)
+        for start, end, pairs in spans:
+            if start < at:
+                continue  # inside the span before, which was extended
+            for true, wrong in sorted(pairs, key=lambda p: (-pairs[p], -overall[p], p)):
+                a, b = (start, end) if not utf8 or wrong in MULTIBYTE else self._extended(text, start, end, at, wrong)
+                got = ungarble(text[a:b], true, wrong)
+                if got is None:
+                    a, b = start, end
+                    got = ungarble(text[a:b], true, wrong)
                 if got is not None and REPLACEMENT not in got and (utf8 or not any("\x80" <= c <= "\x9f" for c in got)):
-                    piece = got
+                    out += [text[at:a], got]
+                    at = b
                     break
-            out.append(piece)
-            at = end
         out.append(text[at:])
         return "".join(out)
 
+    def _strange(self, text: str) -> int:
+        """How many of the sequences of a text, blanks around it, clean text does not have."""
+        s = f" {text} ".translate(_DIGITS)
+        return sum(not x.isascii() and x not in self.clean for x in (s[i : i + 3] for i in range(len(s) - 2)))
+
+    def _words_restored(self, text: str, true: str, wrong: str) -> str:
+        """Every word, or what of it can be bytes in the wrong encoding, decoded again where that makes it less strange."""
+        table = _chars_to_bytes(wrong)
+
+        def better(m: regex.Match) -> str:
+            word, out = m[0], []
+            if word.isascii() or not self._strange(word):
+                return word
+            for run in itertools.groupby(word, key=lambda c: c in table):
+                piece = "".join(run[1])
+                got = ungarble(piece, true, wrong) if run[0] and not piece.isascii() else None
+                out.append(piece if got is None or REPLACEMENT in got else got)
+            new = "".join(out)
+            return new if self._strange(new) < self._strange(word) else word
+
+        return _SAID.sub(better, text)
+
+    def _damage(self, text: str) -> tuple[int, int]:
+        covered = sum(e - s for s, e, _ in self._spans(text, True)) + sum(e - s for s, e, _ in self._spans(text, False))
+        return sum(self._strange(m[0]) for m in _SAID.finditer(text) if not m[0].isascii()), covered
+
+    def _once(self, text: str) -> str:
+        """The least damaged of what one round can make of a text; the text itself if none is less damaged."""
+        overall: dict[tuple, int] = {}
+        for _, _, pairs in self._spans(text, False):
+            for p, n in pairs.items():
+                overall[p] = overall.get(p, 0) + n
+        likely = [p for p in sorted(overall, key=lambda p: (-overall[p], p)) if p[1] not in MULTIBYTE][:LIKELY]
+        made = [self._spans_restored(text, True), *(self._words_restored(text, *p) for p in likely), self._spans_restored(text, False)]
+        return min([text, *made], key=self._damage) if any(x != text for x in made) else text
+
     def repair(self, text: str | None) -> tuple[str | None, bool]:
         """The text with every span restored that can be, and whether nothing garbled is left."""
-        met: set[str | None] = set()
-        while text not in met and self.is_garbled(text):
-            met.add(text)
-            new = self._once(text, utf8=True)
-            text = new if new != text else self._once(text, utf8=False)  # a legacy form proves less, so it is tried last
+        while self.is_garbled(text):
+            new = self._once(text)
+            if new == text:
+                break
+            text = new  # less damaged each time, so this ends
         return text, not self.is_garbled(text)
 
 

@@ -30,7 +30,17 @@ from pyspark.sql import functions as F
 #: Texts longer than this (code points) are processed in chunks of about this size.
 CHUNK = 65_536
 #: Abbreviations that never end a sentence when a capital follows.
-NEVER = "mr mrs ms dr prof st sr sra srta sig dott hr mme mlle sec secs fig vol approx ex tj np ca bzw tzn vgl ggf inkl resp vs núm".split()
+NEVER = (
+    "mr mrs ms messrs dr prof st mt gen capt lt sgt rev hon gov sen rep sec secs fig vol pp eq approx ex "  # English
+    "bzw vgl ggf inkl zzgl abzgl evtl bspw hrsg dipl resp hr "  # German
+    "mme mmes mlle mlles mgr chap éd env hab "  # French
+    "sr sra sres srta dra dña tj núm pág págs lic "  # Spanish, Portuguese
+    "sig sigg dott avv geom pag pagg "  # Italian
+    "dhr mevr mw drs bijv blz excl ca vs "  # Dutch
+    "np tzn zob godz ul inż "  # Polish
+    "напр стр ул проф гл табл "  # Russian
+    "βλ σελ αριθ κεφ"  # Greek
+).split()
 #: Abbreviations that may end a sentence.
 MAY = "etc al co inc ltd corp jr usw ff".split()
 #: Abbreviations before a number; in text of capitals only, they never end a sentence.

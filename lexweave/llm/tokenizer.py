@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The pattern that splits a text before the merges of the byte_bpe files.
@@ -145,7 +146,7 @@ def encoder(path: str) -> BytePairEncoder:
 
 def _run(path: str, counts_only: bool, keep: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(path))
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # long texts leave in small batches
@@ -174,14 +175,16 @@ def _run(path: str, counts_only: bool, keep: int, name: str):
 def _with(df: DataFrame, text: str, name: str, kind: str, path: str | None, counts_only: bool) -> DataFrame:
     keep = [c for c in df.columns if c not in (text, name)]
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, text).mapInArrow(_run(path or vocabulary_path(), counts_only, len(keep), name), ", ".join([*fields, f"`{name}` {kind}"]))
+    path = path or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(path)  # travels with the job
+    return df.select(*keep, text).mapInArrow(_run(os.path.basename(path), counts_only, len(keep), name), ", ".join([*fields, f"`{name}` {kind}"]))
 
 
 def with_token_ids(df: DataFrame, text: str, name: str = "ids", path: str | None = None) -> DataFrame:
     """df without text and with its token ids (array of int) as name; a column of that name is replaced.
 
     No special tokens: their strings in a text are ordinary text. An empty text has an empty list, a null text null.
-    path: a vocabulary file of ranks (one base64 token and its rank per line) that every worker can read.
+    path: a vocabulary file of ranks (one base64 token and its rank per line) that the driver can read; it is sent to the workers as a file of the job.
     """
     return _with(df, text, name, "array<int>", path, False)
 

@@ -311,6 +311,28 @@ def test_utf8_taken_for_gbk_is_restored(sequences, text, want):
     assert er.GarbleDetector(tuple(sequences)).repair(text) == (want, True)
 
 
+def test_restored_text_by_language_and_pair(spark, sequences):
+    detector = er.GarbleDetector(tuple(sequences))
+    legacy = {"de": "cp1252", "fr": "cp1252", "pl": "cp1250", "el": "iso8859-7", "zh": "gbk", "ar": "cp1256"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").dropna().collect()
+    tried: dict = {}
+    for lang in [*legacy, "es", "it", "hi", "th"]:
+        texts = [" ".join(r.text.split())[:300] for r in docs if r.lang == lang and not r.text.isascii() and not detector.is_garbled(r.text)][:6]
+        for true in ("utf-8", *([legacy[lang]] if lang in legacy else [])):
+            for wrong in er.UTF8_TAKEN_FOR if true == "utf-8" else dict(er.LEGACY_TAKEN_FOR)[true]:
+                for t in texts:
+                    g = er.garble(t, true, wrong)
+                    if g and g != t:
+                        tried.setdefault((lang, true == "utf-8"), []).append((detector.is_garbled(g), detector.repair(g)[0] == t))
+                        mixed = f"Größe und Höhe: {g}"  # correct text beside it stays
+                        assert detector.repair(mixed)[0].startswith("Größe und Höhe: ")
+    for (lang, utf8), got in tried.items():
+        found, restored = np.mean([f for f, _ in got]), np.mean([r for _, r in got])
+        assert found >= 0.9 and restored >= (0.85 if utf8 else 0.6), (lang, utf8, found, restored)
+    every = [r for (_, utf8), got in tried.items() if utf8 for _, r in got]
+    assert np.mean(every) >= 0.95
+
+
 def test_no_clean_sequence_is_left_out(spark):
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 15_000)]
     df = spark.createDataFrame([("".join(f"{c}x " for c in letters[i : i + 100]),) for i in range(0, 15_000, 100)], "t string")
