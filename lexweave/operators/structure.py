@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexweave.functions import text as t
+from lexweave.session import cut
 
 
 def filter_by_part(sections: DataFrame, part: Column) -> DataFrame:
@@ -172,15 +173,48 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", line.alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(t.PAGE_JUNK))
 
 
-def _ordered(lines: DataFrame) -> W.WindowSpec:
-    return W.Window.partitionBy("doc_id").orderBy("line_no")
+def _blocks(lines: DataFrame) -> DataFrame:
+    """lines with ``_block``: a range of (doc_id, line_no) that one task holds, however many lines a document has.
+
+    The ranges are fixed by a checkpoint, so what is summed per block stays true when a task runs again.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(lines.repartitionByRange(tasks, "doc_id", "line_no").withColumn("_block", F.spark_partition_id()))
+
+
+def _inside() -> W.WindowSpec:
+    return W.Window.partitionBy("doc_id", "_block").orderBy("line_no")
+
+
+def _of_blocks() -> W.WindowSpec:
+    """Over the blocks of a document, of which there are as many as tasks at most."""
+    return W.Window.partitionBy("doc_id").orderBy("_block")
+
+
+def _neighbours(blocked: DataFrame) -> DataFrame:
+    """blocked with ``_prev`` and ``_next``: the lines before and after, across blocks too; null at the document's ends."""
+    one = F.struct("line")
+    ends = blocked.groupBy("doc_id", "_block").agg(F.min_by(one, "line_no").alias("_first"), F.max_by(one, "line_no").alias("_last"))
+    ends = ends.select("doc_id", "_block", F.lag("_last").over(_of_blocks()).alias("_before"), F.lead("_first").over(_of_blocks()).alias("_after"))
+    found = blocked.join(ends, ["doc_id", "_block"])
+    found = found.withColumns({"_prev": F.coalesce(F.lag(one).over(_inside()), "_before")["line"], "_next": F.coalesce(F.lead(one).over(_inside()), "_after")["line"]})
+    return found.drop("_before", "_after")
+
+
+def _running(blocked: DataFrame, flag: Column, name: str) -> DataFrame:
+    """blocked with the number of flagged lines up to each one, counted per block and carried from block to block."""
+    marked = blocked.withColumn("_flag", flag.cast("int"))
+    sums = marked.groupBy("doc_id", "_block").agg(F.sum("_flag").alias("_n"))
+    carried = F.coalesce(F.sum("_n").over(_of_blocks().rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("doc_id", "_block", carried.alias("_carried"))
+    return marked.join(sums, ["doc_id", "_block"]).withColumn(name, F.col("_carried") + F.sum("_flag").over(_inside())).drop("_carried", "_flag")
 
 
 def dehyphenate_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): a line that ends in a hyphen is joined with the next one if that starts with a letter or digit."""
-    w = _ordered(lines)
-    joins = F.coalesce(F.lag("line").over(w).endswith("-") & F.col("line").rlike(r"^[\p{L}\p{N}]"), F.lit(False))
-    runs = lines.withColumn("_run", F.sum((~joins).cast("int")).over(w)).withColumn("_joins", joins)
+    joins = F.coalesce(F.col("_prev").endswith("-") & F.col("line").rlike(r"^[\p{L}\p{N}]"), F.lit(False))
+    marked = _neighbours(_blocks(lines.select("doc_id", "line_no", "line"))).withColumn("_joins", joins)
+    runs = _running(marked, ~F.col("_joins"), "_run")
     parts = F.array_sort(F.collect_list(F.struct("line_no", "_joins", "line")))
     text = F.aggregate(parts, F.lit(""), lambda s, x: F.when(x["_joins"], F.concat(F.regexp_replace(s, "-$", ""), x["line"])).otherwise(x["line"]))
     return runs.groupBy("doc_id", "_run").agg(F.min("line_no").alias("line_no"), text.alias("line")).drop("_run")
@@ -191,26 +225,29 @@ def merge_wrapped_headers(lines: DataFrame, compat: bool = False) -> DataFrame:
 
     compat drops the section sign in doing so, and takes for noise only lines whose label a word follows at once.
     """
-    w = _ordered(lines)
-    header = F.col("line").rlike(t.HEADER_LINE)
-    bare = header & (F.regexp_extract("line", t.HEADER_LINE, 2) == "")
-    plain = ~header & ~F.col("line").rlike(t.PAGE_JUNK) & ~F.col("line").rlike(t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE)
-    marked = lines.withColumns({"_bare": bare, "_plain": plain}).withColumns({"_next": F.lead("line").over(w), "_next_plain": F.lead("_plain").over(w), "_taken": F.coalesce(F.lag("_bare").over(w), F.lit(False)) & F.col("_plain")})
-    label = F.regexp_extract("line", t.HEADER_LINE, 1)
-    joined = F.concat(F.lit("" if compat else "§ "), label, F.lit(" "), F.col("_next"))
-    line = F.when(F.col("_bare") & F.col("_next_plain"), joined).otherwise(F.col("line"))
-    return marked.filter(~F.col("_taken")).select("doc_id", "line_no", line.alias("line"))
+    noise = t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE
+
+    def bare(c: Column) -> Column:
+        return F.coalesce(c.rlike(t.HEADER_LINE) & (F.regexp_extract(c, t.HEADER_LINE, 2) == ""), F.lit(False))
+
+    def plain(c: Column) -> Column:
+        return F.coalesce(~c.rlike(t.HEADER_LINE) & ~c.rlike(t.PAGE_JUNK) & ~c.rlike(noise), F.lit(False))
+
+    marked = _neighbours(_blocks(lines.select("doc_id", "line_no", "line")))
+    line = F.col("line")
+    joined = F.concat(F.lit("" if compat else "§ "), F.regexp_extract("line", t.HEADER_LINE, 1), F.lit(" "), F.col("_next"))
+    kept = marked.filter(~(bare(F.col("_prev")) & plain(line)))
+    return kept.select("doc_id", "line_no", F.when(bare(line) & plain(F.col("_next")), joined).otherwise(line).alias("line"))
 
 
 def segment_lines(lines: DataFrame, compat: bool = False) -> DataFrame:
     """(doc_id, idx, sec_id, heading, text, tokens): lines gathered under their header; lines before the first one are dropped.
 
-    Order within a document is what the operator is about, so a document's lines meet in one task; spilling sorts
-    keep that possible for documents of any length. Noise lines are dropped; compat: see merge_wrapped_headers.
+    Noise lines are dropped; compat: see merge_wrapped_headers.
     """
     header = F.col("line").rlike(t.HEADER_LINE)
-    seg = F.sum(header.cast("int")).over(_ordered(lines))
-    rows = lines.withColumn("idx", seg).withColumn("_h", header).filter((F.col("idx") > 0) & (F.col("_h") | ~F.col("line").rlike(t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE)))
+    rows = _running(_blocks(lines.select("doc_id", "line_no", "line").filter("line IS NOT NULL")), header, "idx").withColumn("_h", header)
+    rows = rows.filter((F.col("idx") > 0) & (F.col("_h") | ~F.col("line").rlike(t.NOISE_LINE_COMPAT if compat else t.NOISE_LINE)))
     head = F.max(F.when(F.col("_h"), F.col("line")))
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line")))), lambda x: x["line"])
     out = rows.groupBy("doc_id", "idx").agg(head.alias("_head"), t.squeeze_blanks(F.array_join(body, " ")).alias("text"))

@@ -68,7 +68,6 @@ def tfidf(df: DataFrame, doc: list[str], record: list[str], terms: Column, min_d
     vocabulary = top_k(vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))), doc, [F.desc("cf"), F.col("term")], max_features)
     weight = (1 + F.log("tf") if sublinear else F.col("tf").cast("double")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     weighted = tf.join(vocabulary.select(*doc, "term", "df", "n"), [*doc, "term"]).select(*keys, "term", weight.alias("w"))
-    weighted = cut(weighted)
     norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 

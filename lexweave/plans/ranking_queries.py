@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -12,21 +14,58 @@ from lexweave.operators import ranking as rk
 from lexweave.operators import terms as tm
 from lexweave.operators import vectors as vec
 from lexweave.plans.citation_graph import BASE_SQL, SECTIONS_SQL, _DEG, canonical_sections, edges
-from lexweave.session import table
+from lexweave.session import cut, table
+
+
+class Pipeline:
+    """The frames that several steps of one query share; each is made once, when first asked for, and cut."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return cut(canonical_sections(self.spark, self.d))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(edges(self.spark, self.d))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return cut(tm.tfidf(self.sections, ["doc_id"], ["sec_id"], tm.term_list(F.col("text"))))
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        """(doc_id, sec_id, pos): sections numbered in document order."""
+        return numbered(self.sections)
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    s = canonical_sections(spark, d)
-    return tm.tfidf(s, ["doc_id"], ["sec_id"], tm.term_list(F.col("text")))
+    @cached_property
+    def merged(self) -> DataFrame:
+        return cut(g.merge_edges(self.edges, _implicit(self)))
+
+    @cached_property
+    def waypoints(self) -> DataFrame:
+        return cut(_waypoints(self))
+
+
+def numbered(sections: DataFrame) -> DataFrame:
+    pos = F.row_number().over(W.Window.partitionBy("doc_id").orderBy("idx", "sec_key")) - 1
+    return sections.select("doc_id", "sec_id", pos.alias("pos"))
+
+
+def _top_terms(p: Pipeline) -> DataFrame:
+    return tm.top_terms(p.weights, ["doc_id", "sec_id"])
 
 
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return tm.top_terms(_weights(spark, d), ["doc_id", "sec_id"])
+    return _top_terms(Pipeline(spark, d))
 
 
 def term_density(spark: SparkSession, d: str) -> DataFrame:
-    n = _weights(spark, d).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"))
-    s = canonical_sections(spark, d).select("doc_id", "sec_id", t.token_count(tm.clean_for_terms(F.col("text"))).alias("words"))
+    p = Pipeline(spark, d)
+    n = p.weights.groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"))
+    s = p.sections.select("doc_id", "sec_id", t.token_count(tm.clean_for_terms(F.col("text"))).alias("words"))
     return s.join(n, ["doc_id", "sec_id"], "left").select("doc_id", "sec_id", F.round(F.coalesce("terms", F.lit(0)) / F.col("words"), 6).alias("term_density"))
 
 
@@ -39,13 +78,21 @@ def lexicon_global(spark: SparkSession, d: str) -> DataFrame:
     return found.select("phrase", "df", F.round(F.col("score") * F.col("df"), 6).alias("score_sum"), "seed")
 
 
+def _bonuses(sections: DataFrame) -> DataFrame:
+    return sections.select("doc_id", "sec_id", rk.heading_bonus(F.col("heading")).alias("bonus"))
+
+
 def heading_bonus(spark: SparkSession, d: str) -> DataFrame:
-    return canonical_sections(spark, d).select("doc_id", "sec_id", rk.heading_bonus(F.col("heading")).alias("bonus"))
+    return _bonuses(canonical_sections(spark, d))
+
+
+def _seed_hits(sections: DataFrame) -> DataFrame:
+    return sections.select("doc_id", "sec_id", rk.phrase_hits(F.col("heading"), F.col("text"), [*tm.SEEDS, "maintenance bulletin", "on the record"]).alias("hits"))
 
 
 def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
     """Seed terms that occur in each section."""
-    return canonical_sections(spark, d).select("doc_id", "sec_id", rk.phrase_hits(F.col("heading"), F.col("text"), [*tm.SEEDS, "maintenance bulletin", "on the record"]).alias("hits"))
+    return _seed_hits(canonical_sections(spark, d))
 
 
 def lexicon_hits_mined(spark: SparkSession, d: str) -> DataFrame:
@@ -65,18 +112,27 @@ def minmax_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "sec_id", F.round("tokens", 6).alias("tokens"), F.round("chars", 6).alias("chars"))
 
 
-def waypoints(spark: SparkSession, d: str) -> DataFrame:
-    s = canonical_sections(spark, d)
-    refs = table(spark, d, "xml_refs").select("doc_id", "sec_id", F.size(F.filter(F.coalesce("explicit_refs", F.array().cast("array<string>")), lambda r: r.rlike(r"^§\d{1,3}\.\d{1,4}"))).alias("value"))
+def _waypoints(p: Pipeline, term_feature: str = "terms") -> DataFrame:
+    refs = table(p.spark, p.d, "xml_refs").select("doc_id", "sec_id", F.size(F.filter(F.coalesce("explicit_refs", F.array().cast("array<string>")), lambda r: r.rlike(r"^§\d{1,3}\.\d{1,4}"))).alias("value"))
     refs = refs.groupBy("doc_id", "sec_id").agg(F.max("value").alias("value"))
+    top = _top_terms(p).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"), F.sum("score").alias("tfidf_sum"))
     features = {
-        "terms": top_terms(spark, d).groupBy("doc_id", "sec_id").agg(F.count("*").alias("value")),
-        "lexicon": lexicon_hits(spark, d).withColumnRenamed("hits", "value"),
+        "terms": top.select("doc_id", "sec_id", F.col(term_feature).alias("value")),
+        "lexicon": _seed_hits(p.sections).withColumnRenamed("hits", "value"),
         "references": refs,
-        "in_degree": g.degrees(edges(spark, d)).select("doc_id", "sec_id", F.col("in_degree").alias("value")),
-        "heading": heading_bonus(spark, d).withColumnRenamed("bonus", "value"),
+        "in_degree": g.degrees(p.edges).select("doc_id", "sec_id", F.col("in_degree").alias("value")),
+        "heading": _bonuses(p.sections).withColumnRenamed("bonus", "value"),
     }
-    return rk.waypoints(s, features)
+    return rk.waypoints(p.sections, features)
+
+
+def waypoints(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(spark, d).waypoints
+
+
+def waypoints_by_weight(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the sum of the term weights as the term feature, where a terms table has it."""
+    return _waypoints(Pipeline(spark, d), "tfidf_sum")
 
 
 # Vectors: a label of the embeddings table is a document, a vector one of its sections ------------------------------
@@ -118,21 +174,21 @@ def gist_queries(spark: SparkSession, d: str) -> DataFrame:
     return vec.window_knn(v, vec.query_vectors(v, g), window=2, k=1, min_sim=MIN_SIM).withColumn("score", F.round("score", 4)).drop("anchor")
 
 
-def _implicit(spark: SparkSession, d: str) -> DataFrame:
+def _implicit(p: Pipeline) -> DataFrame:
     """Similarity edges between neighbouring sections: cosine of their term weights."""
-    w = _weights(spark, d)
-    s = canonical_sections(spark, d).select("doc_id", "sec_id", (F.row_number().over(W.Window.partitionBy("doc_id").orderBy("idx", "sec_key")) - 1).alias("pos"))
+    s, w = p.positions, p.weights
     a = s.alias("a").join(s.withColumn("pos", F.col("pos") - 1).alias("b"), ["doc_id", "pos"]).select("doc_id", F.col("a.sec_id").alias("src_sec_id"), F.col("b.sec_id").alias("dst_sec_id"))
     x, y = w.withColumnRenamed("sec_id", "src_sec_id").withColumnRenamed("w", "wa"), w.withColumnRenamed("sec_id", "dst_sec_id").withColumnRenamed("w", "wb")
     return a.join(x, ["doc_id", "src_sec_id"]).join(y, ["doc_id", "dst_sec_id", "term"]).groupBy("doc_id", "src_sec_id", "dst_sec_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
-def merged(spark: SparkSession, d: str) -> DataFrame:
-    return g.merge_edges(edges(spark, d), _implicit(spark, d))
+def edges_merged(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(spark, d).merged.select("doc_id", "src_sec_id", "dst_sec_id", "edge_type", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight"))
 
 
 def node_centrality(spark: SparkSession, d: str) -> DataFrame:
-    out = g.centrality(merged(spark, d), canonical_sections(spark, d))
+    p = Pipeline(spark, d)
+    out = g.centrality(p.merged, p.sections)
     return out.select("doc_id", "sec_id", *[F.round(c, 6).alias(c) for c in ("in_weight", "out_weight", "centrality")])
 
 
@@ -147,11 +203,12 @@ QUERIES = {
     "lexicon_bundle": lexicon_bundle,
     "minmax_features": minmax_features,
     "waypoints": waypoints,
+    "waypoints_by_weight": waypoints_by_weight,
     "knn_window": knn_window,
     "knn_global": knn_global,
     "knn_bidirectional": knn_bidirectional,
     "knn_gist_queries": gist_queries,
-    "edges_merged": lambda s, d: merged(s, d).select("doc_id", "src_sec_id", "dst_sec_id", "edge_type", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight")),
+    "edges_merged": edges_merged,
     "node_centrality": node_centrality,
 }
 
@@ -198,6 +255,12 @@ ORACLE = {
  f AS (SELECT sec.doc_id, sec.sec_id, sec.idx, coalesce(k.k, 0)::DOUBLE AS a, ({_HITS})::DOUBLE AS b, coalesce(rf.v, 0)::DOUBLE AS c, coalesce(deg.in_degree, 0)::DOUBLE AS d, ({_BONUS})::DOUBLE AS e FROM sec
   LEFT JOIN (SELECT doc_id, sec_id, count(*) AS k FROM top GROUP BY ALL) k ON k.doc_id = sec.doc_id AND k.sec_id = sec.sec_id LEFT JOIN rf ON rf.doc_id = sec.doc_id AND rf.sec_id = sec.sec_id LEFT JOIN deg ON deg.doc_id = sec.doc_id AND deg.sec_id = sec.sec_id),
  s AS (SELECT doc_id, sec_id, idx, round(0.45 * {_MMR('a')} + 0.25 * {_MMR('b')} + 0.2 * {_MMR('c')} + 0.05 * {_MMR('d')} + 0.05 * {_MMR('e')}, 6) AS score FROM f WINDOW p AS (PARTITION BY doc_id))
+SELECT doc_id, sec_id, score, 1 AS "window", 'terms+lexicon+references' AS reason, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, sec_id) AS rank FROM s) WHERE rank <= 12""",
+    "waypoints_by_weight": f"""WITH {SECTIONS_SQL}, {BASE_SQL}, {_DEG}, {TFIDF_SQL},
+ rf AS (SELECT doc_id, sec_id, max(len(list_filter(coalesce(explicit_refs, []), lambda r: regexp_matches(r, '^§\\d{{1,3}}\\.\\d{{1,4}}')))) AS v FROM xml_refs GROUP BY ALL),
+ f AS (SELECT sec.doc_id, sec.sec_id, sec.idx, coalesce(k.k, 0)::DOUBLE AS a, ({_HITS})::DOUBLE AS b, coalesce(rf.v, 0)::DOUBLE AS c, coalesce(deg.in_degree, 0)::DOUBLE AS d, ({_BONUS})::DOUBLE AS e FROM sec
+  LEFT JOIN (SELECT doc_id, sec_id, sum(score) AS k FROM top GROUP BY ALL) k ON k.doc_id = sec.doc_id AND k.sec_id = sec.sec_id LEFT JOIN rf ON rf.doc_id = sec.doc_id AND rf.sec_id = sec.sec_id LEFT JOIN deg ON deg.doc_id = sec.doc_id AND deg.sec_id = sec.sec_id),
+ s AS (SELECT doc_id, sec_id, idx, round(0.45 * {_MMR('a')} + 0.25 * {_MMR('b')} + 0.2 * {_MMR('c')} + 0.05 * {_MMR('d')} + 0.05 * {_MMR('e')}, 6) AS score FROM f WINDOW p AS (PARTITION BY doc_id))
 SELECT doc_id, sec_id, score, 1 AS "window", 'terms+lexicon+references' AS reason, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, sec_id) AS rank FROM s) WHERE rank <= 12""",
     "knn_window": f"WITH {_EMB}, {_KW} SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_window' AS method FROM kw",
     "knn_global": f"WITH {_EMB} SELECT doc_id, src, dst, round(score, 4) AS score, rank, 'implicit_knn_global' AS method FROM (SELECT a.doc_id, a.sec_id AS src, b.sec_id AS dst, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.doc_id, a.sec_id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.idx) AS rank FROM em a JOIN em b ON a.doc_id = b.doc_id AND abs(a.idx - b.idx) > 3 WHERE a.sec_id % 20 = 0) WHERE rank <= 5 AND score >= {MIN_SIM}",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from lexweave.functions import text as t
 from lexweave.operators import evaluate as ev
@@ -14,7 +13,7 @@ from lexweave.operators import stitch as st
 from lexweave.operators.vectors import cosine
 from lexweave.plans import ranking_queries as rq
 from lexweave.plans.citation_graph import SECTIONS_SQL, canonical_sections
-from lexweave.session import table
+from lexweave.session import cut, table
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -22,14 +21,20 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "sec_id", F.posexplode(gs.gist_sentences(F.col("text"))).alias("sent_idx", "sent_text"))
 
 
+def _gists(p: rq.Pipeline) -> DataFrame:
+    return gs.build_gists(p.sections.join(p.positions, ["doc_id", "sec_id"]), p.waypoints.select("doc_id", "sec_id"))
+
+
 def gists(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(W.Window.partitionBy("doc_id").orderBy("idx", "sec_key")) - 1
-    return gs.build_gists(canonical_sections(spark, d).withColumn("pos", pos), rq.waypoints(spark, d).select("doc_id", "sec_id"))
+    return _gists(rq.Pipeline(spark, d))
+
+
+def _plan(p: rq.Pipeline) -> DataFrame:
+    return st.stitch_plan(p.waypoints.select("doc_id", "sec_id", "rank"), p.merged, g.centrality(p.merged, p.sections))
 
 
 def plan(spark: SparkSession, d: str) -> DataFrame:
-    m = rq.merged(spark, d)
-    return st.stitch_plan(rq.waypoints(spark, d).select("doc_id", "sec_id", "rank"), m, g.centrality(m, canonical_sections(spark, d)))
+    return _plan(rq.Pipeline(spark, d))
 
 
 def _given_gists(spark: SparkSession, d: str) -> DataFrame:
@@ -40,22 +45,24 @@ def _given_gists(spark: SparkSession, d: str) -> DataFrame:
 
 def given_plan(spark: SparkSession, d: str) -> DataFrame:
     """A plan of every section, in order: the input of rendering that needs no ranking."""
-    pos = F.row_number().over(W.Window.partitionBy("doc_id").orderBy("idx", "sec_key")) - 1
-    return canonical_sections(spark, d).select("doc_id", pos.alias("pos"), "sec_id")
+    return rq.numbered(canonical_sections(spark, d))
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
-    return st.render(given_plan(spark, d), canonical_sections(spark, d), _given_gists(spark, d), 1200)
+    p = rq.Pipeline(spark, d)
+    return st.render(p.positions, p.sections, _given_gists(spark, d), 1200)
 
 
 def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """From sections to summaries: rank, pick sentences, stitch, render."""
-    return st.render(plan(spark, d), canonical_sections(spark, d), gists(spark, d), 1200)
+    p = rq.Pipeline(spark, d)
+    return st.render(cut(_plan(p)), p.sections, cut(_gists(p)), 1200)
 
 
 def deliverables(spark: SparkSession, d: str) -> DataFrame:
-    p = plan(spark, d)
-    return st.deliverable(p, st.render(p, canonical_sections(spark, d), _given_gists(spark, d), 1200).select("doc_id", "summary_text"))
+    p = rq.Pipeline(spark, d)
+    steps = cut(_plan(p))
+    return st.deliverable(steps, st.render(steps, p.sections, _given_gists(spark, d), 1200).select("doc_id", "summary_text"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:

@@ -105,6 +105,34 @@ def test_lines(spark):
     assert [st.segment_lines(noise, compat=c).first().text for c in (False, True)] == ["", "Source: x"]
 
 
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_lines_of_a_document_in_many_blocks(spark, tasks):
+    lines = [("d", i, ["§ 1.%d" % i, "Title", "a word- ", "broken-", "up", "§ 1.%d Scope" % i, "Source: x", "-"][(i * 5 + i // 9) % 8]) for i in range(200)] + [("e", 0, "x-"), ("e", 1, "y"), ("e", 2, None)]
+    df = spark.createDataFrame(lines, "doc_id string, line_no int, line string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        joined = [(r.doc_id, r.line_no, r.line) for r in st.dehyphenate_lines(df.filter("line IS NOT NULL")).orderBy("doc_id", "line_no").collect()]
+        merged = [(r.doc_id, r.line_no, r.line) for r in st.merge_wrapped_headers(df).orderBy("doc_id", "line_no").collect()]
+        cut = [(r.doc_id, r.idx, r.text) for r in st.segment_lines(df).orderBy("doc_id", "idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = []
+    for d, i, x in lines[:-1]:
+        before = lines[i - 1][2] if d == "d" and i else lines[200][2] if (d, i) == ("e", 1) else ""
+        if before.endswith("-") and x[0].isalpha():
+            want[-1] = (*want[-1][:2], want[-1][2][:-1] + x)
+        else:
+            want.append((d, i, x))
+    assert joined == want
+    heads = [i for _, i, x in lines[:200] if x.startswith("§")]
+    assert [c for c in cut] == [("d", n + 1, " ".join(" ".join(x.split()) for _, i, x in lines[h + 1 : ([*heads, 200])[n + 1]] if not x.startswith("Source:"))) for n, h in enumerate(heads)]
+    plain = lambda x: x is not None and not x.startswith(("§", "Source:"))
+    bare = lambda i: i >= 0 and lines[i][2] == "§ 1.%d" % i
+    want = [("d", i, f"§ 1.{i} {lines[i + 1][2]}" if i < 199 and bare(i) and plain(lines[i + 1][2]) else x) for _, i, x in lines[:200] if not (bare(i - 1) and plain(x))]
+    assert merged == want + [("e", 0, "x-"), ("e", 1, "y"), ("e", 2, None)]
+
+
 def test_xml(spark):
     xml = """<PART><SUBPART><HD>Subpart A</HD><SECTION><SECTNO>§ 37.1</SECTNO><SUBJECT>Scope.</SUBJECT><P>Hello <E>it</E> x.</P><P>B</P></SECTION></SUBPART>
     <SECTION><SECTNO>§§ 37.5–37.6</SECTNO><SUBJECT>[Reserved]</SUBJECT></SECTION><SECTION><SECTNO>§ 37.1</SECTNO><SUBJECT>Again</SUBJECT></SECTION></PART>"""
