@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators.graph import top_k
-from lexweave.session import cut
 
 #: Words that are no terms.
 STOP = (
@@ -61,15 +60,18 @@ def tfidf(df: DataFrame, doc: list[str], record: list[str], terms: Column, min_d
     records, of these the max_features most frequent (ties in term order). Records are counted even if they have no term.
     """
     keys = [*doc, *record]
-    # Terms are cut and counted once; the vocabulary, the weights and their norms read the checkpoint.
+    # Terms are shuffled once, by document and term: counts, vocabulary and weights all read that one exchange. Most
+    # terms leave with the vocabulary, so what is shuffled again by record, for the norms, is little. The sides that are
+    # hashed are small: max_features terms a document, a row a record.
     n = df.select(*keys).distinct().groupBy(*doc).agg(F.count("*").alias("n"))
-    tf = cut(df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
-    vocabulary = tf.groupBy(*doc, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, doc)
-    vocabulary = top_k(vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))), doc, [F.desc("cf"), F.col("term")], max_features)
+    by_term = df.select(*keys, F.explode(terms).alias("term")).repartition(*doc, "term")
+    tf = by_term.groupBy(*doc, "term", *record).agg(F.count("*").alias("tf"))
+    vocabulary = tf.groupBy(*doc, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df).join(n, doc)
+    vocabulary = top_k(vocabulary.filter(F.col("df") <= max_df * F.col("n")), doc, [F.desc("cf"), F.col("term")], max_features)
     weight = (1 + F.log("tf") if sublinear else F.col("tf").cast("double")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = tf.join(vocabulary.select(*doc, "term", "df", "n"), [*doc, "term"]).select(*keys, "term", weight.alias("w"))
+    weighted = tf.join(vocabulary.select(*doc, "term", "df", "n").hint("shuffle_hash"), [*doc, "term"]).select(*keys, "term", weight.alias("w")).repartition(*keys)
     norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return weighted.join(norms.hint("shuffle_hash"), keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def top_terms(weights: DataFrame, keys: list[str], k: int = 25) -> DataFrame:

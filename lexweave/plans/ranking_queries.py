@@ -33,7 +33,7 @@ class Pipeline:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return cut(tm.tfidf(self.sections, ["doc_id"], ["sec_id"], tm.term_list(F.col("text"))))
+        return cut(_weights(self.sections))
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -54,18 +54,22 @@ def numbered(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", "sec_id", pos.alias("pos"))
 
 
-def _top_terms(p: Pipeline) -> DataFrame:
-    return tm.top_terms(p.weights, ["doc_id", "sec_id"])
+def _weights(sections: DataFrame) -> DataFrame:
+    return tm.tfidf(sections, ["doc_id"], ["sec_id"], tm.term_list(F.col("text")))
+
+
+def _top_terms(weights: DataFrame) -> DataFrame:
+    return tm.top_terms(weights, ["doc_id", "sec_id"])
 
 
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _top_terms(Pipeline(spark, d))
+    return _top_terms(_weights(canonical_sections(spark, d)))
 
 
 def term_density(spark: SparkSession, d: str) -> DataFrame:
-    p = Pipeline(spark, d)
-    n = p.weights.groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"))
-    s = p.sections.select("doc_id", "sec_id", t.token_count(tm.clean_for_terms(F.col("text"))).alias("words"))
+    sections = canonical_sections(spark, d)
+    n = _weights(sections).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"))
+    s = sections.select("doc_id", "sec_id", t.token_count(tm.clean_for_terms(F.col("text"))).alias("words"))
     return s.join(n, ["doc_id", "sec_id"], "left").select("doc_id", "sec_id", F.round(F.coalesce("terms", F.lit(0)) / F.col("words"), 6).alias("term_density"))
 
 
@@ -115,7 +119,7 @@ def minmax_features(spark: SparkSession, d: str) -> DataFrame:
 def _waypoints(p: Pipeline, term_feature: str = "terms") -> DataFrame:
     refs = table(p.spark, p.d, "xml_refs").select("doc_id", "sec_id", F.size(F.filter(F.coalesce("explicit_refs", F.array().cast("array<string>")), lambda r: r.rlike(r"^§\d{1,3}\.\d{1,4}"))).alias("value"))
     refs = refs.groupBy("doc_id", "sec_id").agg(F.max("value").alias("value"))
-    top = _top_terms(p).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"), F.sum("score").alias("tfidf_sum"))
+    top = _top_terms(p.weights).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"), F.sum("score").alias("tfidf_sum"))
     features = {
         "terms": top.select("doc_id", "sec_id", F.col(term_feature).alias("value")),
         "lexicon": _seed_hits(p.sections).withColumnRenamed("hits", "value"),
