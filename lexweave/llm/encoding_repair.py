@@ -134,6 +134,8 @@ class GarbleDetector:
             return s in pairs if len(s) == 2 else all(s[i : i + 3] in clean for i in range(len(s) - 2))
 
         def add(s: str | None, true: str, wrong: str) -> None:
+            if s and true == "utf-8" and len(s) > 2 and s.islower() and _LETTERS.fullmatch(s):
+                return  # small letters only, as in Russian "ред", which a danda read as cp866 is
             if s and len(s) > 1 and not s.isascii() and (s in forms or not usual(s)):
                 forms.setdefault(s, set()).add((true, wrong))
 

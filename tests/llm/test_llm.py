@@ -333,6 +333,13 @@ def test_restored_text_by_language_and_pair(spark, sequences):
     assert np.mean(every) >= 0.95
 
 
+def test_small_letters_are_no_utf8_form(sequences):
+    detector = er.GarbleDetector(tuple(sequences))
+    assert not detector.is_garbled("Редактор предъявляет редкий вид, ревизор следит.")
+    text = "वाहक मान्य मुहरों की सूची प्रकाशित करेगा। आवेदक भार हानि का विवरण भेजेगा।"
+    assert detector.repair(er.garble(text, "utf-8", "cp866")) == (text, True)
+
+
 def test_no_clean_sequence_is_left_out(spark):
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 15_000)]
     df = spark.createDataFrame([("".join(f"{c}x " for c in letters[i : i + 100]),) for i in range(0, 15_000, 100)], "t string")
