@@ -67,16 +67,25 @@ def exact_edges(refs: DataFrame, sections: DataFrame) -> DataFrame:
     return edges
 
 
+def _section_links(flat: DataFrame) -> DataFrame:
+    """Flat citations between sections: paragraphs fold into their section, cross-title citations are left out."""
+    return flat.filter("match_kind IS NULL OR match_kind <> 'crossdoc'").select(
+        "doc_id", section_id(F.col("src_sec_id")).alias("src_sec_id"), section_id(F.col("norm_token")).alias("dst_sec_id"), "ref_id", "match_text"
+    ).dropna(subset=["doc_id", "src_sec_id", "dst_sec_id"])
+
+
+def edge_counts(flat: DataFrame) -> DataFrame:
+    """(doc_id, src_sec_id, dst_sec_id, span_count): base_edges without examples, in one shuffle of counts."""
+    return _section_links(flat).groupBy("doc_id", "src_sec_id", "dst_sec_id").agg(F.count("*").alias("span_count"))
+
+
 def base_edges(flat: DataFrame, min_span_count: int = 1) -> DataFrame:
     """The canonical edge table (doc_id, src_sec_id, dst_sec_id, span_count, examples, weight) of flat citations.
 
     Paragraphs fold into their section, cross-title citations are left out, self-loops stay; examples are the first
     three distinct texts by ref_id.
     """
-    edges = flat.filter("match_kind IS NULL OR match_kind <> 'crossdoc'").select(
-        "doc_id", section_id(F.col("src_sec_id")).alias("src_sec_id"), section_id(F.col("norm_token")).alias("dst_sec_id"), "ref_id", "match_text"
-    ).dropna(subset=["doc_id", "src_sec_id", "dst_sec_id"])
-    texts = edges.groupBy("doc_id", "src_sec_id", "dst_sec_id", "match_text").agg(F.count("*").alias("n"), F.min("ref_id").alias("first"))
+    texts = _section_links(flat).groupBy("doc_id", "src_sec_id", "dst_sec_id", "match_text").agg(F.count("*").alias("n"), F.min("ref_id").alias("first"))
     listed = F.array_sort(F.collect_list(F.when(F.col("match_text").isNotNull(), F.struct("first", "match_text"))))
     out = texts.groupBy("doc_id", "src_sec_id", "dst_sec_id").agg(F.sum("n").alias("span_count"), F.slice(F.transform(listed, lambda x: x["match_text"]), 1, 3).alias("examples"))
     return out.filter(F.col("span_count") >= min_span_count).withColumn("weight", F.lit(1.0))

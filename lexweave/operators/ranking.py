@@ -75,15 +75,17 @@ def phrase_hits(heading: Column, text: Column, phrases: list[str]) -> Column:
     return F.element_at(F.transform(F.array(flat), lambda h: F.size(F.filter(wanted, lambda p: h.contains(p)))), 1)
 
 
-def waypoints(sections: DataFrame, features: dict[str, DataFrame], k: int = 12, window: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
+def waypoints(sections: DataFrame, features: dict[str, DataFrame | str], k: int = 12, window: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, sec_id, score, window, reason, rank): the k best sections of every document.
 
-    features: by name a frame (doc_id, sec_id, value); sections that one lacks have 0 there.
+    features: by name a frame (doc_id, sec_id, value), or a column of the sections; sections that one lacks have 0 there.
     """
     weights = WEIGHTS | (weights or {})
-    j = sections.select("doc_id", "sec_id", "idx")
+    own = {name: f for name, f in features.items() if isinstance(f, str)}
+    j = sections.select("doc_id", "sec_id", "idx", *[F.col(f).cast("double").alias(name) for name, f in own.items()])
     for name, f in features.items():
-        j = j.join(f.select("doc_id", "sec_id", F.col("value").cast("double").alias(name)), ["doc_id", "sec_id"], "left")
+        if name not in own:
+            j = j.join(f.select("doc_id", "sec_id", F.col("value").cast("double").alias(name)), ["doc_id", "sec_id"], "left")
     scaled = minmax(j, ["doc_id"], list(features))
     score = reduce(lambda a, b: a + b, [F.lit(weights[n]) * F.col(n) for n in features])
     out = scaled.select("doc_id", "sec_id", "idx", F.round(score, 6).alias("score"), F.lit(window).alias("window"), F.lit("terms+lexicon+references").alias("reason"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.functions import text as t
 from lexweave.operators.graph import top_k
@@ -47,10 +53,14 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     return F.concat(*[_ngrams_of(words, n) for n in range(low, high + 1)])
 
 
+def term_words(c: Column) -> Column:
+    """The lower-case words that are no stop words."""
+    return F.filter(t.all_groups(F.lower(clean_for_terms(c)), TOKEN, 1), lambda w: (w != "") & ~w.isin(STOP))
+
+
 def term_list(c: Column, low: int = 1, high: int = 3) -> Column:
     """n-grams of the lower-case words that are no stop words (which leave before n-grams are made)."""
-    words = F.filter(t.all_groups(F.lower(clean_for_terms(c)), TOKEN, 1), lambda w: (w != "") & ~w.isin(STOP))
-    return F.flatten(F.transform(F.array(words), lambda w: ngrams(w, low, high)))
+    return F.flatten(F.transform(F.array(term_words(c)), lambda w: ngrams(w, low, high)))
 
 
 def tfidf(df: DataFrame, doc: list[str], record: list[str], terms: Column, min_df: int = 2, max_df: float = 0.98, max_features: int = 20_000, sublinear: bool = True) -> DataFrame:
@@ -74,6 +84,120 @@ def tfidf(df: DataFrame, doc: list[str], record: list[str], terms: Column, min_d
     return weighted.join(norms.hint("shuffle_hash"), keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Most words of whole documents whose terms are weighed at once; a larger document is weighed alone.
+CHUNK_WORDS = 300_000
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole documents, whose rows come one after the other, of about CHUNK_WORDS words."""
+    held: list[pa.RecordBatch] = []
+
+    def parts() -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        docs = table["doc_id"]
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(docs[1:], docs[:-1]).to_numpy()]) if len(table) > 1 else np.array([0])
+        words = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(table["words"]), 0).to_numpy())]
+        first = starts[np.flatnonzero(np.diff(words[starts] // CHUNK_WORDS, prepend=-1))]
+        for a, b in zip(first, [*first[1:], len(table)]):
+            yield table.slice(a, b - a)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs = batch.column(batch.schema.get_field_index("doc_id"))
+        if held and held[-1].column(batch.schema.get_field_index("doc_id"))[-1] != docs[0]:
+            yield from parts()
+            held = []
+        changes = np.flatnonzero(pc.not_equal(docs[1:], docs[:-1]).to_numpy(zero_copy_only=False))
+        if len(changes):
+            held.append(batch.slice(0, changes[-1] + 1))
+            yield from parts()
+            held = [batch.slice(changes[-1] + 1)]
+        else:
+            held.append(batch)
+    if held:
+        yield from parts()
+
+
+def _weighed(words: pa.ListArray, doc: np.ndarray, n: np.ndarray, high: int, min_df: int, max_df: float, max_features: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each length of terms (keys, weights, terms): a key is row * terms + term, in ascending order; see tfidf.
+
+    doc: the document of each row, n: rows of each document. A term of min_df records is made of shorter ones that have
+    as many, so longer terms are counted only where both shorter ones are left.
+    """
+    flat = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    code, at, size = flat.indices.to_numpy().astype(np.int64), np.arange(len(row)), max(1, len(flat.dictionary))
+    vocabulary, names = size, [lambda g: flat.dictionary[g].as_py()]
+    unigram, found = code, []
+    for length in range(1, high + 1):
+        keys, back, tf = np.unique(row[at] * size + code, return_inverse=True, return_counts=True)
+        terms, of, df = np.unique(doc[keys // size] * size + keys % size, return_inverse=True, return_counts=True)
+        found.append((keys, tf, terms, of, df, np.bincount(of, tf, len(terms)), size))
+        if length < high:
+            alive = np.zeros(len(row) + 1, bool)
+            alive[at] = (df >= min_df)[of][back]
+            here = alive[at] & alive[np.minimum(at + 1, len(row))]
+            here &= (at + length < len(row)) & (row[at] == row[np.minimum(at + length, len(row) - 1)])
+            pairs, code = np.unique(code[here] * vocabulary + unigram[at[here] + length], return_inverse=True)
+            at, size = at[here], max(1, len(pairs))
+            names.append(lambda g, p=pairs, shorter=names[-1]: f"{shorter(int(p[g] // vocabulary))} {names[0](int(p[g] % vocabulary))}")
+    kept = [(df >= min_df) & (df <= max_df * n[terms // size]) for _, _, terms, _, df, _, size in found]
+    sizes = sum(np.bincount(x[2][k] // x[6], minlength=len(n)) for x, k in zip(found, kept))
+    for d in np.flatnonzero(sizes > max_features):
+        own = [(-x[5][i], names[j](int(x[2][i] % x[6])), j, i) for j, x in enumerate(found) for i in np.flatnonzero(kept[j] & (x[2] // x[6] == d))]
+        for _, _, j, i in sorted(own)[max_features:]:
+            kept[j][i] = False
+    out, squares = [], np.zeros(len(words))
+    for (keys, tf, terms, of, df, _, size), k in zip(found, kept):
+        of, keys, tf = of[k[of]], keys[k[of]], tf[k[of]]
+        w = (1 + np.log(tf)) * (np.log((1 + n[terms[of] // size]) / (1 + df[of])) + 1)
+        squares += np.bincount(keys // size, w * w, len(words))
+        out.append((keys, w, size))
+    return [(keys, w / np.sqrt(squares)[keys // size], size) for keys, w, size in out]
+
+
+def _profile(table: pa.Table, high: int, min_df: int, max_df: float, max_features: int, k: int) -> pa.Table:
+    table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "idx", "sec_key")], null_placement="at_start")).combine_chunks()
+    docs, rows = table["doc_id"], len(table)
+    new = np.r_[True, pc.not_equal(docs[1:], docs[:-1]).to_numpy()] if rows > 1 else np.array([True])
+    doc = np.cumsum(new) - 1
+    n = np.bincount(doc)
+    terms, score, met = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, bool)
+    for keys, w, size in _weighed(table["words"].chunk(0), doc, n, high, min_df, max_df, max_features):
+        row = keys // size
+        terms += np.bincount(row, minlength=rows)
+        there = np.searchsorted(keys, keys + size)
+        hit = np.flatnonzero(there < len(keys))
+        hit = hit[keys[there[hit]] == keys[hit] + size]
+        hit = hit[doc[row[hit]] == doc[row[hit] + 1]]
+        score += np.bincount(row[hit], w[hit] * w[there[hit]], rows)
+        met[row[hit]] = True
+    following = pc.if_else(pa.array(met), table["sec_id"].take(pa.array(np.minimum(np.arange(rows) + 1, rows - 1))), pa.scalar(None, pa.string()))
+    pos = np.arange(rows) - np.flatnonzero(new)[doc]
+    out = table.drop_columns(["words", "sec_key"])
+    for name, c in (("pos", pa.array(pos, pa.int32())), ("terms", pa.array(np.minimum(terms, k), pa.int64())), ("next_sec_id", following), ("score", pa.array(score, mask=~met))):
+        out = out.append_column(name, c)
+    return out
+
+
+def profiles(sections: DataFrame, high: int = 3, min_df: int = 2, max_df: float = 0.98, max_features: int = 20_000, k: int = 25) -> DataFrame:
+    """Of every section what ranking and neighbour edges take from its tf-idf weights, which are not written anywhere.
+
+    sections: (doc_id, sec_id, idx, sec_key, words, others...) with the rows of a document one after the other in one
+    partition; the others are handed on. Returns (doc_id, sec_id, idx, others..., pos, terms, next_sec_id, score): place
+    in the document, number of top terms (k at most), the next section if both share a term, and their cosine.
+    Vocabulary and weights are those of tfidf over n-grams of up to ``high`` words.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            yield from _profile(table, high, min_df, max_df, max_features, k).to_batches()
+
+    kept = [f for f in sections.schema.fields if f.name not in ("words", "sec_key")]
+    added = [T.StructField("pos", T.IntegerType()), T.StructField("terms", T.LongType()), T.StructField("next_sec_id", T.StringType()), T.StructField("score", T.DoubleType())]
+    return sections.mapInArrow(run, T.StructType([*kept, *added]))
+
+
 def top_terms(weights: DataFrame, keys: list[str], k: int = 25) -> DataFrame:
     """The k heaviest terms of every record, at six decimals, ties in term order."""
     rounded = weights.withColumn("score", F.round("w", 6)).drop("w")

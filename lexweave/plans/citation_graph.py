@@ -15,7 +15,18 @@ from lexweave.session import cut, table
 
 def canonical_sections(spark: SparkSession, d: str) -> DataFrame:
     """One row per (doc_id, sec_id): the first parse (smallest idx, then sec_key) wins."""
-    s = table(spark, d, "sections").withColumn("sec_id", section_id(F.col("sec_id"))).filter("sec_id IS NOT NULL AND doc_id IS NOT NULL")
+    return _first_parses(table(spark, d, "sections"))
+
+
+def whole_documents(spark: SparkSession, d: str, large: DataFrame | None = None) -> DataFrame:
+    """canonical_sections with the rows of a document one after the other in one partition; large: doc_ids left out."""
+    s = table(spark, d, "sections").select("doc_id", "sec_id", "idx", "sec_key", "label", "heading", "text", "tokens")
+    s = s if large is None else s.join(large, "doc_id", "left_anti")
+    return _first_parses(s.repartition("doc_id")).sortWithinPartitions("doc_id")
+
+
+def _first_parses(s: DataFrame) -> DataFrame:
+    s = s.withColumn("sec_id", section_id(F.col("sec_id"))).filter("sec_id IS NOT NULL AND doc_id IS NOT NULL")
     best = s.groupBy("doc_id", "sec_id").agg(F.min(F.struct("idx", "sec_key", "label", "heading", "text", "tokens")).alias("b"))
     return best.select("doc_id", "sec_id", "b.*")
 

@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexweave.functions import text as t
+from lexweave.operators import citations as c
 from lexweave.operators import graph as g
 from lexweave.operators import ranking as rk
+from lexweave.operators import stitch as st
 from lexweave.operators import terms as tm
 from lexweave.operators import vectors as vec
-from lexweave.plans.citation_graph import BASE_SQL, SECTIONS_SQL, _DEG, canonical_sections, edges
-from lexweave.session import cut, table
+from lexweave.plans.citation_graph import BASE_SQL, SECTIONS_SQL, _DEG, canonical_sections, whole_documents
+from lexweave.session import cut, stored, table
+
+
+#: Most characters of one document whose terms are weighed inside one task; larger ones are spread by term.
+MAX_TASK_CHARS = 4_000_000
 
 
 class Pipeline:
-    """The frames that several steps of one query share; each is made once, when first asked for, and cut."""
+    """The frames that several steps of one query share; each is made once, when first asked for, and stored.
+
+    ranked: the profile has what ranking and rendering need besides, so that texts are read once.
+    """
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
-        self.spark, self.d = spark, d
+    def __init__(self, spark: SparkSession, d: str, ranked: bool = True, max_task_chars: int = MAX_TASK_CHARS) -> None:
+        self.spark, self.d, self.ranked, self.max_task_chars = spark, d, ranked, max_task_chars
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -29,12 +38,29 @@ class Pipeline:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(edges(self.spark, self.d))
+        return stored(c.edge_counts(table(self.spark, self.d, "explicit_refs_flat")))
 
     @cached_property
     def weights(self) -> DataFrame:
         return cut(_weights(self.sections))
 
+    @cached_property
+    def large(self) -> DataFrame | None:
+        """doc_ids of documents of more than max_task_chars; None if there is none."""
+        s = table(self.spark, self.d, "sections").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
+        large = s.filter(F.col("n") > self.max_task_chars).select("doc_id")
+        return None if large.isEmpty() else stored(large)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """(doc_id, sec_id, idx, pos, terms, next_sec_id, score) and, if ranked, (hits, bonus, heading, lead) of every section."""
+        more = [_seed_hit_count().alias("hits"), rk.heading_bonus(F.col("heading")).alias("bonus"), "heading", st.lead_sentences(F.col("text")).alias("lead")] if self.ranked else []
+        whole = whole_documents(self.spark, self.d, self.large)
+        out = tm.profiles(whole.select("doc_id", "sec_id", "idx", "sec_key", tm.term_words(F.col("text")).alias("words"), *more))
+        if self.large is not None:
+            out = out.unionByName(_spread_profile(cut(canonical_sections(self.spark, self.d).join(self.large, "doc_id", "left_semi")), more))
+        return stored(out)
+
     @cached_property
     def positions(self) -> DataFrame:
         """(doc_id, sec_id, pos): sections numbered in document order."""
@@ -42,11 +68,21 @@ class Pipeline:
 
     @cached_property
     def merged(self) -> DataFrame:
-        return cut(g.merge_edges(self.edges, _implicit(self)))
+        following = self.profile.filter("score IS NOT NULL").select("doc_id", F.col("sec_id").alias("src_sec_id"), F.col("next_sec_id").alias("dst_sec_id"), "score")
+        return stored(g.merge_edges(self.edges, following))
 
     @cached_property
     def waypoints(self) -> DataFrame:
-        return cut(_waypoints(self))
+        return stored(_waypoints(self))
+
+
+def _spread_profile(sections: DataFrame, more: list) -> DataFrame:
+    """The profile of documents whose terms are too many for one task: weights are shuffled by document and term."""
+    weights, places = cut(_weights(sections)), numbered(sections)
+    terms = _top_terms(weights).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"))
+    following = _implicit(places, weights).select("doc_id", F.col("src_sec_id").alias("sec_id"), F.col("dst_sec_id").alias("next_sec_id"), "score")
+    out = sections.select("doc_id", "sec_id", "idx", *more).join(places, ["doc_id", "sec_id"]).join(terms, ["doc_id", "sec_id"], "left")
+    return out.join(following, ["doc_id", "sec_id"], "left").withColumn("terms", F.coalesce("terms", F.lit(0).cast("bigint")))
 
 
 def numbered(sections: DataFrame) -> DataFrame:
@@ -90,8 +126,12 @@ def heading_bonus(spark: SparkSession, d: str) -> DataFrame:
     return _bonuses(canonical_sections(spark, d))
 
 
+def _seed_hit_count() -> Column:
+    return rk.phrase_hits(F.col("heading"), F.col("text"), [*tm.SEEDS, "maintenance bulletin", "on the record"])
+
+
 def _seed_hits(sections: DataFrame) -> DataFrame:
-    return sections.select("doc_id", "sec_id", rk.phrase_hits(F.col("heading"), F.col("text"), [*tm.SEEDS, "maintenance bulletin", "on the record"]).alias("hits"))
+    return sections.select("doc_id", "sec_id", _seed_hit_count().alias("hits"))
 
 
 def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -116,18 +156,17 @@ def minmax_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "sec_id", F.round("tokens", 6).alias("tokens"), F.round("chars", 6).alias("chars"))
 
 
-def _waypoints(p: Pipeline, term_feature: str = "terms") -> DataFrame:
+def _waypoints(p: Pipeline) -> DataFrame:
+    return rk.waypoints(p.profile, {"terms": "terms", "lexicon": "hits", "references": _listed_refs(p), "in_degree": _in_degrees(p), "heading": "bonus"})
+
+
+def _listed_refs(p: Pipeline) -> DataFrame:
     refs = table(p.spark, p.d, "xml_refs").select("doc_id", "sec_id", F.size(F.filter(F.coalesce("explicit_refs", F.array().cast("array<string>")), lambda r: r.rlike(r"^§\d{1,3}\.\d{1,4}"))).alias("value"))
-    refs = refs.groupBy("doc_id", "sec_id").agg(F.max("value").alias("value"))
-    top = _top_terms(p.weights).groupBy("doc_id", "sec_id").agg(F.count("*").alias("terms"), F.sum("score").alias("tfidf_sum"))
-    features = {
-        "terms": top.select("doc_id", "sec_id", F.col(term_feature).alias("value")),
-        "lexicon": _seed_hits(p.sections).withColumnRenamed("hits", "value"),
-        "references": refs,
-        "in_degree": g.degrees(p.edges).select("doc_id", "sec_id", F.col("in_degree").alias("value")),
-        "heading": _bonuses(p.sections).withColumnRenamed("bonus", "value"),
-    }
-    return rk.waypoints(p.sections, features)
+    return refs.groupBy("doc_id", "sec_id").agg(F.max("value").alias("value"))
+
+
+def _in_degrees(p: Pipeline) -> DataFrame:
+    return g.degrees(p.edges).select("doc_id", "sec_id", F.col("in_degree").alias("value"))
 
 
 def waypoints(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +175,10 @@ def waypoints(spark: SparkSession, d: str) -> DataFrame:
 
 def waypoints_by_weight(spark: SparkSession, d: str) -> DataFrame:
     """The same with the sum of the term weights as the term feature, where a terms table has it."""
-    return _waypoints(Pipeline(spark, d), "tfidf_sum")
+    p = Pipeline(spark, d)
+    top = _top_terms(p.weights).groupBy("doc_id", "sec_id").agg(F.sum("score").alias("value"))
+    features = {"terms": top, "lexicon": _seed_hits(p.sections).withColumnRenamed("hits", "value"), "references": _listed_refs(p), "in_degree": _in_degrees(p), "heading": _bonuses(p.sections).withColumnRenamed("bonus", "value")}
+    return rk.waypoints(p.sections, features)
 
 
 # Vectors: a label of the embeddings table is a document, a vector one of its sections ------------------------------
@@ -178,22 +220,21 @@ def gist_queries(spark: SparkSession, d: str) -> DataFrame:
     return vec.window_knn(v, vec.query_vectors(v, g), window=2, k=1, min_sim=MIN_SIM).withColumn("score", F.round("score", 4)).drop("anchor")
 
 
-def _implicit(p: Pipeline) -> DataFrame:
-    """Similarity edges between neighbouring sections: cosine of their term weights."""
-    s, w = p.positions, p.weights
+def _implicit(s: DataFrame, w: DataFrame) -> DataFrame:
+    """Similarity edges between neighbouring sections (s: numbered): cosine of their term weights w."""
     a = s.alias("a").join(s.withColumn("pos", F.col("pos") - 1).alias("b"), ["doc_id", "pos"]).select("doc_id", F.col("a.sec_id").alias("src_sec_id"), F.col("b.sec_id").alias("dst_sec_id"))
     x, y = w.withColumnRenamed("sec_id", "src_sec_id").withColumnRenamed("w", "wa"), w.withColumnRenamed("sec_id", "dst_sec_id").withColumnRenamed("w", "wb")
     return a.join(x, ["doc_id", "src_sec_id"]).join(y, ["doc_id", "dst_sec_id", "term"]).groupBy("doc_id", "src_sec_id", "dst_sec_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
 def edges_merged(spark: SparkSession, d: str) -> DataFrame:
-    return Pipeline(spark, d).merged.select("doc_id", "src_sec_id", "dst_sec_id", "edge_type", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight"))
+    return Pipeline(spark, d, ranked=False).merged.select("doc_id", "src_sec_id", "dst_sec_id", "edge_type", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight"))
 
 
 def node_centrality(spark: SparkSession, d: str) -> DataFrame:
-    p = Pipeline(spark, d)
-    out = g.centrality(p.merged, p.sections)
-    return out.select("doc_id", "sec_id", *[F.round(c, 6).alias(c) for c in ("in_weight", "out_weight", "centrality")])
+    p = Pipeline(spark, d, ranked=False)
+    out = g.centrality(p.merged, p.profile)
+    return out.select("doc_id", "sec_id", *[F.round(x, 6).alias(x) for x in ("in_weight", "out_weight", "centrality")])
 
 
 QUERIES = {

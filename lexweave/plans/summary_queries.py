@@ -22,7 +22,8 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gists(p: rq.Pipeline) -> DataFrame:
-    return gs.build_gists(p.sections.join(p.positions, ["doc_id", "sec_id"]), p.waypoints.select("doc_id", "sec_id"))
+    sections = canonical_sections(p.spark, p.d).join(p.profile.select("doc_id", "sec_id", "pos"), ["doc_id", "sec_id"])
+    return gs.build_gists(sections, p.waypoints.select("doc_id", "sec_id"))
 
 
 def gists(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,7 @@ def gists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(p: rq.Pipeline) -> DataFrame:
-    return st.stitch_plan(p.waypoints.select("doc_id", "sec_id", "rank"), p.merged, g.centrality(p.merged, p.sections))
+    return st.stitch_plan(p.waypoints.select("doc_id", "sec_id", "rank"), p.merged, g.centrality(p.merged, p.profile))
 
 
 def plan(spark: SparkSession, d: str) -> DataFrame:
