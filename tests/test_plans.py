@@ -27,8 +27,9 @@ def _input(*tables: str) -> int:
     return sum(Path(DATA, f"{t}.parquet").stat().st_size for t in tables)
 
 
-def test_edges_merged_stores_less_than_it_reads(spark, tmp_path):
-    assert _left_on_disk(spark, tmp_path, "edges_merged") < 2 * _input("sections", "explicit_refs_flat")
+@pytest.mark.parametrize("query", ["edges_merged", "node_centrality"])
+def test_edges_store_less_than_they_read(spark, tmp_path, query):
+    assert _left_on_disk(spark, tmp_path, query) < 2 * _input("sections", "explicit_refs_flat")
 
 
 def test_profile_equals_spread_weights(spark):
