@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -32,24 +35,57 @@ def lead_sentences(c: Column) -> Column:
     return F.when(t.trim_blanks(joined) == "", "").otherwise(F.concat(F.regexp_replace(joined, r"\.+$", ""), F.lit(".")))
 
 
-def render(plan: DataFrame, sections: DataFrame, gists: DataFrame, budget: int = 1200) -> DataFrame:
-    """(doc_id, summary_text, words, blocks): blocks in plan order under a word budget; a block that does not fit is skipped, later ones may fit.
+def leads(sections: DataFrame) -> DataFrame:
+    """(doc_id, sec_id, heading, lead): what rendering needs of sections."""
+    return sections.select("doc_id", "sec_id", "heading", lead_sentences(F.col("text")).alias("lead"))
 
-    The fold runs over the places and sizes of one document's blocks; the texts join those that were picked, whose words
-    are at most the budget.
+
+def render(plan: DataFrame, sections: DataFrame, gists: DataFrame, budget: int = 1200) -> DataFrame:
+    """(doc_id, summary_text, words, blocks): blocks in plan order under a word budget; a block that does not fit is skipped, later ones may fit."""
+    return render_leads(plan, leads(sections), gists, budget)
+
+
+def _fitting(budget: int):
+    """Rows (doc_id, pos, n, block), in order, to those that fit; where none does, a row without block tells the document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, total, kept = None, 0, 0
+        for batch in batches:
+            keep, told = [], []
+            for i, (d, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if d != doc:
+                    if doc is not None and not kept:
+                        told.append(doc)
+                    doc, total, kept = d, 0, 0
+                if total + n <= budget:
+                    total, kept = total + n, kept + 1
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+            if told:
+                yield _nothing(told, batch.schema)
+            schema = batch.schema
+        if doc is not None and not kept:
+            yield _nothing([doc], schema)
+
+    return run
+
+
+def _nothing(docs: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, schema.field(0).type), *[pa.nulls(len(docs), f.type) for f in list(schema)[1:]]], names=schema.names)
+
+
+def render_leads(plan: DataFrame, leads: DataFrame, gists: DataFrame, budget: int = 1200) -> DataFrame:
+    """render from leads instead of sections.
+
+    Blocks are made once and pass the fold in plan order, a document after the other, one row at a time; only those
+    picked, whose words are at most the budget, are gathered.
     """
-    j = plan.join(sections.select("doc_id", "sec_id", "heading", "text"), ["doc_id", "sec_id"]).join(gists.select("doc_id", F.col("anchor_sec_id").alias("sec_id"), "gist_text"), ["doc_id", "sec_id"], "left")
-    text = F.when(F.coalesce("gist_text", F.lit("")) != "", F.col("gist_text")).otherwise(lead_sentences(F.col("text")))
-    j = j.select("doc_id", "pos", "sec_id", F.coalesce("heading", F.lit("")).alias("heading"), text.alias("text")).filter("text <> ''")
-    j = j.withColumn("n", t.token_count(F.col("text")))
-    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("picked"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "n"))), start,
-        lambda s, i: F.when(s["total"] + i["n"] <= budget, F.struct((s["total"] + i["n"]).alias("total"), F.concat(s["picked"], F.array(i["pos"])).alias("picked"))).otherwise(s),
-    )
-    picked = j.groupBy("doc_id").agg(fold.alias("s")).select("doc_id", F.col("s.total").alias("words"), F.explode_outer("s.picked").alias("pos"))
-    blocks = j.select("doc_id", "pos", F.concat_ws("", "sec_id", F.lit(" — "), "heading", F.lit("\n"), "text", F.lit("\n")).alias("block"))
-    out = picked.join(blocks, ["doc_id", "pos"], "left").groupBy("doc_id", "words").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "block")))).alias("b"))
+    j = plan.join(leads, ["doc_id", "sec_id"]).join(gists.select("doc_id", F.col("anchor_sec_id").alias("sec_id"), "gist_text"), ["doc_id", "sec_id"], "left")
+    text = F.when(F.coalesce("gist_text", F.lit("")) != "", F.col("gist_text")).otherwise(F.col("lead"))
+    j = j.select("doc_id", F.col("pos").cast("int").alias("pos"), "sec_id", F.coalesce("heading", F.lit("")).alias("heading"), text.alias("text")).filter("text <> ''")
+    block = F.concat_ws("", "sec_id", F.lit(" — "), "heading", F.lit("\n"), "text", F.lit("\n"))
+    blocks = j.select("doc_id", "pos", t.token_count(F.col("text")).alias("n"), block.alias("block")).repartition("doc_id").sortWithinPartitions("doc_id", "pos", "n")
+    picked = blocks.mapInArrow(_fitting(budget), "doc_id string, pos int, n int, block string")
+    out = picked.groupBy("doc_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("words"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "block")))).alias("b"))
     footer = F.concat(F.lit("\n[approx tokens used: "), F.col("words").cast("string"), F.lit("]"))
     text = F.concat(F.array_join(F.transform("b", lambda x: x["block"]), "\n"), footer)
     return out.select("doc_id", text.alias("summary_text"), "words", F.size("b").alias("blocks"))

@@ -61,6 +61,10 @@ class Pipeline:
             out = out.unionByName(_spread_profile(cut(canonical_sections(self.spark, self.d).join(self.large, "doc_id", "left_semi")), more))
         return stored(out)
 
+    @property
+    def leads(self) -> DataFrame:
+        return self.profile.select("doc_id", "sec_id", "heading", "lead")
+
     @cached_property
     def positions(self) -> DataFrame:
         """(doc_id, sec_id, pos): sections numbered in document order."""

@@ -13,7 +13,7 @@ from lexweave.operators import stitch as st
 from lexweave.operators.vectors import cosine
 from lexweave.plans import ranking_queries as rq
 from lexweave.plans.citation_graph import SECTIONS_SQL, canonical_sections
-from lexweave.session import cut, table
+from lexweave.session import stored, table
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +57,13 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
 def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """From sections to summaries: rank, pick sentences, stitch, render."""
     p = rq.Pipeline(spark, d)
-    return st.render(cut(_plan(p)), p.sections, cut(_gists(p)), 1200)
+    return st.render_leads(stored(_plan(p)), p.leads, stored(_gists(p).select("doc_id", "anchor_sec_id", "gist_text")), 1200)
 
 
 def deliverables(spark: SparkSession, d: str) -> DataFrame:
     p = rq.Pipeline(spark, d)
-    steps = cut(_plan(p))
-    return st.deliverable(steps, st.render(steps, p.sections, _given_gists(spark, d), 1200).select("doc_id", "summary_text"))
+    steps = stored(_plan(p))
+    return st.deliverable(steps, st.render_leads(steps, p.leads, _given_gists(spark, d), 1200).select("doc_id", "summary_text"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexweave.operators import stitch as st
 from lexweave.operators import terms as tm
 from lexweave.plans import ranking_queries as rq
 from lexweave.plans.citation_graph import canonical_sections
@@ -32,6 +34,18 @@ def test_edges_store_less_than_they_read(spark, tmp_path, query):
     assert _left_on_disk(spark, tmp_path, query) < 2 * _input("sections", "explicit_refs_flat")
 
 
+def test_deliverable_stores_less_than_it_reads(spark, tmp_path):
+    assert _left_on_disk(spark, tmp_path, "deliverable") < 2 * _input("sections", "explicit_refs_flat", "xml_refs", "gists")
+
+
+def test_fold_over_batches():
+    """Documents that cross batches, and such of which nothing fits."""
+    rows = [("a", 0, 9, "x"), ("b", 0, 2, "x"), ("b", 1, 2, "y"), ("b", 3, 1, "z"), ("c", 0, 4, "x"), ("d", 0, 3, "x")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("doc_id", "pos", "n", "block"), r)) for r in rows[i : i + 2]]) for i in range(0, 6, 2)]
+    got = [tuple(r.values()) for b in st._fitting(3)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([("a", None, None, None), rows[1], rows[3], ("c", None, None, None), rows[5]], key=str)
+
+
 def test_profile_equals_spread_weights(spark):
     """Large documents are weighed by shuffles, others in one task: the same numbers, mixed ones too."""
     rows = {}
