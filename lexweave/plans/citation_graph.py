@@ -25,6 +25,18 @@ def whole_documents(spark: SparkSession, d: str, large: DataFrame | None = None)
     return _first_parses(s.repartition("doc_id")).sortWithinPartitions("doc_id")
 
 
+def whole_documents_with(spark: SparkSession, d: str, other: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc_id, sec_id, heading, text, columns...) of the canonical sections that other has, a document in one partition.
+
+    A union takes the place of the join, which would shuffle the texts by section.
+    """
+    s = table(spark, d, "sections").withColumn("sec_id", section_id(F.col("sec_id"))).filter("sec_id IS NOT NULL AND doc_id IS NOT NULL")
+    s = s.select("doc_id", "sec_id", F.struct("idx", "sec_key", "label", "heading", "text", "tokens").alias("b"))
+    both = s.unionByName(other.select("doc_id", "sec_id", F.struct(*columns).alias("o")), allowMissingColumns=True).repartition("doc_id")
+    j = both.groupBy("doc_id", "sec_id").agg(F.min("b").alias("b"), F.max("o").alias("o")).filter("b IS NOT NULL AND o IS NOT NULL")
+    return j.select("doc_id", "sec_id", "b.heading", "b.text", "o.*")
+
+
 def _first_parses(s: DataFrame) -> DataFrame:
     s = s.withColumn("sec_id", section_id(F.col("sec_id"))).filter("sec_id IS NOT NULL AND doc_id IS NOT NULL")
     best = s.groupBy("doc_id", "sec_id").agg(F.min(F.struct("idx", "sec_key", "label", "heading", "text", "tokens")).alias("b"))

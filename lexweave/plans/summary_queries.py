@@ -12,7 +12,7 @@ from lexweave.operators import graph as g
 from lexweave.operators import stitch as st
 from lexweave.operators.vectors import cosine
 from lexweave.plans import ranking_queries as rq
-from lexweave.plans.citation_graph import SECTIONS_SQL, canonical_sections
+from lexweave.plans.citation_graph import SECTIONS_SQL, canonical_sections, whole_documents_with
 from lexweave.session import stored, table
 
 
@@ -22,8 +22,8 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gists(p: rq.Pipeline) -> DataFrame:
-    sections = canonical_sections(p.spark, p.d).join(p.profile.select("doc_id", "sec_id", "pos"), ["doc_id", "sec_id"])
-    return gs.build_gists(sections, p.waypoints.select("doc_id", "sec_id"))
+    near = gs.windows(p.waypoints, p.profile.select("doc_id", "sec_id", "pos"))
+    return gs.gists_of(whole_documents_with(p.spark, p.d, near, ["pos", "anchor"]))
 
 
 def gists(spark: SparkSession, d: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexweave.operators import gists as gs
 from lexweave.operators import stitch as st
 from lexweave.operators import terms as tm
 from lexweave.plans import ranking_queries as rq
@@ -77,3 +82,34 @@ def test_profiles_equal_tfidf(spark, max_features, monkeypatch):
         both = [own[x] * after[x] for x in own if x in after]
         assert got[d, pos].next_sec_id == (f"§{d[1:]}.{pos + 1}" if both else None)
         assert got[d, pos].score == (pytest.approx(sum(both)) if both else None)
+
+
+def _weights(texts, query):
+    counts = [Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]) for w in (re.findall(r"\w\w+", x.lower()) for x in [*texts, query])]
+    df = Counter(x for c in counts[:-1] for x in c)
+    kept = sorted(x for x, n in df.items() if len(texts) == 1 or n <= 0.9 * len(texts))
+    v = np.array([[c[x] * (math.log((1 + len(texts)) / (1 + df[x])) + 1) for x in kept] for c in counts])
+    norms = np.linalg.norm(v, axis=1, keepdims=True)
+    v = v / np.where(norms > 0, norms, 1)
+    return v[:-1], v[-1]
+
+
+def test_gists_of_many_windows_equal_single_ones(spark, monkeypatch):
+    """Windows in step, over small steps, against mmr of one window after the other."""
+    monkeypatch.setattr(gs, "STEP_SECTIONS", 3)
+    monkeypatch.setattr(gs, "STEP_TERMS", 60)
+    rng = random.Random(5)
+    say = lambda: rng.choice("The An Any".split()) + " " + " ".join(rng.choices("seal form record duty owner may".split(), k=rng.randint(2, 6))) + "."
+    made = [(f"d{d}", f"§{d}.{i}", i, rng.choice([None, "Seal form", "Duty"]), " ".join(say() for _ in range(rng.choice([0, 1, 4])))) for d in range(4) for i in range(rng.choice([1, 5, 14]))]
+    s = spark.createDataFrame(made, "doc_id string, sec_id string, pos int, heading string, text string")
+    anchors = [r for r in made if rng.random() < 0.6]
+    got = {r.anchor_sec_id: r for r in gs.build_gists(s, spark.createDataFrame([r[:2] for r in anchors], "doc_id string, sec_id string"), k=3).collect()}
+    sentences = {r.sec_id: r.s for r in s.select("sec_id", gs.gist_sentences(F.col("text")).alias("s")).collect()}
+    want = {}
+    for d, a, pos, heading, _ in anchors:
+        near = [r for r in made if r[0] == d and abs(r[2] - pos) <= 1]
+        rows = [(r[1], i, x) for r in near for i, x in enumerate(sentences[r[1]])]
+        if rows:
+            v, q = _weights([x for _, _, x in rows], " ".join([a, heading or "", *(r[3] or "" for r in near)]))
+            want[a] = sorted(rows[i] for i in gs.mmr(v, q, 3, 0.7))
+    assert {a: [tuple(x) for x in r.source_spans] for a, r in got.items()} == want and len(want) > 5
