@@ -39,8 +39,9 @@ def test_edges_store_less_than_they_read(spark, tmp_path, query):
     assert _left_on_disk(spark, tmp_path, query) < 2 * _input("sections", "explicit_refs_flat")
 
 
-def test_deliverable_stores_less_than_it_reads(spark, tmp_path):
-    assert _left_on_disk(spark, tmp_path, "deliverable") < 2 * _input("sections", "explicit_refs_flat", "xml_refs", "gists")
+@pytest.mark.parametrize("query", ["deliverable", "full_pipeline"])
+def test_summaries_store_less_than_they_read(spark, tmp_path, query):
+    assert _left_on_disk(spark, tmp_path, query) < 2 * _input("sections", "explicit_refs_flat", "xml_refs", "gists")
 
 
 def test_fold_over_batches():
