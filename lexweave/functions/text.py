@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: One blank of any kind that occurs in citations (thin and no-break ones too).
 WS = r"[\s\x{00A0}\x{2009}\x{202F}]"
+NO_WS = r"[^\s\x{00A0}\x{2009}\x{202F}]"
 #: Citation patterns. Range ends take up to four digits after the dot.
 SINGLE = rf"(?i)§{{1,2}}{WS}*(\d{{1,3}}\.\d{{1,3}}[A-Za-z0-9\-]*(?:\([a-z0-9]+\))?)"
 RANGE = rf"(?i)§§{WS}*(\d{{1,3}}\.\d{{1,4}}){WS}*(?:–|-|to|through){WS}*(\d{{1,3}}\.\d{{1,4}})"
@@ -44,7 +45,7 @@ def word_list(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """Words, at least 1."""
-    return F.greatest(F.lit(1), F.size(word_list(c)))
+    return F.greatest(F.lit(1), F.size(F.split(squeeze_blanks(c), " ")))
 
 
 def normalize_text(c: Column) -> Column:

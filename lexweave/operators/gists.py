@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as t
 
 #: Fixed value: where a sentence ends for gists (the next one starts with a capital, a parenthesis or a section sign).
-SPLIT = r"(?<=[.?!;:])[\s\x{00A0}\x{2009}\x{202F}]+(?=[A-Z(§])"
+SPLIT = rf"(?={t.WS})(?<=[.?!;:]){t.WS}+(?=[A-Z(§])"  # the first group only saves time
 _WORD = regex.compile(r"\w\w+")
 
 
 def gist_sentences(c: Column) -> Column:
     """Sentences of two characters and three words at least."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), SPLIT), t.trim_blanks)
-    return F.filter(parts, lambda s: (F.length(s) >= 2) & (F.size(t.word_list(s)) >= 3))
+    return F.filter(parts, lambda s: (F.length(s) >= 2) & s.rlike(f"{t.NO_WS}{t.WS}+{t.NO_WS}+{t.WS}+{t.NO_WS}"))
 
 
 def mmr(vectors: np.ndarray, query: np.ndarray, k: int, lam: float) -> list[int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ STRONG_HEADING = r"(?i)\b(definitions?|applicability)\b"
 WEAK_HEADING = r"(?i)\b(purpose|scope|authority|compliance|reporting)\b"
 #: Weights of the features.
 WEIGHTS = {"terms": 0.45, "lexicon": 0.25, "references": 0.20, "in_degree": 0.05, "heading": 0.05}
+#: What parts the words of a phrase.
+BETWEEN = r"[\s\x{00A0}\-]+"
 #: Most lexicon phrases of one pass over the texts.
 MAX_PHRASES = 5_000
 
@@ -34,7 +37,7 @@ def heading_bonus(c: Column) -> Column:
 
 def _flat(c: Column) -> Column:
     """Lower case, words and signs parted by one blank, one at either end."""
-    squeezed = F.regexp_replace(F.lower(c), r"[\s\x{00A0}\-]+", " ")
+    squeezed = F.regexp_replace(F.lower(c), BETWEEN, " ")
     return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(squeezed, r"[^\p{L}\p{M}\p{N}_]", " $0 "), F.lit(" ")), " +", " ")
 
 
@@ -70,9 +73,17 @@ def phrase_hits(heading: Column, text: Column, phrases: list[str]) -> Column:
     phrases = [p.strip().lower() for p in phrases if p and p.strip()]
     if len(phrases) > MAX_PHRASES:
         raise ValueError(f"more than {MAX_PHRASES} phrases: use lexicon_hits")
-    flat = _flat(_both(heading, text))
-    wanted = F.array(*[F.lit(" " + " ".join(p.replace("-", " ").split()) + " ") for p in phrases]) if phrases else F.array().cast("array<string>")
-    return F.element_at(F.transform(F.array(flat), lambda h: F.size(F.filter(wanted, lambda p: h.contains(p)))), 1)
+    wanted = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern")) for w, p in map(_sought, phrases)]).cast("array<struct<word: string, pattern: string>>")
+    return F.element_at(F.transform(F.array(F.lower(_both(heading, text))), lambda h: F.size(F.filter(wanted, lambda p: h.contains(p["word"]) & F.rlike(h, p["pattern"])))), 1)
+
+
+def _sought(phrase: str) -> tuple[str, str]:
+    """The longest word of a phrase, and a pattern of the phrase; most texts lack the word, which is looked for first."""
+    words = phrase.replace("-", " ").split() or [""]
+    word = r"\p{L}\p{M}\p{N}_"
+    if any(not (x == "_" or unicodedata.category(x)[0] in "LMN") for w in words for x in w) or words == [""]:
+        return max(words, key=len), r"(?!)"  # signs are words of their own in texts, so no text has such a phrase
+    return max(words, key=len), f"(?:^|[^{word}]){BETWEEN.join(words)}(?![{word}])"  # Java looks behind by one char, which misses letters of two
 
 
 def waypoints(sections: DataFrame, features: dict[str, DataFrame | str], k: int = 12, window: int = 1, weights: dict[str, float] | None = None) -> DataFrame:

@@ -30,9 +30,9 @@ def stitch_plan(anchors: DataFrame, merged: DataFrame, centrality: DataFrame, k:
 
 def lead_sentences(c: Column) -> Column:
     """The first two pieces that '. ' parts, with a full stop."""
-    pieces = F.slice(F.split(F.coalesce(c, F.lit("")), r"\. "), 1, 2)
+    pieces = F.slice(F.split(F.coalesce(c, F.lit("")), r"\. ", 3), 1, 2)
     joined = F.array_join(pieces, ". ")
-    return F.when(t.trim_blanks(joined) == "", "").otherwise(F.concat(F.regexp_replace(joined, r"\.+$", ""), F.lit(".")))
+    return F.when(~joined.rlike(t.NO_WS), "").otherwise(F.concat(F.regexp_replace(joined, r"\.+$", ""), F.lit(".")))
 
 
 def leads(sections: DataFrame) -> DataFrame:

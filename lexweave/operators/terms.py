@@ -54,8 +54,12 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 
 def term_words(c: Column) -> Column:
-    """The lower-case words that are no stop words."""
-    return F.filter(t.all_groups(F.lower(clean_for_terms(c)), TOKEN, 1), lambda w: (w != "") & ~w.isin(STOP))
+    """The lower-case words of clean_for_terms that are no stop words.
+
+    What clean_for_terms makes blanks of parts words anyway, so only its letter is taken out.
+    """
+    s = F.replace(F.coalesce(c, F.lit("")), F.lit("Â§"), F.lit("§"))
+    return F.filter(t.all_groups(F.lower(s), TOKEN, 1), lambda w: (w != "") & ~w.isin(STOP))
 
 
 def term_list(c: Column, low: int = 1, high: int = 3) -> Column:

@@ -14,7 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexweave.functions import text as t
 from lexweave.operators import gists as gs
+from lexweave.operators import ranking as rk
 from lexweave.operators import stitch as st
 from lexweave.operators import terms as tm
 from lexweave.plans import ranking_queries as rq
@@ -114,3 +116,31 @@ def test_gists_of_many_windows_equal_single_ones(spark, monkeypatch):
             v, q = _weights([x for _, _, x in rows], " ".join([a, heading or "", *(r[3] or "" for r in near)]))
             want[a] = sorted(rows[i] for i in gs.mmr(v, q, 3, 0.7))
     assert {a: [tuple(x) for x in r.source_spans] for a, r in got.items()} == want and len(want) > 5
+
+
+def test_texts_are_rewritten_seldom():
+    """Words and phrases are matched in the texts as they are: rewriting whole texts took most of the time of full_pipeline."""
+    assert "regexp_replace" not in str(tm.term_words(F.col("x"))) and "regexp_replace" not in str(rk.phrase_hits(F.col("h"), F.col("x"), tm.SEEDS))
+    assert str(t.token_count(F.col("x"))).count("regexp_replace") == 1
+
+
+def test_short_ways_equal_long_ones(spark):
+    """Words, phrase hits, sentences, leads and token counts of odd texts against their definitions."""
+    rng = random.Random(3)
+    bits = ["on", " the ", "-", " ", "\u00a0", "\u2009", "Record", "scope", "Scope", "a", "x3", "é", ".", ". ", "Â§", "§", "'", "’", "\r", "\n", "9", "_", "(", "\u0301", "\U0001d4d0", "—", "; ", "한"]
+    rows = [(None, None), ("", ""), ("\U0001d4d0scope", "scope\U0001d4d0"), *(("".join(rng.choices(bits, k=rng.randint(0, 9))), "".join(rng.choices(bits, k=rng.randint(0, 25)))) for _ in range(3000))]
+    df, h, x = spark.createDataFrame(rows, "h string, x string"), F.col("h"), F.col("x")
+    phrases = ["scope", "on the record", "On-the", "o'brien", "-", "한", "scope", "a"]
+    wanted = F.array(*[F.lit(" " + " ".join(p.lower().replace("-", " ").split()) + " ") for p in phrases])
+    flat = F.array(rk._flat(rk._both(h, x)))
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), r"(?<=[.?!;:])[\s\x{00A0}\x{2009}\x{202F}]+(?=[A-Z(§])"), t.trim_blanks)
+    lead = F.array_join(F.slice(F.split(F.coalesce(x, F.lit("")), r"\. "), 1, 2), ". ")
+    same = {
+        "words": (tm.term_words(x), F.filter(t.all_groups(F.lower(tm.clean_for_terms(x)), tm.TOKEN, 1), lambda w: (w != "") & ~w.isin(tm.STOP))),
+        "hits": (rk.phrase_hits(h, x, phrases), F.element_at(F.transform(flat, lambda f: F.size(F.filter(wanted, lambda p: f.contains(p)))), 1)),
+        "sentences": (gs.gist_sentences(x), F.filter(parts, lambda s: (F.length(s) >= 2) & (F.size(t.word_list(s)) >= 3))),
+        "lead": (st.lead_sentences(x), F.when(t.trim_blanks(lead) == "", "").otherwise(F.concat(F.regexp_replace(lead, r"\.+$", ""), F.lit(".")))),
+        "tokens": (t.token_count(x), F.greatest(F.lit(1), F.size(t.word_list(x)))),
+    }
+    differ = df.select(*[F.count_if(~a.eqNullSafe(b)).alias(k) for k, (a, b) in same.items()]).first().asDict()
+    assert differ == dict.fromkeys(same, 0) and df.filter(same["hits"][0] > 0).count() > 100
